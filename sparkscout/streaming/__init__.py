@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed workload is batch only: it has no stream source, no event-time
+window, no watermark and no incremental state.  Its "lag" and "window" are row
+offsets in a sorted table (see ``operators.lags``).  Nothing is built here on
+purpose; every operator in this package takes a bounded DataFrame.
+"""
