@@ -76,38 +76,38 @@ def box_stats(df: DataFrame, y: str, group: str | None = None, whisker: float =
               **quantile_kw) -> DataFrame:
     """Exact quartiles, 1.5 IQR fences, whiskers (extreme values inside
     the fences) and outlier counts per group (rows with a null group are
-    left out): ``(group, n, q1, median, q3, lower_fence, upper_fence,
+    left out): ``(category, n, q1, median, q3, lower_fence, upper_fence,
     whisker_low, whisker_high, n_outliers)``."""
     gcol = F.col(f"`{group}`").cast("string") if group else F.lit("all")
-    base = df.select(gcol.alias("group"), F.col(f"`{y}`").cast("double").alias("v")) \
-        .filter(F.col("group").isNotNull() & F.col("v").isNotNull())
-    qs = exact_quantiles(base, ["group"], "v", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+    base = df.select(gcol.alias("category"), F.col(f"`{y}`").cast("double").alias("v")) \
+        .filter(F.col("category").isNotNull() & F.col("v").isNotNull())
+    qs = exact_quantiles(base, ["category"], "v", [0.25, 0.5, 0.75], ["q1", "median", "q3"],
                          **quantile_kw)
     iqr = F.col("q3") - F.col("q1")
-    fences = qs.select("group", "n", "q1", "median", "q3",
+    fences = qs.select("category", "n", "q1", "median", "q3",
                        (F.col("q1") - whisker * iqr).alias("lower_fence"),
                        (F.col("q3") + whisker * iqr).alias("upper_fence"))
     # one row per group; the planner broadcasts it when small
-    j = base.join(fences.select("group", "lower_fence", "upper_fence"), "group")
+    j = base.join(fences.select("category", "lower_fence", "upper_fence"), "category")
     inside = F.col("v").between(F.col("lower_fence"), F.col("upper_fence"))
-    agg = j.groupBy("group").agg(
+    agg = j.groupBy("category").agg(
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    return fences.join(agg, "group")
+    return fences.join(agg, "category")
 
 
 def box_outliers(df: DataFrame, y: str, group: str | None = None, whisker: float = 1.5,
                  **quantile_kw) -> DataFrame:
-    """E9 points: the rows outside the fences ``(group, value)``."""
+    """E9 points: the rows outside the fences ``(category, value)``."""
     gcol = F.col(f"`{group}`").cast("string") if group else F.lit("all")
-    base = df.select(gcol.alias("group"), F.col(f"`{y}`").cast("double").alias("value")) \
-        .filter(F.col("group").isNotNull() & F.col("value").isNotNull())
+    base = df.select(gcol.alias("category"), F.col(f"`{y}`").cast("double").alias("value")) \
+        .filter(F.col("category").isNotNull() & F.col("value").isNotNull())
     stats = box_stats(df, y, group, whisker, **quantile_kw).select(
-        "group", "lower_fence", "upper_fence")
-    return base.join(stats, "group").filter(
+        "category", "lower_fence", "upper_fence")
+    return base.join(stats, "category").filter(
         ~F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    ).select("group", "value")
+    ).select("category", "value")
 
 
 def pie_shares(df: DataFrame, names: str, values: str, top: int = 10,

@@ -31,6 +31,11 @@ def _q(name: str) -> str:
     return f"`{name}`"
 
 
+def strip(c):
+    """Remove leading and trailing whitespace (not only spaces)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """``(column, pos, n_rows, n_null, null_frac)`` in one aggregate."""
     cols = df.columns
@@ -132,8 +137,8 @@ def string_modes(df: DataFrame, cols: list[str], null_policy: str = "mode") -> D
     count as a value; only blanks are filled, by the mode over all values
     (which may be the blank itself).  Ties go to the smallest value.
     """
-    trimmed = df.select(*[(F.trim(F.col(_q(c))) if null_policy == "mode"
-                           else F.coalesce(F.trim(F.col(_q(c))), F.lit("nan"))).alias(c)
+    trimmed = df.select(*[(strip(F.col(_q(c))) if null_policy == "mode"
+                           else F.coalesce(strip(F.col(_q(c))), F.lit("nan"))).alias(c)
                           for c in cols])
     long = trimmed.unpivot([], cols, "column", "value")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
@@ -162,11 +167,11 @@ def clean_strings(df: DataFrame, cols: list[str] | None = None,
             out.append(F.col(_q(c)))
             continue
         if null_policy == "mode":
-            v = F.trim(F.col(_q(c)))
+            v = strip(F.col(_q(c)))
             if c in modes and modes[c] is not None:
                 v = F.when(v.isNull() | (v == ""), F.lit(modes[c])).otherwise(v)
         else:
-            v = F.coalesce(F.trim(F.col(_q(c))), F.lit("nan"))
+            v = F.coalesce(strip(F.col(_q(c))), F.lit("nan"))
             if c in modes and modes[c] is not None:
                 v = F.when(v == "", F.lit(modes[c])).otherwise(v)
         out.append(v.alias(c))
