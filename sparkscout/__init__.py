@@ -7,7 +7,7 @@ rank the findings - every step a DataFrame/SQL/ML job.
 """
 
 from .operators.prepare import prepare
-from .plans.discover import discover, diverse_top, rank
+from .plans.discovery import discover, diverse_top, rank
 from .sources.tables import insight_table, read_table, write_csv, write_insights
 
 __all__ = ["read_table", "write_csv", "insight_table", "write_insights", "prepare", "discover",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,15 @@ from .quantiles import column_quantiles
 TIMESTAMP_FORMATS = [None, "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd HH:mm:ss",
                      "MM/dd/yyyy HH:mm:ss"]
 DATE_SHAPE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+# Cheap shape test per format: the parser only runs on values that can match.
+FORMAT_SHAPES = {
+    None: r"^\s*\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy/MM/dd": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "MM/dd/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "dd.MM.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d",
+}
 
 
 def _q(name: str) -> str:
@@ -83,7 +92,8 @@ def median_impute(df: DataFrame, cols: list[str] | None = None, approx: bool = F
 
 
 def _parse(c, fmt):
-    guarded = F.when(c.rlike(DATE_SHAPE), c)
+    shape = FORMAT_SHAPES.get(fmt, DATE_SHAPE)
+    guarded = F.when(c.rlike(DATE_SHAPE) & c.rlike(shape), c)
     return F.try_to_timestamp(guarded) if fmt is None else F.try_to_timestamp(guarded, F.lit(fmt))
 
 
@@ -283,20 +293,138 @@ class Prepared:
         return profile(self.encoded)
 
 
+def _scan_columns(df: DataFrame, str_cols: list[str],
+                  formats: list[str | None]) -> tuple[int, dict, dict]:
+    """Pass A: one aggregate for the row count, the non-null count of every
+    column and the parsed fraction of every (string column, format)."""
+    exprs = [F.count(F.lit(1)).alias("__rows")]
+    exprs += [F.count(F.col(_q(c))).alias(f"__nn{i}") for i, c in enumerate(df.columns)]
+    exprs += [F.avg(_parse(F.col(_q(c)), fmt).isNotNull().cast("double")).alias(f"__ts{ci}_{fi}")
+              for ci, c in enumerate(str_cols) for fi, fmt in enumerate(formats)]
+    row = df.agg(*exprs).first()
+    nn = {c: row[f"__nn{i}"] for i, c in enumerate(df.columns)}
+    ts = {(c, fi): row[f"__ts{ci}_{fi}"] for ci, c in enumerate(str_cols)
+          for fi in range(len(formats))}
+    return row["__rows"], nn, ts
+
+
+def _string_summaries(df: DataFrame, cols: list[str], null_policy: str,
+                      max_distinct: int) -> dict[str, dict]:
+    """Pass B: one shuffle on (column, value) of the stripped strings; from
+    it, per column: gap flag, mode, distinct count after filling, and the
+    first ``max_distinct`` values in ascending order.  Everything collected
+    is bounded by ``max_distinct + 2`` rows per column."""
+    if not cols:
+        return {}
+    if null_policy == "mode":
+        vals = [strip(F.col(_q(c))).alias(c) for c in cols]
+    else:
+        vals = [F.coalesce(strip(F.col(_q(c))), F.lit("nan")).alias(c) for c in cols]
+    long = df.select(*vals).unpivot([], cols, "column", "value")
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    gap = (F.col("value").isNull() | (F.col("value") == "")) if null_policy == "mode" \
+        else (F.col("value") == "")
+    solid = counts.filter(~F.coalesce(gap, F.lit(False)))
+    pool = solid if null_policy == "mode" else counts
+    modes = top_values(pool, 1).select("column", F.lit("mode").alias("kind"), "value",
+                                       F.lit(None).cast("long").alias("num"))
+    w = Window.partitionBy("column").orderBy(F.col("value").asc())
+    cats = (solid.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= max_distinct)
+            .select("column", F.lit("cat").alias("kind"), "value", F.lit(None).cast("long").alias("num")))
+    per = counts.groupBy("column").agg(
+        F.count_if(~F.coalesce(gap, F.lit(False))).alias("_solid"),
+        F.max(F.coalesce(gap, F.lit(False)).cast("long")).alias("_gap"))
+    per = per.select("column", F.lit("stats").alias("kind"), F.lit(None).cast("string").alias("value"),
+                     (F.col("_solid") * 2 + F.col("_gap")).alias("num"))
+    out = {c: {"mode": None, "cats": [], "n_solid": 0, "has_gap": False} for c in cols}
+    for r in modes.unionByName(cats).unionByName(per).collect():
+        o = out[r["column"]]
+        if r["kind"] == "mode":
+            o["mode"] = r["value"]
+        elif r["kind"] == "cat":
+            o["cats"].append(r["value"])
+        else:
+            o["n_solid"], o["has_gap"] = r["num"] // 2, bool(r["num"] % 2)
+    for o in out.values():
+        o["cats"].sort()
+        filled = o["has_gap"] and o["mode"] is not None
+        if null_policy == "literal" and filled and o["mode"] == "":
+            # the blank is the mode and stays a value of its own
+            o["n_solid"] += 1
+            o["cats"] = sorted(o["cats"] + [""])[:max_distinct]
+    return out
+
+
 def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
-            max_distinct: int = 10, max_null_frac: float = 0.5) -> Prepared:
-    """P10: drop sparse columns, impute medians, infer timestamps, trim and
+            max_distinct: int = 10, max_null_frac: float = 0.5,
+            formats: list[str | None] = TIMESTAMP_FORMATS) -> Prepared:
+    """P10: drop sparse columns, impute medians, infer timestamps, strip and
     fill strings, then label-encode; keeps both the encoded and the cleaned
-    view (all lazy projections over the source)."""
-    df1, dropped = drop_sparse(df, max_null_frac)
-    df2, meds = median_impute(df1, approx=approx)
-    df3, stamps = infer_timestamps(df2)
-    clean, modes = clean_strings(df3, null_policy=null_policy)
-    encoded, enc = label_encode(clean, max_distinct=max_distinct)
+    view.  Decisions come from two scans (one aggregate, one shuffle on
+    string values) plus the median passes for columns that have nulls; the
+    views are lazy projections over the source."""
+    str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    n_rows, nn, ts = _scan_columns(df, str_cols, formats)
+    null_frac = {c: ((n_rows - nn[c]) / n_rows if n_rows else 0.0) for c in df.columns}
+    dropped = [c for c in df.columns if null_frac[c] > max_null_frac]
+    keep = [c for c in df.columns if c not in dropped]
+    num = [c for c in numeric_cols(df) if c in keep]
+    gappy = [c for c in num if nn[c] < n_rows]
+    meds = {}
+    if gappy:
+        meds = {r["column"]: r["median"] for r in column_quantiles(
+            df, gappy, [0.5], ["median"], approx=approx).collect()}
+    stamps = {}
+    for c in str_cols:
+        if c not in keep:
+            continue
+        for fi, fmt in enumerate(formats):
+            if (ts[(c, fi)] or 0.0) > 0.5:
+                stamps[c] = fmt or "iso8601"
+                break
+    texts = [c for c in str_cols if c in keep and c not in stamps]
+    summ = _string_summaries(df, texts, null_policy, max_distinct)
+    modes = {c: o["mode"] for c, o in summ.items() if o["has_gap"]}
+    clean_cols = []
+    for c in keep:
+        v = F.col(_q(c))
+        if c in meds:
+            v = F.coalesce(v.cast("double"), F.lit(meds[c]))
+        elif c in stamps:
+            v = _parse(v, None if stamps[c] == "iso8601" else stamps[c])
+        elif c in summ:
+            o = summ[c]
+            if null_policy == "mode":
+                v = strip(v)
+                if o["has_gap"] and o["mode"] is not None:
+                    v = F.when(v.isNull() | (v == ""), F.lit(o["mode"])).otherwise(v)
+            else:
+                v = F.coalesce(strip(v), F.lit("nan"))
+                if o["has_gap"] and o["mode"] is not None:
+                    v = F.when(v == "", F.lit(o["mode"])).otherwise(v)
+        clean_cols.append(v.alias(c))
+    clean = df.select(*clean_cols)
+    enc_cols, encodings = [], {}
+    for c in keep:
+        if c in summ:
+            o = summ[c]
+            if o["n_solid"] >= max_distinct:
+                continue  # high-cardinality text: dropped from the encoded view
+            cats = o["cats"]
+            encodings[c] = cats
+            if cats:
+                m = F.create_map(*[x for i, v in enumerate(cats) for x in (F.lit(v), F.lit(i))])
+                code = F.coalesce(F.element_at(m, F.col(_q(c))), F.lit(-1))
+            else:
+                code = F.lit(-1)
+            enc_cols.append(code.cast("byte").alias(c))
+        else:
+            enc_cols.append(F.col(_q(c)))
+    encoded = clean.select(*enc_cols)
     tcols = time_cols(encoded)
     return Prepared(encoded=encoded, clean=clean, time_col=tcols[0] if tcols else None,
                     dropped_sparse=dropped, medians=meds, timestamps=stamps, modes=modes,
-                    encodings=enc)
+                    encodings=encodings)
 
 
 __all__ = ["null_profile", "drop_sparse", "median_impute", "timestamp_candidates",

@@ -66,6 +66,12 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
               .withColumn("_rhi", F.ceil("_pos").cast("long"))
               .withColumn("_frac", F.col("_pos") - F.col("_rlo")))
     wanted = checkpoint(wanted)
+    largest = wanted.agg(F.max("n")).first()[0]
+    if largest is None:
+        return wanted.select(*keys, "n", *[F.lit(None).cast("double").alias(nm) for nm in names]) \
+            .limit(0)
+    if largest <= max_group_rows:
+        return _single_pass(base, wanted, keys, names)
     state = (wanted.select(*keys, "_lo", "_hi", "n",
                            F.explode(F.array("_rlo", "_rhi")).alias("_k"))
              .distinct()
@@ -129,6 +135,21 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
     return out
 
 
+def _single_pass(base: DataFrame, wanted: DataFrame, keys: list[str],
+                 names: list[str]) -> DataFrame:
+    """Every group holds at most ``max_group_rows`` rows: gather each group's
+    values once (bounded), sort them and read the needed ranks."""
+    sorted_vals = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+    j = wanted.join(sorted_vals, keys)
+    q = (F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))
+         + (F.element_at("_vs", (F.col("_rhi") + 1).cast("int"))
+            - F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))) * F.col("_frac"))
+    interp = j.select(*keys, "n", "_qi", q.alias("_q"))
+    return interp.groupBy(*keys).agg(
+        F.first("n").alias("n"),
+        *[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
+
+
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      names: list[str] | None = None, **kw) -> DataFrame:
     """Quantiles of each column in ``cols``: rows ``(column, n, q...)``."""

@@ -1,5 +1,5 @@
 """End-to-end plans: discovery, ranking and the diversity-capped top list."""
 
-from .discover import diverse_top, discover, rank
+from .discovery import diverse_top, discover, rank
 
 __all__ = ["discover", "rank", "diverse_top"]

@@ -23,12 +23,27 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split scan (e.g. one file with one row group) over
+    ``min_partitions`` tasks (default: the default parallelism) with a
+    round-robin repartition.  Large inputs already have more splits than
+    that and are returned unchanged, so this never reshuffles big data.
+    Used by operators that multiply rows (pair lists) before aggregating.
+    Hash partitioning on a row hash needs no sort, unlike round robin."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None,
-               header: bool = True) -> DataFrame:
+               header: bool = True, rebalance: bool = False) -> DataFrame:
     """Read a CSV (header, inferred or given schema) or Parquet table.
 
     The format is taken from the extension when ``fmt`` is not given.
+    ``rebalance`` spreads an under-split input over the cluster's default
+    parallelism (see :func:`balance`).
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
     reader = spark.read
@@ -41,7 +56,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         df = reader.csv(path)
     else:
         df = reader.format(fmt).load(path)
-    return normalise(df)
+    df = normalise(df)
+    return balance(df) if rebalance else df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -74,5 +90,5 @@ def write_insights(insights: DataFrame, path: str, mode: str = "overwrite") -> N
     insight_table(insights).write.mode(mode).parquet(path)
 
 
-__all__ = ["read_table", "write_csv", "insight_table", "write_insights", "normalise",
+__all__ = ["read_table", "write_csv", "insight_table", "write_insights", "normalise", "balance",
            "INSIGHT_SCHEMA"]
