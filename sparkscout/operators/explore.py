@@ -7,7 +7,7 @@ table) and ``scatter_sample`` (a seeded sample, bounded on purpose).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import numeric_cols
@@ -114,14 +114,16 @@ def pie_shares(df: DataFrame, names: str, values: str, top: int = 10,
                other: str = "Other") -> DataFrame:
     """Sum of ``values`` per ``names`` (all-null sums count as 0); with
     more than ``top`` groups, the ``top`` largest (ties: name asc) plus one
-    ``Other`` row with the rest.  ``(name, total, slice_rank)``."""
+    ``Other`` row with the rest.  ``(name, total, slice_rank)``; slices are
+    ranked by total desc, name asc, ``Other`` last."""
     sums = df.filter(F.col(f"`{names}`").isNotNull()).groupBy(
         F.col(f"`{names}`").cast("string").alias("name")).agg(
         F.coalesce(F.sum(F.col(f"`{values}`")), F.lit(0)).alias("total"))
     n_groups = sums.count()
     order = [F.col("total").desc(), F.col("name").asc()]
     if n_groups <= top:
-        return sums.withColumn("slice_rank", F.lit(None).cast("int"))
+        # at most `top` rows: a single-partition window over them is bounded
+        return sums.withColumn("slice_rank", F.row_number().over(Window.orderBy(*order)))
     # distributed top-k (per-partition top-k then merge), not a global window
     head = sums.orderBy(*order).limit(top)
     head_rows = head.collect()  # `top` rows

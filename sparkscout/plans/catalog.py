@@ -937,7 +937,7 @@ SQL["pie_top10_other"] = (
     "FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1), "
     "r AS (SELECT *, row_number() OVER (ORDER BY total DESC, name ASC) AS rk FROM s) "
     "SELECT name, round(total, 4) AS total, CAST(rk AS INTEGER) AS slice_rank FROM r WHERE rk <= 10 "
-    "UNION ALL SELECT 'Other', round(sum(total), 4), 11 FROM r WHERE rk > 10")
+    "UNION ALL SELECT 'Other', round(sum(total), 4), 11 FROM r WHERE rk > 10 HAVING count(*) > 0")
 
 
 @query("pie_top10_other")
