@@ -71,7 +71,8 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
         return wanted.select(*keys, "n", *[F.lit(None).cast("double").alias(nm) for nm in names]) \
             .limit(0)
     if largest <= max_group_rows:
-        return _single_pass(base, wanted, keys, names)
+        return _single_pass(base, wanted, keys, names,
+                            small=wanted.count() <= BROADCAST_TARGET_ROWS)
     state = (wanted.select(*keys, "_lo", "_hi", "n",
                            F.explode(F.array("_rlo", "_rhi")).alias("_k"))
              .distinct()
@@ -136,11 +137,13 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
 
 
 def _single_pass(base: DataFrame, wanted: DataFrame, keys: list[str],
-                 names: list[str]) -> DataFrame:
+                 names: list[str], small: bool) -> DataFrame:
     """Every group holds at most ``max_group_rows`` rows: gather each group's
-    values once (bounded), sort them and read the needed ranks."""
+    values once (bounded), sort them and read the needed ranks.  The target
+    table (one row per group and probability) is the broadcast side when its
+    checked row count is small, so the value arrays never move again."""
     sorted_vals = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
-    j = wanted.join(sorted_vals, keys)
+    j = sorted_vals.join(F.broadcast(wanted) if small else wanted, keys)
     q = (F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))
          + (F.element_at("_vs", (F.col("_rhi") + 1).cast("int"))
             - F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))) * F.col("_frac"))

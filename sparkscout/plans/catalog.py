@@ -815,6 +815,35 @@ def q_readable_labels(spark, d):
     return load(spark, d, "part").select("p_partkey", readable_label("p_name").alias("label"))
 
 
+SQL["transactions"] = (
+    "SELECT concat_ws(', ', 'l_returnflag=' || l_returnflag, 'l_linestatus=' || l_linestatus, "
+    "'o_orderstatus=' || o_orderstatus, 'o_orderpriority=' || o_orderpriority) AS items, "
+    "count(*) AS n FROM (" + LINE_ORDERS_SQL + ") GROUP BY 1")
+
+
+@query("transactions")
+def q_transactions(spark, d):
+    """M6: one item per non-null category value; distinct transactions counted."""
+    tx = rules.transactions(line_orders(spark, d), RULE_COLS)
+    return tx.groupBy(F.array_join("items", ", ").alias("items")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["item_labels"] = (
+    "SELECT DISTINCT " + _label_sql("'l_linestatus'") + " || ' is ' || l_linestatus AS label "
+    "FROM lineitem UNION SELECT DISTINCT " + _label_sql("'o_orderpriority'") +
+    " || ' is ' || o_orderpriority FROM orders")
+
+
+@query("item_labels")
+def q_item_labels(spark, d):
+    """T5 on every distinct item of two category columns, markers removed."""
+    from ..functions.labels import item_label
+    li = load(spark, d, "lineitem").select(F.concat(F.lit("l_linestatus="), "l_linestatus").alias("item"))
+    o = load(spark, d, "orders").select(F.concat(F.lit("o_orderpriority="), "o_orderpriority").alias("item"))
+    items = li.unionByName(o).distinct()
+    return items.select(F.replace(item_label("item"), F.lit("**"), F.lit("")).alias("label")).distinct()
+
+
 SQL["markup_to_html"] = (
     "SELECT doc_id, regexp_replace(regexp_replace(text, '\\*\\*(.*?)\\*\\*', '<strong>\\1</strong>', 'g'), "
     "'\\*(.*?)\\*', '<em>\\1</em>', 'g') AS html FROM documents")
@@ -865,6 +894,25 @@ def q_whatif_single(spark, d):
     return whatif.whatif(load(spark, d, "part").select(*PART_NUM), "p_retailprice", "p_size", 10.0)
 
 
+@query("top_drivers")
+def q_top_drivers(spark, d):
+    """No oracle: random-forest feature importances (W2) for the lineitem
+    extended price."""
+    from ..operators.whatif import fit_outcome_model, numeric_frame, top_drivers
+    data, cols = numeric_frame(load(spark, d, "lineitem").select(*LINEITEM_NUM))
+    features = [c for c in cols if c != "l_extendedprice"]
+    model = fit_outcome_model(data, "l_extendedprice", features, num_trees=20, max_depth=8)
+    rows = [(i + 1, x["raw_col"], x["importance"]) for i, x in enumerate(top_drivers(model, features))]
+    return spark.createDataFrame(rows, "rank int, raw_col string, importance double")
+
+
+@query("kmeans_scaled")
+def q_kmeans_scaled(spark, d):
+    """No oracle: P11 standardisation before the K-means search."""
+    p = segments.kmeans_profile(load(spark, d, "part"), PART_NUM, scale=True)
+    return p.select("segment", "size_pct", "rank", "feature", "mean", "k", "silhouette")
+
+
 # ---- exploration aggregates ---------------------------------------------------------
 
 SQL["headline"] = "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols, CAST(8 AS BIGINT) AS n_numeric FROM lineitem"
