@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..schema import (CATEGORY_TYPES, NUMERIC_TYPES, TIME_TYPES, category_cols,
                       numeric_cols, position_of, time_cols)
-from .categorical import top_values
+from .categorical import APPROX_RSD, surely_above, top_values
 from .quantiles import column_quantiles
 
 # Timestamp formats tried, in order, on string columns.  ``None``
@@ -301,10 +301,15 @@ def _scan_columns(df: DataFrame, str_cols: list[str],
     exprs += [F.count(F.col(_q(c))).alias(f"__nn{i}") for i, c in enumerate(df.columns)]
     exprs += [F.avg(_parse(F.col(_q(c)), fmt).isNotNull().cast("double")).alias(f"__ts{ci}_{fi}")
               for ci, c in enumerate(str_cols) for fi, fmt in enumerate(formats)]
+    exprs += [F.approx_count_distinct(strip(F.col(_q(c))), APPROX_RSD).alias(f"__hd{ci}")
+              for ci, c in enumerate(str_cols)]
+    exprs += [F.count_if(strip(F.col(_q(c))) == "").alias(f"__bl{ci}") for ci, c in enumerate(str_cols)]
     row = df.agg(*exprs).first()
     nn = {c: row[f"__nn{i}"] for i, c in enumerate(df.columns)}
     ts = {(c, fi): row[f"__ts{ci}_{fi}"] for ci, c in enumerate(str_cols)
           for fi in range(len(formats))}
+    ts.update({("__approx", c): row[f"__hd{ci}"] for ci, c in enumerate(str_cols)})
+    ts.update({("__blank", c): row[f"__bl{ci}"] for ci, c in enumerate(str_cols)})
     return row["__rows"], nn, ts
 
 
@@ -383,7 +388,17 @@ def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
                 stamps[c] = fmt or "iso8601"
                 break
     texts = [c for c in str_cols if c in keep and c not in stamps]
-    summ = _string_summaries(df, texts, null_policy, max_distinct)
+    # HLL prefilter: a text column far above the encoding limit is dropped from
+    # the encoded view without shuffling its values; its values are only
+    # counted when it has gaps to fill with the mode
+    wide = {c for c in texts if surely_above(ts[("__approx", c)], max_distinct)}
+    gaps = {c for c in texts if (nn[c] < n_rows and null_policy == "mode")
+            or ts[("__blank", c)] > 0}
+    counted = [c for c in texts if c not in wide or c in gaps]
+    summ = _string_summaries(df, counted, null_policy, max_distinct)
+    for c in texts:
+        if c not in summ:
+            summ[c] = {"mode": None, "cats": [], "n_solid": max_distinct, "has_gap": False}
     modes = {c: o["mode"] for c, o in summ.items() if o["has_gap"]}
     clean_cols = []
     for c in keep:

@@ -17,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import readable_label
 from ..schema import numeric_cols
 from .correlations import pearson_long
 
@@ -83,6 +84,24 @@ def recommendation(delta_pct: float) -> str:
     return "inelastic"
 
 
+def with_texts(result: DataFrame) -> DataFrame:
+    """W4 text: a one-line summary and the recommendation for its branch."""
+    t, c = readable_label("target_col"), readable_label("change_col")
+    d = F.col("delta_pct")
+    summary = F.format_string(
+        "Changing **%s** by **%+.1f%%** moves the average predicted **%s** by **%+.1f%%** "
+        "(%.2f -> %.2f).", c, F.col("pct_change_input"), t, d,
+        F.col("predicted_original_mean"), F.col("predicted_modified_mean"))
+    advice = (F.when(F.col("recommendation") == "boost", F.format_string(
+        "**%s** is a strong lever for **%s**; raising it looks worthwhile.", c, t))
+        .when(F.col("recommendation") == "risk", F.format_string(
+            "Raising **%s** is predicted to lower **%s** by %.1f%%; proceed with care.", c, t,
+            F.abs(d)))
+        .otherwise(F.format_string(
+            "**%s** barely reacts to **%s** (%.2f%%); look at stronger drivers.", t, c, d)))
+    return result.withColumn("narrative", summary).withColumn("advice", advice)
+
+
 def whatif(df: DataFrame, target: str, change_col: str, pct_change: float = 10.0,
            **model_kw) -> DataFrame:
     """Effect on the mean prediction of ``target`` when ``change_col``
@@ -102,12 +121,16 @@ def whatif(df: DataFrame, target: str, change_col: str, pct_change: float = 10.0
     base, mod = scored[-1], scored[0]
     d = _delta(base, mod)
     drivers = top_drivers(model, features)
-    return df.sparkSession.createDataFrame(
+    out = df.sparkSession.createDataFrame(
         [(change_col, target, float(pct_change), float(base), float(mod), float(d),
           recommendation(d), [(x["raw_col"], x["importance"]) for x in drivers])],
         "change_col string, target_col string, pct_change_input double, "
         "predicted_original_mean double, predicted_modified_mean double, delta_pct double, "
         "recommendation string, drivers array<struct<raw_col:string,importance:double>>")
+    out = out.withColumn("drivers", F.transform("drivers", lambda x: F.struct(
+        readable_label(x["raw_col"]).alias("feature"), x["raw_col"].alias("raw_col"),
+        x["importance"].alias("importance"))))
+    return with_texts(out)
 
 
 def whatif_candidates(df: DataFrame) -> DataFrame:
@@ -186,7 +209,7 @@ def auto_whatif(df: DataFrame, limit: int = 3, **model_kw) -> DataFrame:
                     results.append(("A", c, t, 20.0, base, mod, d, recommendation(d)))
                     seen.add(pair)
                 if len(results) >= limit:
-                    return spark.createDataFrame(results, schema)
+                    return with_texts(spark.createDataFrame(results, schema))
         for t in targets:
             for c in related(t):
                 pair = frozenset((t, c))
@@ -198,7 +221,7 @@ def auto_whatif(df: DataFrame, limit: int = 3, **model_kw) -> DataFrame:
                 results.append(("B", c, t, 10.0, base, mod, d, recommendation(d)))
                 seen.add(pair)
                 if len(results) >= limit:
-                    return spark.createDataFrame(results, schema)
-        return spark.createDataFrame(results, schema)
+                    return with_texts(spark.createDataFrame(results, schema))
+        return with_texts(spark.createDataFrame(results, schema))
     finally:
         data.unpersist()

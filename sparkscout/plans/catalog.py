@@ -896,12 +896,12 @@ def q_whatif_single(spark, d):
 
 @query("top_drivers")
 def q_top_drivers(spark, d):
-    """No oracle: random-forest feature importances (W2) for the lineitem
-    extended price."""
+    """No oracle: random-forest feature importances (W2) for the part
+    retail price (50 trees, as the what-if model)."""
     from ..operators.whatif import fit_outcome_model, numeric_frame, top_drivers
-    data, cols = numeric_frame(load(spark, d, "lineitem").select(*LINEITEM_NUM))
-    features = [c for c in cols if c != "l_extendedprice"]
-    model = fit_outcome_model(data, "l_extendedprice", features, num_trees=20, max_depth=8)
+    data, cols = numeric_frame(load(spark, d, "part").select(*PART_NUM))
+    features = [c for c in cols if c != "p_retailprice"]
+    model = fit_outcome_model(data, "p_retailprice", features)
     rows = [(i + 1, x["raw_col"], x["importance"]) for i, x in enumerate(top_drivers(model, features))]
     return spark.createDataFrame(rows, "rank int, raw_col string, importance double")
 
