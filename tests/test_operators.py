@@ -321,3 +321,23 @@ def test_markup_to_html(spark):
     s = "a **bold** and *it* plus **x**"
     got = spark.range(1).select(markup_to_html(F.lit(s))).first()[0]
     assert got == "a <strong>bold</strong> and <em>it</em> plus <strong>x</strong>"
+
+
+# ---- HLL prefilter ------------------------------------------------------------------
+
+def test_near_unique_columns_skipped_and_wide_text_gaps_filled(spark):
+    n = 400
+    pdf = pd.DataFrame({"uid": [f"u{i}" for i in range(n)],
+                        "flag": ["a"] * 300 + ["b"] * 100,
+                        "note": [None if i % 50 == 0 else f"t{i % 60}" for i in range(n)]})
+    df = spark.createDataFrame(pdf)
+    dom = {r["column"] for r in categorical.dominant_categories(df).collect()}
+    assert "uid" not in dom and "flag" in dom
+    cand = {r["column"] for r in categorical.rule_candidates(df).collect()}
+    assert cand == {"flag", "note"}
+    p = prepare.prepare(df)
+    assert set(p.encoded.columns) == {"flag"}          # uid and note are too wide to encode
+    mode = pdf["note"].dropna().value_counts()
+    top = sorted(mode[mode == mode.max()].index)[0]
+    filled = [r["note"] for r in p.clean.collect()]
+    assert filled[0] == top and None not in filled
