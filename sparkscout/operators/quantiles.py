@@ -40,13 +40,15 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
                     names: list[str] | None = None,
                     max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
                     buckets: int = DEFAULT_BUCKETS, approx: bool = False,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, stats: DataFrame | None = None) -> DataFrame:
     """Quantiles of ``value`` per ``keys`` group.
 
     Returns ``keys + [n] + names`` (one column per probability, DOUBLE).
     Nulls and NaN are ignored; an all-null group is absent.
     ``approx=True`` switches to ``percentile_approx`` (one pass, bounded
     memory, returns an element instead of the interpolated value).
+    ``stats`` (``keys, n, min, max`` of the non-null values) saves the first
+    scan when the caller has already aggregated them.
     """
     names = names or [_prob_name(p) for p in probs]
     keys = list(keys)
@@ -57,8 +59,12 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
         agg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pa.alias("_qs"))
         return agg.select(*keys, "n", *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
 
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if stats is None:
+        stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    else:
+        stats = stats.select(*keys, F.col("n"), F.col("min").cast("double").alias("_lo"),
+                             F.col("max").cast("double").alias("_hi")).filter(F.col("n") > 0)
     plist = F.array(*[F.lit(float(p)) for p in probs])
     wanted = (stats.select(*keys, "n", "_lo", "_hi", F.posexplode(plist).alias("_qi", "_p"))
               .withColumn("_pos", (F.col("n") - 1) * F.col("_p"))

@@ -20,7 +20,6 @@ from ..functions.labels import markup_to_html, readable_label
 from ..operators import (categorical, correlations, explore, lags, numeric, prepare, rules,
                          segments, whatif)
 from ..plans.discovery import discover, diverse_top
-from ..schema import numeric_cols
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import insight_table, read_table, write_csv
 

@@ -29,7 +29,10 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin repartition.  Large inputs already have more splits than
     that and are returned unchanged, so this never reshuffles big data.
     Used by operators that multiply rows (pair lists) before aggregating.
-    Hash partitioning on a row hash needs no sort, unlike round robin."""
+    Hash partitioning on a row hash needs no sort, unlike round robin.
+    Apply it to a scan or to an already materialised (cached) frame: reading
+    the partition count of a plan that still contains a shuffle would make
+    adaptive execution run that shuffle first."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
