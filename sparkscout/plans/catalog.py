@@ -666,6 +666,47 @@ def q_rule_dedup(spark, d):
                       r6("lift").alias("lift"))
 
 
+SQL["rule_insight_scores"] = (
+    _rules_sql(LINE_ORDERS_SQL, RULE_COLS) + ", "
+    "q AS (SELECT * FROM r WHERE lift >= 1.0 AND confidence >= 0.4 AND (ap & cp) = 0), "
+    "u AS (SELECT *, row_number() OVER (PARTITION BY least(ap, cp), greatest(ap, cp) "
+    "ORDER BY lift DESC, confidence DESC, antecedent, consequent) AS k FROM q), "
+    "top AS (SELECT *, row_number() OVER (ORDER BY lift DESC, confidence DESC, antecedent, consequent) "
+    "AS rank FROM u WHERE k = 1), "
+    "s AS (SELECT antecedent, consequent, least((lift - 1) * 20 + confidence * 50, 100) AS conf_s, "
+    "65 + least(4 * (bit_count(ap) + bit_count(cp)), 20) AS nov_s, "
+    "least(confidence * 60 + (lift - 1) * 10, 100) AS imp_s FROM top WHERE rank <= 5) "
+    "SELECT 'association' AS type, antecedent, consequent, round(conf_s, 6) AS confidence, "
+    "round(CAST(nov_s AS DOUBLE), 6) AS novelty, round(imp_s, 6) AS impact, "
+    "round(0.4 * conf_s + 0.3 * nov_s + 0.3 * imp_s, 6) AS final_score FROM s")
+
+
+@query("rule_insight_scores")
+def q_rule_insight_scores(spark, d):
+    """M10 + R1-R4: the de-duplicated rules as scored association insights."""
+    from ..functions.scoring import score
+    from ..plans.discovery import rule_insights
+    from ..schema import conform
+    ins = score(conform(rule_insights(line_orders(spark, d), RULE_COLS)))
+    return ins.select("type", F.array_join("antecedent", ", ").alias("antecedent"),
+                      F.array_join("consequent", ", ").alias("consequent"),
+                      r6("confidence").alias("confidence"), r6("novelty").alias("novelty"),
+                      r6("impact").alias("impact"), r6("final_score").alias("final_score"))
+
+
+@query("discover_line_orders")
+def q_discover_line_orders(spark, d):
+    """No oracle: every miner on line items joined with their orders (numeric,
+    category and date columns; the line key breaks ship-date ties)."""
+    li = load(spark, d, "lineitem")
+    o = load(spark, d, "orders")
+    t = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag", "l_linestatus", "o_orderpriority", "l_shipdate")
+    ins = discover(t, tiebreak=["l_orderkey", "l_linenumber"])
+    return ins.select("type", "col_a", "col_b", "column", "final_score", "seq")
+
+
 # ---- lead / lag ---------------------------------------------------------------------
 
 _EV_LAG_SQL = _lag_table_sql("events", "ts", EVENTS_NUM)
