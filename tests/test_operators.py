@@ -181,7 +181,7 @@ def test_halo_lag_equals_shift_across_partitions(spark):
     pdf = pd.DataFrame({"t": rng.integers(0, 50, n), "k": rng.permutation(n),
                         "a": rng.normal(size=n), "b": rng.normal(size=n)})
     df = spark.createDataFrame(pdf)
-    frame, _ = lags.lagged_frame(df, ["t", "k"], ["a", "b"], lags=(1, 3, 7), rows_per_partition=60)
+    frame = lags.lagged_frame(df, ["t", "k"], ["a", "b"], lags=(1, 3, 7), rows_per_partition=60)[0]
     got = frame.orderBy("_idx").toPandas()
     ref = pdf.sort_values(["t", "k"]).reset_index(drop=True)
     assert len(got) == n
