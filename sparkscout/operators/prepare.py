@@ -304,12 +304,16 @@ def _scan_columns(df: DataFrame, str_cols: list[str],
     exprs += [F.approx_count_distinct(strip(F.col(_q(c))), APPROX_RSD).alias(f"__hd{ci}")
               for ci, c in enumerate(str_cols)]
     exprs += [F.count_if(strip(F.col(_q(c))) == "").alias(f"__bl{ci}") for ci, c in enumerate(str_cols)]
+    nums = numeric_cols(df)
+    exprs += [F.min(F.col(_q(c)).cast("double")).alias(f"__lo{i}") for i, c in enumerate(nums)]
+    exprs += [F.max(F.col(_q(c)).cast("double")).alias(f"__hi{i}") for i, c in enumerate(nums)]
     row = df.agg(*exprs).first()
     nn = {c: row[f"__nn{i}"] for i, c in enumerate(df.columns)}
     ts = {(c, fi): row[f"__ts{ci}_{fi}"] for ci, c in enumerate(str_cols)
           for fi in range(len(formats))}
     ts.update({("__approx", c): row[f"__hd{ci}"] for ci, c in enumerate(str_cols)})
     ts.update({("__blank", c): row[f"__bl{ci}"] for ci, c in enumerate(str_cols)})
+    ts.update({("__range", c): (row[f"__lo{i}"], row[f"__hi{i}"]) for i, c in enumerate(nums)})
     return row["__rows"], nn, ts
 
 
@@ -377,8 +381,14 @@ def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
     gappy = [c for c in num if nn[c] < n_rows]
     meds = {}
     if gappy:
+        # the first scan already has count/min/max of these columns: seed the
+        # exact quantile with them instead of scanning the source again
+        seed = df.sparkSession.createDataFrame(
+            [(c, nn[c]) + tuple(ts[("__range", c)]) for c in gappy],
+            "column string, n long, min double, max double")
         meds = {r["column"]: r["median"] for r in column_quantiles(
-            df, gappy, [0.5], ["median"], approx=approx).collect()}
+            df, gappy, [0.5], ["median"], approx=approx,
+            **({} if approx else {"stats": seed})).collect()}
     stamps = {}
     for c in str_cols:
         if c not in keep:
