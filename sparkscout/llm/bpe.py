@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_map
-from .tokenizing import Generations, irregular
+from .tokenizing import SeenTwice, grouped, irregular
 
 
 class RankQueue:
@@ -133,36 +133,43 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.pieces = Generations()
-        self.chunks = Generations()
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        """ids of pre-tokens, one after another."""
-        for p in self.pieces.unknown(pieces):
-            self.pieces.new[p] = np.asarray(merge_piece(p.encode(), self.ranks), "<u4").tobytes()
-        return b"".join(map(self.pieces.new.__getitem__, pieces))
-
-    def _learn(self, parts: list[str]) -> None:
-        missing = self.chunks.unknown(parts)
-        known = self.chunks.new
-        for p in missing:
-            known[p] = self._pieces(self.split(p if p[:1] == "\n" else " " + p))
+        self.pieces = SeenTwice()
+        self.chunks = SeenTwice()
+
+    def _learn_pieces(self, pieces: set[str]) -> list[str]:
+        new = self.pieces.missing(pieces)
+        for p in new:
+            self.pieces.known[p] = np.asarray(merge_piece(p.encode(), self.ranks), "<u4").tobytes()
+        return new
+
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers.  A text
+        of single spaces and line feeds only is cut at them, which the pattern
+        never crosses; any other text is cut by the pattern as a whole."""
+        heads, parts = [], []
+        for t in texts:
+            first, *rest = (t,) if not t or irregular(t) else t.replace("\n", " \n").split(" ")
+            heads.append(self.split(first))
+            parts.append(rest)
+        missing = self.chunks.missing(set().union(*parts))
+        cut = [self.split(p if p[:1] == "\n" else " " + p) for p in missing]
+        new = self._learn_pieces(set().union(*cut, *heads))
+        piece, known = self.pieces.known.__getitem__, self.chunks.known
+        for p, own in zip(missing, cut):
+            known[p] = piece(own[0]) if len(own) == 1 else b"".join(map(piece, own))
+        get = known.__getitem__
+        out = [b"".join(map(piece, h)) + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        self.pieces.settle(new)
+        self.chunks.settle(missing)
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """ids of each text in turn."""
+        for group in grouped(texts):
+            yield from self.encode_group(group)
 
     def encode(self, text: str | None) -> bytes:
-        """ids as little-endian unsigned 32-bit integers.  A text of single
-        spaces and line feeds only is cut at them, which the pattern never
-        crosses; any other text is cut by the pattern as a whole."""
-        if not text:
-            return b""
-        if irregular(text):
-            return self._pieces(self.split(text))
-        first, *parts = text.replace("\n", " \n").split(" ")
-        head = self._pieces(self.split(first))
-        try:
-            return head + b"".join(map(self.chunks.new.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-            return head + b"".join(map(self.chunks.new.__getitem__, parts))
+        return self.encode_group([text or ""])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -186,7 +193,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in batches:
-            ids = [np.frombuffer(c.encode(t), "<i4") for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(x, "<i4") for x in c.encode_many(b.column(1).to_pylist())]
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -221,8 +228,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         c = codec(ranks_path, pattern)
         for b in batches:
             n, enc, dec = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = c.encode(t)
+            for ids in c.encode_many(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 enc.append(hashlib.sha256(ids).hexdigest())
                 dec.append(hashlib.sha256(c.decode(ids)).hexdigest())

@@ -1,0 +1,200 @@
+"""Repeated passages by winnowing over line hashes (operator 6).
+
+The unit is a line with a word (ends trimmed).  A *window* is a shortest run
+of consecutive lines with at least ``min_words`` words: from every line on, and
+up to every line.  Each window selects the line of least hash in it (the last
+of equal ones) as its fingerprint.  The choice depends on the window's lines
+alone, so two documents that share a run of ``min_words`` words share a
+fingerprint inside it, and few lines of a long text are fingerprints.
+
+Fingerprints that stand at one position only are dropped by a count of their
+hashes; positions of the others are joined, and the match is extended both
+ways over the windows that hold the fingerprint: a window is a repeat if its
+lines already stand at an earlier position, in the order of (id, line).  Every
+line of a longer common run lies in such a window, so overlapping repeats make
+up the whole run.  Each position is compared with the first one of its window
+only, never with all the others.
+
+What is deleted is exactly: every line in a run of consecutive lines with at
+least ``min_words`` words that stands, line by line, at an earlier position.
+
+Defined cases: null text stays null and has no lines; empty text stays empty;
+lines without words are deleted only inside a deleted run; rows that repeat id
+and text are one document, so each of them keeps the same text; null ids come
+first; of rows that share an id with different texts the order is by text hash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import arrow_map, materialise
+
+
+def content_lines(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(place in the text, hash, words) of each line with a word."""
+    place, hashes, words = [], [], []
+    digest = xxhash.xxh3_64_intdigest
+    for k, line in enumerate(text.split("\n")):
+        n = len(line.split())
+        if n:
+            place.append(k)
+            hashes.append(digest(line.strip().encode()))
+            words.append(n)
+    return place, np.asarray(hashes, "<u8"), np.asarray(words, np.int64)
+
+
+def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Shortest runs (first, last) with at least ``min_words`` words, from
+    every line on and up to every line."""
+    upto = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(upto, upto[:-1] + min_words)              # run first..end-1
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    n = len(words)
+    out = {(i, int(e) - 1) for i, e in enumerate(ends) if e <= n}
+    out |= {(int(s), j) for j, s in enumerate(starts) if s >= 0}
+    return sorted(out)
+
+
+def fingerprints(text: str | None, min_words: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(line hash, [(window hash, first, last)]) of each selected line, with
+    places in the text."""
+    if not text:
+        return []
+    place, hashes, words = content_lines(text)
+    if words.sum() < min_words:
+        return []
+    chosen: dict[int, list[tuple[int, int, int]]] = {}
+    raw = hashes.tobytes()
+    for i, j in windows(words, min_words):
+        part = hashes[i:j + 1]
+        at = j - int(np.argmin(part[::-1]))
+        chosen.setdefault(at, []).append((xxhash.xxh3_64_intdigest(raw[8 * i:8 * j + 8]), place[i], place[j]))
+    return [(int(hashes[at]), found) for at, found in chosen.items()]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprint_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, line_hash, runs): one row per selected line."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    run_type = pa.list_(pa.struct([("run", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, line, runs = [], [], []
+            for r, t in enumerate(b.column(2)):
+                for h, found in fingerprints(t.as_py(), min_words):
+                    row.append(r), line.append(_signed(h))
+                    runs.append([{"run": _signed(x), "first": i, "last": j} for x, i, j in found])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(line, pa.int64()),
+                 pa.array(runs, run_type)], ["id", "text_hash", "line_hash", "runs"])
+
+    return arrow_map(
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
+                    F.col(text_col).cast("string").alias("text")), run,
+        f"id {kind}, text_hash bigint, line_hash bigint, "
+        "runs array<struct<run:bigint,first:int,last:int>>")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """(id, text_hash, first, last): windows that stand earlier already, by
+    their first and last line in the text."""
+    prints = materialise(fingerprint_table(docs, min_words, id_col, text_col), "fingerprints")
+    place = F.struct("id", "text_hash", F.col("runs")[0]["first"].alias("first"))
+    shared = (prints.groupBy("line_hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+              .filter(~F.col("a").eqNullSafe(F.col("b"))).select("line_hash"))
+    spots = (prints.join(shared, "line_hash", "left_semi")
+             .select("id", "text_hash", "line_hash", F.explode("runs").alias("r"))
+             .select("id", "text_hash", "line_hash", "r.run", "r.first", "r.last"))
+    spots = materialise(spots, "positions")
+    spot = F.struct("id", "text_hash", "first")
+    origin = (spots.groupBy("line_hash", "run").agg(F.min(spot).alias("o"), F.max(spot).alias("z"))
+              .filter(~F.col("o").eqNullSafe(F.col("z"))).drop("z"))
+    return (spots.join(origin, ["line_hash", "run"]).filter(~spot.eqNullSafe(F.col("o")))
+            .select("id", "text_hash", "first", "last").distinct())
+
+
+def delete_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """Text without the lines of the runs, deleted lines, deleted words."""
+    lines = text.split("\n")
+    gone = np.zeros(len(lines) + 1, np.int64)
+    for i, j in runs:
+        gone[i] += 1
+        gone[j + 1] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    kept = [x for x, g in zip(lines, gone) if not g]
+    return "\n".join(kept), int(gone.sum()), sum(len(x.split()) for x, g in zip(lines, gone) if g)
+
+
+def _marked(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """All columns of the rows with _deleted, the repeated windows of the text
+    by first and last line (null: none)."""
+    found = (repeated_runs(docs, min_words, id_col, text_col).groupBy("id", "text_hash")
+             .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_deleted"))
+             .select(F.col("id").alias("_run_id"), F.col("text_hash").alias("_run_hash"), "_deleted"))
+    return docs.join(found, docs[id_col].eqNullSafe(found["_run_id"])
+                     & (F.xxhash64(docs[text_col]) == found["_run_hash"]), "left").drop("_run_id", "_run_hash")
+
+
+def _cleaned(texts: pa.Array, deleted: pa.Array) -> tuple[list, list, list]:
+    """Texts without the deleted lines, numbers of lines and of words deleted."""
+    out = [(t, 0, 0) if t is None or not d else delete_runs(t, [(r["first"], r["last"]) for r in d])
+           for t, d in zip(texts.to_pylist(), deleted.to_pylist())]
+    return tuple(map(list, zip(*out))) if out else ([], [], [])
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """(id_col, text, n_deleted_lines, n_deleted_words, deleted): every
+    document with later repeats of passages deleted; ``deleted`` are the
+    windows, by first and last line in the original text."""
+    marked = _marked(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), min_words,
+                     id_col, "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, lines, words = _cleaned(b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(text, pa.string()), pa.array(lines, pa.int64()),
+                 pa.array(words, pa.int64()), b.column(2)],
+                [id_col, "text", "n_deleted_lines", "n_deleted_words", "deleted"])
+
+    return arrow_map(marked, run, f"`{id_col}` {kind}, text string, n_deleted_lines bigint, "
+                     "n_deleted_words bigint, deleted array<struct<first:int,last:int>>")
+
+
+def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text",
+            chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with later repeats of passages deleted from the
+    text, and ``chars_col``, where there is one, counted anew for such rows."""
+    marked = _marked(docs, min_words, id_col, text_col)
+    at, names = docs.columns.index(text_col), docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, lines, _ = _cleaned(b.column(at), b.column(len(names)))
+            cols = list(b.columns[:len(names)])
+            cols[at] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([n > 0 for n in lines], pa.bool_())],
+                                             [*names, "_changed"])
+
+    out = arrow_map(marked.select(*names, "_deleted"), run, fields + ", _changed boolean")
+    if chars_col in names:
+        kind = docs.schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(F.col("_changed"), F.length(text_col).cast(kind))
+                             .otherwise(F.col(chars_col)))
+    return out.drop("_changed")

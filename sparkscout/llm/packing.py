@@ -50,8 +50,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, t in enumerate(b.column(1)):
-                data = enc.encode(t.as_py()) + end
+            for r, data in enumerate(enc.encode_many(b.column(1).to_pylist())):
+                data += end
                 lengths = cut_lengths(len(data) // 4, capacity)
                 for k, (n, at) in enumerate(zip(lengths, accumulate(lengths, initial=0))):
                     part = data[4 * at:4 * (at + n)]

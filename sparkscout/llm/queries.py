@@ -8,14 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, tokenstore
-from .base import scratch_path, table
+import corpus_pipeline
+
+from . import (bpe, html_blocks, langid, linededup, nndescent, packing, quality, simhash, tokenstore,
+               toxicity)
+from .base import crc_mod, scratch_path, table
 from .tokenizing import public_path
 
 #: the id appended to every document by the token store and packing queries
 END_ID = 2
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.simhash_groups(docs, shingle=4, radius=4, seed=42).select(
@@ -23,6 +30,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.learn(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score",
+                                                             "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = langid.learn(docs.filter(~held_out), public_path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nndescent.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50).select(
+        "doc_id", "text", "n_deleted_lines", "n_deleted_words")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = scratch_path(spark, "tokenstore")
@@ -49,8 +81,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op7_token_store, op8_quality_divergence,
-                                    op9_best_fit_packing, op10_byte_bpe)}
+    ops = (op1_html_text, op2_simhash, op3_toxicity, op4_language_id, op5_nn_descent, op6_line_dedup,
+           op7_token_store, op8_quality_divergence, op9_best_fit_packing, op10_byte_bpe)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

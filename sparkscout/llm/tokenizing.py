@@ -9,13 +9,17 @@ single spaces and line feeds are given to the library whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from unicodedata import normalize
 
 import numpy as np
 
-#: entries of one generation of a process-wide cache
+#: entries of a process-wide cache
 CACHE_ENTRIES = 400_000
 
+#: texts, and characters, that are encoded together
+GROUP_TEXTS, GROUP_CHARS = 128, 2_000_000
+
 #: white space other than the space and the line feed, as ``str.isspace`` has it
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
@@ -27,26 +31,46 @@ def irregular(text: str) -> bool:
             or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in OTHER_SPACE))
 
 
-class Generations:
-    """A bounded cache: when the new generation is full it becomes the old
-    one, and what is used again moves over.  ``new`` is read directly."""
+class SeenTwice:
+    """A bounded cache that keeps what came up in two groups of texts; most
+    different words come up once.  ``known`` is read directly: put what
+    :meth:`missing` names in it, use it, then :meth:`settle`."""
+
+    SLOTS = 1 << 22
 
     def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.new, self.old = entries, {}, {}
-
-    def unknown(self, keys) -> list:
-        """The distinct keys that neither generation has; room is made first."""
-        if len(self.new) > self.entries:
-            self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for k in dict.fromkeys(keys):
-            if k not in new:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
+        self.entries, self.known = entries, {}
+        self.seen, self.marks = bytearray(self.SLOTS), 0
+
+    def missing(self, keys: set) -> list:
+        return list(keys.difference(self.known))
+
+    def settle(self, added: list) -> None:
+        known, seen, top, marks = self.known, self.seen, self.SLOTS - 1, 0
+        for k in added:
+            slot = hash(k) & top
+            if not seen[slot]:
+                seen[slot] = 1
+                marks += 1
+                del known[k]
+        self.marks += marks
+        if self.marks > self.SLOTS // 4:
+            self.seen, self.marks = bytearray(self.SLOTS), 0
+        if len(known) > self.entries:
+            known.clear()
+
+
+def grouped(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts (null: empty) in groups that are encoded together."""
+    group, chars = [], 0
+    for t in texts:
+        group.append(t or "")
+        chars += len(t or "")
+        if len(group) == GROUP_TEXTS or chars > GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
 
 
 #: marks that end a word without joining it
@@ -69,9 +93,10 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaces_matter = spaces_matter
-        self.chunks = Generations()
-        self.stems = Generations()
+        self.chunks = SeenTwice()
+        self.stems = SeenTwice(CACHE_ENTRIES // 2)
         self.tails: dict[str, bytes] = {"": b""}
+        self.line = self._whole("\n")
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that open (close) a word
         for token, i in vocab.items():
@@ -80,39 +105,49 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return _pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _learn_stems(self, stems: list[str]) -> None:
+    def _stem_ids(self, stems: list[str]) -> dict[str, bytes]:
         """Many words of letters only in one call; each is one pre-token, and
-        its first (last) id tells where it begins (ends)."""
-        missing = self.stems.unknown(stems)
-        if not missing:
-            return
-        known = self.stems.new
-        ids = np.asarray(self.tok.encode(" " + " ".join(missing), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.edge[ids])
-        if len(at) != len(missing):        # a letter that the file's normaliser splits or drops
-            for s in missing:
-                known[s] = self._whole(" " + s)
-            return
-        data = ids.tobytes()
-        cuts = ((np.append(at, len(ids)) if self.spaces_matter else np.append(0, at + 1)) * 4).tolist()
-        for s, lo, hi in zip(missing, cuts, cuts[1:]):
-            known[s] = data[lo:hi]
-
-    def _learn(self, parts) -> None:
-        tails, plain, stems, odd = self.tails, [], [], []
-        missing = self.chunks.unknown(parts)
-        known = self.chunks.new
+        its first (last) id tells where it begins (ends).  A stem that opens a
+        line has a line feed before it and no space."""
+        out, spaced, opening = {}, [], []
+        for s in stems:
+            (opening if s[0] == "\n" else spaced).append(s)
+        if spaced:
+            ids = np.asarray(self.tok.encode(" " + " ".join(spaced), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(spaced):
+                data = ids.tobytes()
+                cuts = ((np.append(at, len(ids)) if self.spaces_matter else np.append(0, at + 1)) * 4).tolist()
+                for s, lo, hi in zip(spaced, cuts, cuts[1:]):
+                    out[s] = data[lo:hi]
+            else:                          # a letter that the file's normaliser splits or drops
+                for s in spaced:
+                    out[s] = self._whole(" " + s)
+        if opening:
+            data = self._whole("".join(opening))
+            at = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line, "<u4")[0])
+            cuts = (np.append(at, len(data) // 4) * 4).tolist()
+            for s, lo, hi in zip(opening, cuts, cuts[1:]):
+                out[s] = data[lo:hi]
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        """Put the ids of chunks into the cache."""
+        tails, known, plain, stems, odd = self.tails, self.chunks.known, [], [], []
         for p in missing:
             stem = p.rstrip(_TAIL)
             if stem.isalpha() and (self.spaces_matter or stem.isascii()
-                                   or normalize("NFC", stem).lower().isalpha()):
+                                   or normalize("NFC", stem).lower().isalpha()) or (
+                                       stem[:1] == "\n" and stem[1:].isalpha()):
                 plain.append(p)
                 stems.append(stem)
             else:
                 odd.append(p)
         if plain:
-            self._learn_stems(stems)
-            ids = self.stems.new
+            new = self.stems.missing(set(stems))
+            ids = self.stems.known
+            if new:
+                ids.update(self._stem_ids(new))
             for p, stem in zip(plain, stems):
                 if len(p) == len(stem):
                     known[p] = ids[stem]
@@ -123,27 +158,41 @@ class ChunkEncoder:
                         tails.clear()
                     tails[tail] = self._whole(tail)
                 known[p] = ids[stem] + tails[tail]
+            self.stems.settle(new)
         if odd:
             texts = ([p if p[:1] == "\n" else " " + p for p in odd] if self.spaces_matter else odd)
             for p, e in zip(odd, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
                 known[p] = _pack(e.ids)
 
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        heads, parts = [], []
+        for t in texts:
+            if not self.spaces_matter:
+                heads.append(b"")
+                parts.append(t.replace("\n", " ").split(" "))
+            elif not t or irregular(t):
+                heads.append(self._whole(t))
+                parts.append(())
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                heads.append(self._whole(first))
+                parts.append(rest)
+        missing = self.chunks.missing(set().union(*parts))
+        if missing:
+            self._learn(missing)
+        get = self.chunks.known.__getitem__
+        out = [h + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        if missing:
+            self.chunks.settle(missing)
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """ids of each text in turn."""
+        for group in grouped(texts):
+            yield from self.encode_group(group)
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.spaces_matter:
-            parts = text.replace("\n", " ").split(" ")
-            head = b""
-        elif irregular(text):
-            return self._whole(text)
-        else:
-            first, *parts = text.replace("\n", " \n").split(" ")
-            head = self._whole(first)
-        try:
-            return head + b"".join(map(self.chunks.new.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-            return head + b"".join(map(self.chunks.new.__getitem__, parts))
+        return self.encode_group([text or ""])[0]
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -184,8 +184,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 out, lo = fs.open_output_stream(f"{folder}/{name}.ids"), ids[0]
             hi = ids[-1]
             keys += ordinals.keys(ids)
-            for t in b.column(1):
-                data = enc.encode(t.as_py())
+            for data in enc.encode_many(b.column(1).to_pylist()):
                 if width == 2:
                     data = np.frombuffer(data, "<u4").astype("<u2").tobytes()
                 out.write(data + end)
