@@ -53,6 +53,23 @@ def crc_mod(key: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % mod
 
 
+def hash_share(key: Column, share: Column | float) -> Column:
+    """Whether a key's hash falls into the first ``share`` of all hashes."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share * F.lit(float(1 << 40))
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until none is a name of ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

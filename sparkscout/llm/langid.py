@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise
+from .base import arrow_map, free_names, hash_share, materialise
 
 #: runs of letters (a superset of marks and numbers is cut off by isalpha)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -154,9 +154,15 @@ def learn(docs: DataFrame, vocabulary_path: str, docs_per_lang: int = 500, round
           lang_col: str = "lang") -> Model:
     """Fit from the rows with text and language.  ``prior`` is the count that
     every piece has before it is seen."""
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = (named.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"))
+    keys = named.select(F.col(lang_col).cast("string").alias("_lang"), F.col(id_col).alias("_id"))
+    sizes = {r["_lang"]: r["count"] for r in keys.groupBy("_lang").count().collect()}   # a row a language
+    share = F.lit(1.0)
+    for lang, n in sorted(sizes.items()):
+        share = F.when(F.col("_lang") == lang, min(1.0, 2.0 * docs_per_lang / n)).otherwise(share)
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    # a share by hash first, so that few more rows than the bound meet in a window
+    ids = (keys.filter(hash_share(F.col("_id"), share) | (F.col("_id").isNull()))
            .withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= docs_per_lang)
            .select("_id").distinct())
     sample = named.join(ids, named[id_col].eqNullSafe(ids["_id"]), "left_semi")
@@ -298,8 +304,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def filter_rows(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, whose text is in a learned language with
     at least this score."""
-    return mark_rows(docs, model, text_col, "_lang_pred", "_lang_score").filter(
-        (F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least_score)).drop("_lang_pred", "_lang_score")
+    lang, score = free_names(docs.columns, "_lang_pred", "_lang_score")
+    return mark_rows(docs, model, text_col, lang, score).filter(
+        (F.col(lang) != "und") & (F.col(score) >= least_score)).drop(lang, score)
 
 
 def mark_rows(docs: DataFrame, model: Model, text_col: str, lang_name: str, score_name: str) -> DataFrame:
@@ -315,4 +322,4 @@ def mark_rows(docs: DataFrame, model: Model, text_col: str, lang_name: str, scor
                 [*b.columns, pa.array(lang, pa.string()), pa.array(score)],
                 [*names, lang_name, score_name])
 
-    return arrow_map(docs, run, ", ".join([*fields, f"{lang_name} string", f"{score_name} double"]))
+    return arrow_map(docs, run, ", ".join([*fields, f"`{lang_name}` string", f"`{score_name}` double"]))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise
+from .base import arrow_map, free_names, materialise
 
 
 def content_lines(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -138,14 +138,15 @@ def delete_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(kept), int(gone.sum()), sum(len(x.split()) for x, g in zip(lines, gone) if g)
 
 
-def _marked(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """All columns of the rows with _deleted, the repeated windows of the text
-    by first and last line (null: none)."""
+def _marked(docs: DataFrame, name: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """All columns of the rows, and the repeated windows of the text by first
+    and last line (null: none) under ``name``."""
+    run_id, run_hash = free_names(docs.columns, "_run_id", "_run_hash")
     found = (repeated_runs(docs, min_words, id_col, text_col).groupBy("id", "text_hash")
-             .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_deleted"))
-             .select(F.col("id").alias("_run_id"), F.col("text_hash").alias("_run_hash"), "_deleted"))
-    return docs.join(found, docs[id_col].eqNullSafe(found["_run_id"])
-                     & (F.xxhash64(docs[text_col]) == found["_run_hash"]), "left").drop("_run_id", "_run_hash")
+             .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(name))
+             .select(F.col("id").alias(run_id), F.col("text_hash").alias(run_hash), name))
+    return docs.join(found, docs[id_col].eqNullSafe(found[run_id])
+                     & (F.xxhash64(docs[text_col]) == found[run_hash]), "left").drop(run_id, run_hash)
 
 
 def _cleaned(texts: pa.Array, deleted: pa.Array) -> tuple[list, list, list]:
@@ -160,8 +161,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """(id_col, text, n_deleted_lines, n_deleted_words, deleted): every
     document with later repeats of passages deleted; ``deleted`` are the
     windows, by first and last line in the original text."""
-    marked = _marked(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), min_words,
-                     id_col, "text")
+    marked = _marked(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "_deleted",
+                     min_words, id_col, "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,8 @@ def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
             chars_col: str = "n_chars") -> DataFrame:
     """All rows and columns, with later repeats of passages deleted from the
     text, and ``chars_col``, where there is one, counted anew for such rows."""
-    marked = _marked(docs, min_words, id_col, text_col)
+    deleted, changed = free_names(docs.columns, "_deleted", "_changed")
+    marked = _marked(docs, deleted, min_words, id_col, text_col)
     at, names = docs.columns.index(text_col), docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -190,11 +192,11 @@ def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
             cols = list(b.columns[:len(names)])
             cols[at] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array([n > 0 for n in lines], pa.bool_())],
-                                             [*names, "_changed"])
+                                             [*names, changed])
 
-    out = arrow_map(marked.select(*names, "_deleted"), run, fields + ", _changed boolean")
+    out = arrow_map(marked, run, f"{fields}, `{changed}` boolean")
     if chars_col in names:
         kind = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("_changed"), F.length(text_col).cast(kind))
+        out = out.withColumn(chars_col, F.when(F.col(changed), F.length(text_col).cast(kind))
                              .otherwise(F.col(chars_col)))
-    return out.drop("_changed")
+    return out.drop(changed)

@@ -32,7 +32,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = crc_mod("doc_id", 3) == 1
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = toxicity.learn(docs, labels.filter(~held_out))
     return toxicity.score(docs, model, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score",
                                                              "predicted")
@@ -40,7 +40,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 5) == 0
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = langid.learn(docs.filter(~held_out), public_path("piece_bpe_32k.model"))
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

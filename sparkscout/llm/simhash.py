@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise
+from .base import arrow_map, free_names, materialise
 from .components import components
 
 BITS = 64
@@ -175,8 +175,9 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str =
     """One document of each group: the one with the least id (of rows that
     repeat this id, the one with the least text)."""
     groups = simhash_groups(docs, shingle, radius, id_col=id_col, text_col=text_col)
+    keep, place = free_names(docs.columns, "_keep", "_place")
     stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(
-        F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_keep"]), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        F.col(id_col).alias(keep)).distinct()
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay[keep]), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)

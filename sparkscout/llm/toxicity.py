@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise
+from .base import arrow_map, free_names, hash_share, materialise
 
 # Insults in common use, English, French, German, Spanish.
 INSULTS = """
@@ -135,12 +135,13 @@ DENSE = 4 + len(PATTERN_NAMES)
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str,
                   label_col: str) -> DataFrame:
     """(_text, _y): at most ``sample_rows`` labelled rows in hash order,
-    without near copies (equal least hash of five-word shingles)."""
+    then without near copies (equal least hash of five-word shingles)."""
     marks = (labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
              .agg(F.max(label_col).alias("_y")))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("_id"), "_id")
-    # row_number() <= n keeps n rows a task before the rows meet
-    marks = marks.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= sample_rows)
+    n = marks.count()
+    # a share by hash first, so that few more than sample_rows rows meet in the limit
+    marks = (marks.filter(hash_share(F.col("_id"), min(1.0, 1.5 * sample_rows / max(n, 1))))
+             .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(
         marks.select("_id", "_y"), "_id")
     words = F.split(F.lower(F.coalesce("_text", F.lit(""))), r"\s+")
@@ -356,7 +357,7 @@ def mark_rows(docs: DataFrame, model: Model, text_col: str, score_name: str) ->
             p = 1 / (1 + np.exp(-np.clip(np.asarray(z, float), -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*names, score_name])
 
-    return arrow_map(docs, run, ", ".join([*fields, f"{score_name} double"]))
+    return arrow_map(docs, run, ", ".join([*fields, f"`{score_name}` double"]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id",
@@ -368,4 +369,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
 def filter_rows(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, that score below the threshold."""
-    return mark_rows(docs, model, text_col, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    (name,) = free_names(docs.columns, "_toxicity")
+    return mark_rows(docs, model, text_col, name).filter(F.col(name) < threshold).drop(name)
