@@ -88,8 +88,8 @@ def to_long(df: DataFrame, cols: list[str], cast: str = "double",
             ids: list[str] | None = None) -> DataFrame:
     """Unpivot ``cols`` into (ids..., column, value) rows (one Expand, no shuffle)."""
     ids = list(ids or [])
-    projected = df.select(*ids, *[F.col(c).cast(cast).alias(c) for c in cols])
-    return projected.unpivot(ids, cols, name, value)
+    projected = df.select(*[F.col(f"`{c}`") for c in ids], *[F.col(f"`{c}`").cast(cast).alias(c) for c in cols])
+    return projected.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in cols], name, value)
 
 
 def conform(df: DataFrame, schema: T.StructType = INSIGHT_SCHEMA) -> DataFrame:

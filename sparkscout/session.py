@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint that cuts the lineage of small loop state."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "state") -> DataFrame:
+    """Write a frame to the shared checkpoint folder as Parquet and read it
+    back: cuts the lineage, survives lost executors, and later passes read
+    only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
