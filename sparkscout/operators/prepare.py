@@ -16,23 +16,35 @@ from pyspark.sql import types as T
 
 from ..schema import (CATEGORY_TYPES, NUMERIC_TYPES, TIME_TYPES, category_cols,
                       numeric_cols, position_of, time_cols)
+from ..sources.tables import normalise
 from .categorical import APPROX_RSD, surely_above, top_values
 from .quantiles import column_quantiles
 
 # Timestamp formats tried, in order, on string columns.  ``None``
 # is Spark's ISO-8601 cast.  A value must contain a date separator, so that a
 # bare number such as '1999' is never read as a date.
-TIMESTAMP_FORMATS = [None, "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd HH:mm:ss",
-                     "MM/dd/yyyy HH:mm:ss"]
-DATE_SHAPE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+TIMESTAMP_FORMATS = [None, "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d H:mm:ss",
+                     "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy",
+                     "d MMMM yyyy", "d-MMM-yyyy", "yyyyMMdd"]
+DATE_SHAPE = (r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\p{L}{3,9}\.? \d{1,2}, \d{4}|\d{1,2}[ -]\p{L}{3,9}[ -]\d{4}"
+              r"|(19|20)\d{6}\s*$)")
 # Cheap shape test per format: the parser only runs on values that can match.
 FORMAT_SHAPES = {
     None: r"^\s*\d{4}-\d{1,2}-\d{1,2}",
-    "yyyy/MM/dd": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "MM/dd/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "dd.MM.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
-    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d",
-    "MM/dd/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy/M/d H:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d",
+    "M/d/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d",
+    "d/M/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d",
+    "MMM d, yyyy": r"^\p{L}{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^\p{L}{3,9} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} \p{L}{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} \p{L}{3,9} \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-\p{L}{3}-\d{4}$",
+    "yyyyMMdd": r"^(19|20)\d{6}$",
 }
 
 
@@ -304,16 +316,12 @@ def _scan_columns(df: DataFrame, str_cols: list[str],
     exprs += [F.approx_count_distinct(strip(F.col(_q(c))), APPROX_RSD).alias(f"__hd{ci}")
               for ci, c in enumerate(str_cols)]
     exprs += [F.count_if(strip(F.col(_q(c))) == "").alias(f"__bl{ci}") for ci, c in enumerate(str_cols)]
-    nums = numeric_cols(df)
-    exprs += [F.min(F.col(_q(c)).cast("double")).alias(f"__lo{i}") for i, c in enumerate(nums)]
-    exprs += [F.max(F.col(_q(c)).cast("double")).alias(f"__hi{i}") for i, c in enumerate(nums)]
     row = df.agg(*exprs).first()
     nn = {c: row[f"__nn{i}"] for i, c in enumerate(df.columns)}
     ts = {(c, fi): row[f"__ts{ci}_{fi}"] for ci, c in enumerate(str_cols)
           for fi in range(len(formats))}
     ts.update({("__approx", c): row[f"__hd{ci}"] for ci, c in enumerate(str_cols)})
     ts.update({("__blank", c): row[f"__bl{ci}"] for ci, c in enumerate(str_cols)})
-    ts.update({("__range", c): (row[f"__lo{i}"], row[f"__hi{i}"]) for i, c in enumerate(nums)})
     return row["__rows"], nn, ts
 
 
@@ -372,6 +380,7 @@ def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
     view.  Decisions come from two scans (one aggregate, one shuffle on
     string values) plus the median passes for columns that have nulls; the
     views are lazy projections over the source."""
+    df = normalise(df)
     str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     n_rows, nn, ts = _scan_columns(df, str_cols, formats)
     null_frac = {c: ((n_rows - nn[c]) / n_rows if n_rows else 0.0) for c in df.columns}
@@ -381,14 +390,8 @@ def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
     gappy = [c for c in num if nn[c] < n_rows]
     meds = {}
     if gappy:
-        # the first scan already has count/min/max of these columns: seed the
-        # exact quantile with them instead of scanning the source again
-        seed = df.sparkSession.createDataFrame(
-            [(c, nn[c]) + tuple(ts[("__range", c)]) for c in gappy],
-            "column string, n long, min double, max double")
         meds = {r["column"]: r["median"] for r in column_quantiles(
-            df, gappy, [0.5], ["median"], approx=approx,
-            **({} if approx else {"stats": seed})).collect()}
+            df, gappy, [0.5], ["median"], approx=approx).collect()}
     stamps = {}
     for c in str_cols:
         if c not in keep:

@@ -2,22 +2,20 @@
 without pulling a whole group into one task.
 
 ``percentile`` keeps a value->count map per group and merges it in one task,
-which is unbounded for a continuous column over a large table.  Here a group
-is only ever sorted once it holds at most ``max_group_rows`` rows:
-
-1. one aggregate pass gives ``n, min, max`` per group;
-2. every needed order statistic (ranks ``floor((n-1)p)`` and ``ceil((n-1)p)``)
-   becomes a target ``(group, rank, lo, hi, k, count)``;
-3. while a target's value range still holds more than ``max_group_rows``
-   rows, an equi-width histogram of ``buckets`` bins over ``[lo, hi]``
-   (map-side combined, at most ``buckets`` rows per range) narrows the range
-   to the bin holding rank ``k``; bins are re-bounded by their real min/max so
-   the range always contains exactly the bin's rows;
-4. the final pass sorts each remaining range (bounded) with ``row_number``
-   and picks the ranks.
-
-Loop state is tiny (one row per target) and is cut with a reliable
-checkpoint each round.
+which is unbounded for a continuous column over a large table.  Here one path
+serves every size:
+
+1. one scan: the count of each group and ``splits`` quantile sketch points
+   (``percentile_approx``, bounded memory).  The points next to a wanted rank
+   bracket it for certain, because the sketch is ten times finer than them;
+2. while a bracket may hold more than ``max_bracket_rows`` rows, its own sketch
+   points narrow it by a further scan.  Only values strictly inside count, so
+   each round leaves fewer of them, however often the ends repeat;
+3. one scan counts what lies below each bracket and the different values
+   inside it; the wanted rank is found in their running sum.
+
+Infinite values are ordinary ordered values; no step does arithmetic on
+bounds.  The state (a few rows per group) is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -27,28 +25,29 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-DEFAULT_MAX_GROUP_ROWS = 1 << 20
-DEFAULT_BUCKETS = 4096
-BROADCAST_TARGET_ROWS = 200_000
+MAX_BRACKET_ROWS = 1 << 20
+SPLITS = 1000
+#: groups up to which their brackets are sent to every task
+BROADCAST_GROUPS = 50_000
 
 
 def _prob_name(p: float) -> str:
     return "q" + f"{p:g}".replace(".", "_").replace("-", "m")
 
 
+def _sketch(splits: int):
+    return F.percentile_approx("_v", [i / splits for i in range(splits + 1)], 10 * splits)
+
+
 def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None,
-                    max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                    buckets: int = DEFAULT_BUCKETS, approx: bool = False,
-                    accuracy: int = 10000, stats: DataFrame | None = None) -> DataFrame:
+                    names: list[str] | None = None, max_bracket_rows: int = MAX_BRACKET_ROWS,
+                    splits: int = SPLITS, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Quantiles of ``value`` per ``keys`` group.
 
     Returns ``keys + [n] + names`` (one column per probability, DOUBLE).
     Nulls and NaN are ignored; an all-null group is absent.
     ``approx=True`` switches to ``percentile_approx`` (one pass, bounded
     memory, returns an element instead of the interpolated value).
-    ``stats`` (``keys, n, min, max`` of the non-null values) saves the first
-    scan when the caller has already aggregated them.
     """
     names = names or [_prob_name(p) for p in probs]
     keys = list(keys)
@@ -59,106 +58,78 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
         agg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pa.alias("_qs"))
         return agg.select(*keys, "n", *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
 
-    if stats is None:
-        stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    else:
-        stats = stats.select(*keys, F.col("n"), F.col("min").cast("double").alias("_lo"),
-                             F.col("max").cast("double").alias("_hi")).filter(F.col("n") > 0)
+    sketch = checkpoint(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch(splits).alias("_s")))
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = (stats.select(*keys, "n", "_lo", "_hi", F.posexplode(plist).alias("_qi", "_p"))
+    wanted = (sketch.select(*keys, "n", F.posexplode(plist).alias("_qi", "_p"))
               .withColumn("_pos", (F.col("n") - 1) * F.col("_p"))
               .withColumn("_rlo", F.floor("_pos").cast("long"))
               .withColumn("_rhi", F.ceil("_pos").cast("long"))
               .withColumn("_frac", F.col("_pos") - F.col("_rlo")))
-    wanted = checkpoint(wanted)
-    largest = wanted.agg(F.max("n")).first()[0]
-    if largest is None:
-        return wanted.select(*keys, "n", *[F.lit(None).cast("double").alias(nm) for nm in names]) \
-            .limit(0)
-    if largest <= max_group_rows:
-        return _single_pass(base, wanted, keys, names,
-                            small=wanted.count() <= BROADCAST_TARGET_ROWS)
-    state = (wanted.select(*keys, "_lo", "_hi", "n",
-                           F.explode(F.array("_rlo", "_rhi")).alias("_k"))
-             .distinct()
-             .select(*keys, F.col("_k").alias("_rank"), "_lo", "_hi", "_k",
-                     F.col("n").alias("_c")))
-    state = checkpoint(state)
-
-    range_cols = keys + ["_lo", "_hi"]
-    open_cond = (F.col("_c") > max_group_rows) & (F.col("_lo") < F.col("_hi"))
+    # a target is one wanted rank; it lies between the sketch points _lo and _hi
+    targets = (wanted.select(*keys, F.explode(F.array("_rlo", "_rhi")).alias("_rank")).distinct()
+               .join(sketch, keys))
+    targets = checkpoint(_bracket(targets, F.lit(0).cast("long"), F.col("n"), splits).select(
+        *keys, "_rank", "_lo", "_hi", F.ceil(3 * F.col("n") / splits).alias("_most")))
     while True:
-        big = state.filter(open_cond)
-        n_big = big.count()
-        if n_big == 0:
+        wide = targets.filter((F.col("_most") > max_bracket_rows) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
             break
-        ranges = big.select(*range_cols).distinct()
-        if n_big <= BROADCAST_TARGET_ROWS:
-            ranges = F.broadcast(ranges)
-        width = F.col("_hi") - F.col("_lo")
-        # clamp before floor so an overflowing ratio never reaches an ANSI cast
-        bucket = F.floor(F.least((F.col("_v") - F.col("_lo")) / width * buckets,
-                                 F.lit(float(buckets - 1)))).cast("int")
-        hist = (base.join(ranges, keys)
-                .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .withColumn("_b", bucket)
-                .groupBy(*range_cols, "_b")
-                .agg(F.count(F.lit(1)).alias("_bc"), F.min("_v").alias("_bmin"),
-                     F.max("_v").alias("_bmax")))
-        w = Window.partitionBy(*range_cols).orderBy("_b").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("_cum", F.sum("_bc").over(w))
-        chosen = (big.join(hist, range_cols)
-                  .filter((F.col("_cum") - F.col("_bc") <= F.col("_k"))
-                          & (F.col("_k") < F.col("_cum")))
-                  .select(*keys, "_rank", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                          (F.col("_k") - (F.col("_cum") - F.col("_bc"))).alias("_k"),
-                          F.col("_bc").alias("_c")))
-        state = checkpoint(state.filter(~open_cond).unionByName(chosen))
-
-    # Final pass: each open range holds <= max_group_rows rows -> bounded sort.
-    pending = state.filter(F.col("_lo") < F.col("_hi"))
-    ranges = pending.select(*range_cols).distinct()
-    w = Window.partitionBy(*range_cols).orderBy("_v")
-    # The range table has one row per open target; the planner broadcasts it
-    # when its (checkpoint-recorded) size is under the broadcast threshold.
-    ranked = (base.join(ranges, keys)
-              .filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-              .withColumn("_rn", F.row_number().over(w) - 1))
-    picked = (ranked.join(pending.withColumnRenamed("_k", "_rn"), range_cols + ["_rn"])
-              .select(*keys, "_rank", F.col("_v").alias("_val")))
-    points = state.filter(F.col("_lo") >= F.col("_hi")).select(
-        *keys, "_rank", F.col("_lo").alias("_val"))
-    values = picked.unionByName(points)
-
-    lo_v = values.withColumnRenamed("_rank", "_rlo").withColumnRenamed("_val", "_vlo")
-    hi_v = values.withColumnRenamed("_rank", "_rhi").withColumnRenamed("_val", "_vhi")
-    interp = (wanted.join(lo_v, keys + ["_rlo"]).join(hi_v, keys + ["_rhi"])
-              .withColumn("_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")))
-    out = interp.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
-    return out
-
-
-def _single_pass(base: DataFrame, wanted: DataFrame, keys: list[str],
-                 names: list[str], small: bool) -> DataFrame:
-    """Every group holds at most ``max_group_rows`` rows: gather each group's
-    values once (bounded), sort them and read the needed ranks.  The target
-    table (one row per group and probability) is the broadcast side when its
-    checked row count is small, so the value arrays never move again."""
-    sorted_vals = base.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
-    j = sorted_vals.join(F.broadcast(wanted) if small else wanted, keys)
-    q = (F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))
-         + (F.element_at("_vs", (F.col("_rhi") + 1).cast("int"))
-            - F.element_at("_vs", (F.col("_rlo") + 1).cast("int"))) * F.col("_frac"))
-    interp = j.select(*keys, "n", "_qi", q.alias("_q"))
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+        inner = (v > lo) & (v < hi)
+        found = checkpoint(_located(base, wide, keys).groupBy(*keys, "_rank", "_lo", "_hi").agg(
+            F.count_if(v <= lo).alias("_below"), F.count_if(inner).alias("_in"),
+            F.percentile_approx(F.when(inner, v), [i / splits for i in range(splits + 1)], 10 * splits).alias("_s")))
+        # the rank is an end of the bracket or strictly inside; only the latter goes on
+        rank, below, count = F.col("_rank"), F.col("_below"), F.col("_in")
+        narrowed = _bracket(found.withColumnsRenamed({"_lo": "_lo0", "_hi": "_hi0"}), below, F.greatest(count, F.lit(1)),
+                            splits)
+        at_lo, at_hi = rank < below, rank >= below + count
+        narrowed = narrowed.select(
+            *keys, "_rank", F.when(at_lo, F.col("_lo0")).when(at_hi, F.col("_hi0")).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(at_lo, F.col("_lo0")).when(at_hi, F.col("_hi0")).otherwise(F.col("_hi")).alias("_hi"),
+            F.least(F.ceil(3 * count / splits), count - 1).alias("_most"))
+        rest = targets.join(wide.select(*keys, "_rank"), [*keys, "_rank"], "left_anti")
+        targets = checkpoint(rest.unionByName(narrowed.select(rest.columns)))
+
+    # below a bracket all rows fall into one group, inside it one per value
+    seen = _located(base, targets, keys).groupBy(
+        *keys, "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_val")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_rank").orderBy(F.col("_val").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    values = (seen.withColumn("_cum", F.sum("_c").over(w))
+              .filter((F.col("_cum") > F.col("_rank")) & (F.col("_cum") - F.col("_c") <= F.col("_rank")))
+              .select(*keys, "_rank", "_val"))
+    lo_v = values.select(*keys, F.col("_rank").alias("_rlo"), F.col("_val").alias("_vlo"))
+    hi_v = values.select(*keys, F.col("_rank").alias("_rhi"), F.col("_val").alias("_vhi"))
+    between = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
+        F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+    interp = (wanted.join(lo_v, keys + ["_rlo"]).join(hi_v, keys + ["_rhi"]).withColumn("_q", between))
     return interp.groupBy(*keys).agg(
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
 
 
+def _bracket(targets: DataFrame, below, count, splits: int) -> DataFrame:
+    """Add _lo and _hi: sketch points one before and two after the share of
+    the rank among the ``count`` sketched rows."""
+    at = F.floor((F.col("_rank") - below) * F.lit(splits) / count).cast("int")
+    return (targets.withColumn("_lo", F.get("_s", F.greatest(at - 1, F.lit(0))))
+            .withColumn("_hi", F.get("_s", F.least(at + 2, F.lit(splits)))))
+
+
+def _located(base: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the base for each target whose upper end they do not exceed:
+    (keys, _v, _rank, _lo, _hi).  One list of brackets per group, so every row is
+    read once; it is sent to all tasks where the groups are few."""
+    lists = targets.groupBy(*keys).agg(F.collect_list(F.struct("_rank", "_lo", "_hi")).alias("_t"))
+    if lists.count() <= BROADCAST_GROUPS:
+        lists = F.broadcast(lists)
+    hit = F.filter("_t", lambda t: F.col("_v") <= t["_hi"])
+    return base.join(lists, keys).select(*keys, "_v", F.explode(hit).alias("_h")).select(
+        *keys, "_v", "_h._rank", "_h._lo", "_h._hi")
+
+
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                      names: list[str] | None = None, **kw) -> DataFrame:
     """Quantiles of each column in ``cols``: rows ``(column, n, q...)``."""
