@@ -11,15 +11,15 @@ fitted once per target, not once per scenario.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import readable_label
 from ..schema import numeric_cols
 from .correlations import pearson_long
+from .ordering import steady
 
 # Name fragments (substring match, lower case) that exclude a
 # column from automatic scenarios, and that mark a column as a business KPI.
@@ -34,12 +34,19 @@ def numeric_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).na.drop(), cols
 
 
+def _vector(data: DataFrame, features: list[str]) -> DataFrame:
+    """Add _features.  Names may hold dots, which the assembler can't take."""
+    plain = [f"_f{k}" for k in range(len(features))]
+    with_plain = data.select("*", *[F.col(f"`{c}`").alias(p) for c, p in zip(features, plain)])
+    return VectorAssembler(inputCols=plain, outputCol="_features").transform(with_plain).drop(*plain)
+
+
 def fit_outcome_model(data: DataFrame, target: str, features: list[str], num_trees: int = 50,
-                      max_depth: int = 10, max_bins: int = 32, seed: int = 42):
+                      max_depth: int = 20, max_bins: int = 128, seed: int = 42):
     """Random forest of ``target`` on ``features`` (bootstrap, all
     features per split, in-sample)."""
-    vec = VectorAssembler(inputCols=features, outputCol="_features").transform(data)
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=num_trees,
+    vec = _vector(data, features).withColumn("_target", F.col(f"`{target}`"))
+    rf = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=num_trees,
                                maxDepth=max_depth, maxBins=max_bins, seed=seed,
                                featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
     return rf.fit(vec)
@@ -60,12 +67,12 @@ def score_scenarios(data: DataFrame, model, features: list[str],
     gen = F.explode(F.array(*[
         F.struct(F.lit(i).alias("scenario"), F.lit(c).cast("string").alias("change_col"),
                  F.lit(p).alias("pct_change")) for i, c, p in spec])).alias("s")
-    ex = data.select(*features, gen).select(*features, "s.*")
+    cells = [F.col(f"`{c}`") for c in features]
+    ex = data.select(*cells, gen).select(*cells, "s.*")
     factor = 1 + F.col("pct_change") / 100.0
     adj = ex.select("scenario", "change_col", "pct_change", *[
-        F.when(F.col("change_col") == F.lit(f), F.col(f) * factor).otherwise(F.col(f)).alias(f)
-        for f in features])
-    vec = VectorAssembler(inputCols=features, outputCol="_features").transform(adj)
+        F.when(F.col("change_col") == F.lit(f), v * factor).otherwise(v).alias(f) for f, v in zip(features, cells)])
+    vec = _vector(adj, features)
     pred = model.transform(vec)
     return pred.groupBy("scenario", "change_col", "pct_change").agg(
         F.avg("prediction").alias("predicted_mean"))
@@ -109,15 +116,15 @@ def whatif(df: DataFrame, target: str, change_col: str, pct_change: float = 10.0
     unknown or non-numeric column or when target == change column."""
     data, cols = numeric_frame(df)
     if target not in cols or change_col not in cols:
-        raise ValueError("Columns not numeric or missing")
+        raise ValueError(f"what-if needs numeric columns; not found: "
+                         f"{[c for c in (target, change_col) if c not in cols]}")
     if target == change_col:
         raise ValueError("target and change column must differ")
     features = [c for c in cols if c != target]
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = steady(data)
     model = fit_outcome_model(data, target, features, **model_kw)
     scored = {r["scenario"]: r["predicted_mean"] for r in
               score_scenarios(data, model, features, [(change_col, pct_change)]).collect()}
-    data.unpersist()
     base, mod = scored[-1], scored[0]
     d = _delta(base, mod)
     drivers = top_drivers(model, features)
@@ -134,94 +141,98 @@ def whatif(df: DataFrame, target: str, change_col: str, pct_change: float = 10.0
 
 
 def whatif_candidates(df: DataFrame) -> DataFrame:
-    """Per numeric column of the complete numeric rows: distinct count,
-    whether it may be simulated and whether it is a target candidate."""
+    """Per numeric column of the complete numeric rows whether it takes
+    two, or more than two, different values, whether it may be simulated and
+    whether it is a target candidate.
+
+    Two algebraic passes answer that: least and greatest value, then whether
+    a value lies between them.  No distinct count is needed.
+    """
     data, cols = numeric_frame(df)
-    nun = data.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).first() if cols else {}
-    rows = []
-    for i, c in enumerate(cols):
-        low = c.lower()
-        rows.append((c, i, int(nun[c]), not any(b in low for b in EXCLUDED_NAME_PARTS),
-                     any(k in low for k in KPI_NAME_PARTS)))
-    base_valid = [r[0] for r in rows if r[3] and r[2] > 2]
-    fallback = len(base_valid) < 2
-    valid = [r[0] for r in rows if r[2] > 1] if fallback else base_valid
-    if len(valid) < 2:
-        valid = []
-    kpis = [c for c in valid if any(k in c.lower() for k in KPI_NAME_PARTS)]
-    targets = kpis or valid
-    out = [(c, i, n, c in valid, c in targets) for (c, i, n, _, _) in rows]
+    ends = data.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{k}") for k, c in enumerate(cols)
+                      for n, f in (("lo", F.min), ("hi", F.max))]).first() if cols else {}
+    inner = data.agg(*[F.coalesce(F.bool_or((F.col(f"`{c}`") > ends[f"lo{k}"]) & (F.col(f"`{c}`") < ends[f"hi{k}"])),
+                                  F.lit(False)).alias(f"m{k}") if ends[f"lo{k}"] is not None
+                       else F.lit(False).alias(f"m{k}") for k, c in enumerate(cols)]).first() if cols else {}
+    varies = {c: ends[f"lo{k}"] is not None and ends[f"lo{k}"] < ends[f"hi{k}"] for k, c in enumerate(cols)}
+    several = {c: varies[c] and inner[f"m{k}"] for k, c in enumerate(cols)}
+    named = {c: any(x in c.lower() for x in EXCLUDED_NAME_PARTS) for c in cols}
+    usable = [c for c in cols if several[c] and not named[c]]
+    if len(usable) < 2:
+        usable = [c for c in cols if varies[c]]
+    if len(usable) < 2:
+        usable = []
+    goals = [c for c in usable if any(x in c.lower() for x in KPI_NAME_PARTS)] or usable
     return df.sparkSession.createDataFrame(
-        out, "column string, pos int, n_unique long, valid boolean, is_target boolean")
+        [(c, k, varies[c], several[c], c in usable, c in goals) for k, c in enumerate(cols)],
+        "column string, pos int, varies boolean, several boolean, valid boolean, is_target boolean")
+
+
+DELTAS = ("pass string, target_pos int, change_rank int, change_col string, target_col string, "
+          "pct_change_input double, predicted_original_mean double, predicted_modified_mean double, "
+          "delta_pct double, drivers array<struct<raw_col:string,importance:double>>")
+
+
+def select_scenarios(deltas: DataFrame, limit: int = 3, min_effect: float = 0.5) -> DataFrame:
+    """W7 selection over a table of scored scenarios (:data:`DELTAS`).
+
+    Of pass A count effects above ``min_effect`` percent, of pass B any.  A
+    pair of columns is reported once whichever is the target: at its place of
+    lowest target and relation rank, in pass B only if pass A has no report of
+    it.  The first ``limit`` reports in the order of pass, target and rank."""
+    pair = [F.least("change_col", "target_col"), F.greatest("change_col", "target_col")]
+    able = deltas.filter((F.col("pass") == "B") | (F.abs("delta_pct") > min_effect))
+    order = ["pass", "target_pos", "change_rank"]
+    best = Window.partitionBy(*pair).orderBy(*order)
+    return (able.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
+            .orderBy(*order).limit(limit))
+
+
+def relation_ranks(data: DataFrame, cols: list[str]) -> DataFrame:
+    """(target, other, rank): the other columns by descending |r|, columns
+    without r last, then in column order."""
+    half = pearson_long(data, cols)
+    both = half.select(F.col("col_a").alias("target"), F.col("col_b").alias("other"), F.col("pos_b").alias("pos"), "r") \
+        .unionByName(half.select(F.col("col_b").alias("target"), F.col("col_a").alias("other"),
+                                 F.col("pos_a").alias("pos"), "r"))
+    w = Window.partitionBy("target").orderBy(F.abs("r").desc_nulls_last(), "pos")
+    return both.select("target", "other", (F.row_number().over(w)).alias("rank"))
 
 
 def auto_whatif(df: DataFrame, limit: int = 3, **model_kw) -> DataFrame:
-    """Pick up to ``limit`` scenarios automatically.
+    """Scenarios chosen without a question from the user.
 
-    Targets in column order; change columns by |corr| with the target
-    (desc).  Pass A tries +20 % and keeps effects above 0.5 %; pass B fills
-    up with +10 % on pairs not used yet.  A pair is unordered.
+    Each target, in column order, gets one model; all its changes (+20 % in
+    pass A, +10 % in pass B) are scored in one job and added to a table, from
+    which :func:`select_scenarios` takes the reports.  Targets after ``limit``
+    reports of pass A can't change the result and are not fitted.
     """
-    cand = whatif_candidates(df).collect()
-    valid = [r["column"] for r in cand if r["valid"]]
-    targets = [r["column"] for r in cand if r["is_target"]]
-    schema = ("pass string, change_col string, target_col string, pct_change_input double, "
-              "predicted_original_mean double, predicted_modified_mean double, delta_pct double, "
-              "recommendation string")
+    marks = whatif_candidates(df).orderBy("pos").collect()
+    usable = [r["column"] for r in marks if r["valid"]]
     spark = df.sparkSession
-    if len(valid) < 2:
-        return spark.createDataFrame([], schema)
-    data, cols = numeric_frame(df)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    corr = {}
-    for r in pearson_long(data, valid).collect():
-        v = None if r["r"] is None else abs(r["r"])
-        corr[(r["col_a"], r["col_b"])] = corr[(r["col_b"], r["col_a"])] = v
-
-    def related(t):
-        others = [c for c in valid if c != t]
-        # |corr| desc, NaN last, column order on ties (stable)
-        return sorted(others, key=lambda c: (corr.get((t, c)) is None,
-                                             -(corr.get((t, c)) or 0.0), valid.index(c)))
-
-    scored: dict[str, dict] = {}
-
-    def score(t):
-        if t not in scored:
-            features = [c for c in cols if c != t]
-            model = fit_outcome_model(data, t, features, **model_kw)
-            sc = [(c, 20.0) for c in related(t)] + [(c, 10.0) for c in related(t)]
-            res = score_scenarios(data, model, features, sc).collect()
-            scored[t] = {(r["change_col"], r["pct_change"]): r["predicted_mean"] for r in res}
-        return scored[t]
-
-    results, seen = [], set()
-    try:
-        for t in targets:
-            for c in related(t):
-                pair = frozenset((t, c))
-                if pair in seen:
-                    continue
-                s = score(t)
-                base, mod = s[(None, 0.0)], s[(c, 20.0)]
-                d = _delta(base, mod)
-                if abs(d) > 0.5:
-                    results.append(("A", c, t, 20.0, base, mod, d, recommendation(d)))
-                    seen.add(pair)
-                if len(results) >= limit:
-                    return with_texts(spark.createDataFrame(results, schema))
-        for t in targets:
-            for c in related(t):
-                pair = frozenset((t, c))
-                if pair in seen:
-                    continue
-                s = score(t)
-                base, mod = s[(None, 0.0)], s[(c, 10.0)]
-                d = _delta(base, mod)
-                results.append(("B", c, t, 10.0, base, mod, d, recommendation(d)))
-                seen.add(pair)
-                if len(results) >= limit:
-                    return with_texts(spark.createDataFrame(results, schema))
-        return with_texts(spark.createDataFrame(results, schema))
-    finally:
-        data.unpersist()
+    table = spark.createDataFrame([], DELTAS)
+    if usable:
+        data, cols = numeric_frame(df)
+        data = steady(data)
+        ranks: dict[str, list] = {}
+        for r in relation_ranks(data, usable).orderBy("target", "rank").collect():   # pairs of columns
+            ranks.setdefault(r["target"], []).append((r["other"], r["rank"]))
+        for place, goal in enumerate(r["column"] for r in marks if r["is_target"]):
+            features = [c for c in cols if c != goal]
+            model = fit_outcome_model(data, goal, features, **model_kw)
+            plan = [(p, pct, c, k) for p, pct in (("A", 20.0), ("B", 10.0)) for c, k in ranks.get(goal, [])]
+            means = {r["scenario"]: r["predicted_mean"] for r in
+                     score_scenarios(data, model, features, [(c, pct) for _, pct, c, _ in plan]).collect()}
+            drivers = [(x["raw_col"], x["importance"]) for x in top_drivers(model, features)]
+            table = table.unionByName(spark.createDataFrame(
+                [(p, place, k, c, goal, pct, means[-1], means[n], _delta(means[-1], means[n]), drivers)
+                 for n, (p, pct, c, k) in enumerate(plan)], DELTAS))
+            if select_scenarios(table.filter(F.col("pass") == "A"), limit).count() >= limit:
+                break
+    chosen = select_scenarios(table, limit)
+    d = F.col("delta_pct")
+    named = F.transform("drivers", lambda x: F.struct(readable_label(x["raw_col"]).alias("feature"),
+                                                      x["raw_col"].alias("raw_col"), x["importance"].alias("importance")))
+    return with_texts(chosen.withColumn("drivers", named).withColumn(
+        "recommendation", F.when(d > 2.0, F.lit("boost")).when(d < -2.0, F.lit("risk")).otherwise(F.lit("inelastic")))
+        .orderBy("pass", "target_pos", "change_rank").drop("target_pos", "change_rank"))
