@@ -910,7 +910,7 @@ def _candidates_sql(table, cols):
         f"ELSE n_unique > 1 END AS v0 FROM b), "
         f"w AS (SELECT *, v0 AND sum(CAST(v0 AS INT)) OVER () >= 2 AS valid FROM v), "
         f"k AS (SELECT *, valid AND regexp_matches(lower(\"column\"), '{kpi}') AS kpi FROM w) "
-        f"SELECT \"column\", pos, n_unique, valid, CASE WHEN sum(CAST(kpi AS INT)) OVER () > 0 THEN kpi "
+        f"SELECT \"column\", pos, n_unique > 1 AS varies, n_unique > 2 AS several, valid, CASE WHEN sum(CAST(kpi AS INT)) OVER () > 0 THEN kpi "
         f"ELSE valid END AS is_target FROM k")
 
 
@@ -1044,10 +1044,179 @@ def q_line_sorted(spark, d):
     return ln.select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_totalprice")
 
 
-@query("scatter_sample")
-def q_scatter_sample(spark, d):
-    """No oracle: a seeded sample is the feature."""
-    return explore.scatter_sample(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+SQL["scatter"] = "SELECT l_quantity, l_extendedprice, l_returnflag, l_hover FROM (" \
+    "SELECT l_quantity, l_extendedprice, l_returnflag, l_orderkey AS l_hover FROM lineitem)"
+
+
+@query("scatter")
+def q_scatter(spark, d):
+    """E5: every row, with a colour and a hover column."""
+    li = load(spark, d, "lineitem").withColumn("l_hover", F.col("l_orderkey"))
+    return explore.scatter(li, "l_quantity", "l_extendedprice", "l_returnflag", ["l_hover"])
+
+
+SQL["scatter_matrix"] = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem"
+
+
+@query("scatter_matrix")
+def q_scatter_matrix(spark, d):
+    return explore.scatter_matrix(load(spark, d, "lineitem"))
+
+
+SQL["scatter_bins"] = (
+    "WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, "
+    "max(l_extendedprice) AS y1 FROM lineitem) "
+    "SELECT CAST(least(floor((l_quantity - x0) / ((x1 - x0) / 20)) + 1, 20) AS INTEGER) AS bin_x, "
+    "CAST(least(floor((l_extendedprice - y0) / ((y1 - y0) / 20)) + 1, 20) AS INTEGER) AS bin_y, "
+    "count(*) AS count FROM lineitem, r GROUP BY 1, 2")
+
+
+@query("scatter_bins")
+def q_scatter_bins(spark, d):
+    return explore.scatter_bins(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice", bins=20)
+
+
+SQL["box_stats_color"] = (
+    "WITH b AS (SELECT l_returnflag AS category, l_linestatus AS color, CAST(l_quantity AS DOUBLE) AS v FROM lineitem), "
+    "q AS (SELECT category, color, count(*) AS n, quantile_cont(v, 0.25) AS q1, median(v) AS median, "
+    "quantile_cont(v, 0.75) AS q3 FROM b GROUP BY 1, 2) "
+    "SELECT category, color, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3 FROM q")
+
+
+@query("box_stats_color")
+def q_box_stats_color(spark, d):
+    b = explore.box_stats(load(spark, d, "lineitem"), "l_quantity", "l_returnflag", color="l_linestatus")
+    return b.select("category", "color", "n", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"))
+
+
+# ---- whole tables with hot rows, nulls, quotes and other date formats ---------------
+
+_HOT_SQL = ("SELECT ts, event_id, CAST(user_id AS DOUBLE) AS user_id, value FROM events "
+            "UNION ALL SELECT TIMESTAMP '1999-01-01 00:00:00', -1, 5.0, 2.5 FROM events WHERE event_id % 2 = 0")
+SQL["lag_correlations_hot"] = ("WITH src AS (" + _HOT_SQL + "), lg AS (" + _lag_table_sql(
+    "src", "ts, event_id", ["user_id", "value"]) + ") SELECT cause, effect, lag_rows, n, round(r, 6) AS r FROM lg")
+
+
+@query("lag_correlations_hot")
+def q_lag_correlations_hot(spark, d):
+    """M11 where a third of all rows are equal in every column."""
+    ev = load(spark, d, "events").select("ts", "event_id", F.col("user_id").cast("double").alias("user_id"), "value")
+    same = load(spark, d, "events").filter("event_id % 2 = 0").select(
+        F.lit("1999-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(-1).cast("bigint").alias("event_id"),
+        F.lit(5.0).alias("user_id"), F.lit(2.5).alias("value"))
+    t = lags.lag_correlations(ev.unionByName(same), "ts", ["user_id", "value"], tiebreak=["event_id"])
+    return t.select("cause", "effect", "lag_rows", "n", r6("r").alias("r"))
+
+
+_DAY_NUM = ["day_total", "day_orders", "running_total"]
+_DAY_SQL = ("SELECT o_orderdate AS day, sum(o_totalprice) AS day_total, CAST(count(*) AS DOUBLE) AS day_orders, "
+            "sum(sum(o_totalprice)) OVER (ORDER BY o_orderdate) AS running_total FROM orders GROUP BY o_orderdate")
+SQL["lead_indicators_daily"] = _lead_sql("SELECT * FROM (" + _lag_table_sql("(" + _DAY_SQL + ")", "day", _DAY_NUM) + ")",
+                                         0.05)
+
+
+@query("lead_indicators_daily")
+def q_lead_indicators_daily(spark, d):
+    """M11 on one row per order day, with a running total."""
+    from pyspark.sql import Window
+    days = load(spark, d, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(
+        F.sum("o_totalprice").alias("day_total"), F.count(F.lit(1)).cast("double").alias("day_orders"))
+    # one row per day, however many orders there are
+    days = days.withColumn("running_total", F.sum("day_total").over(Window.orderBy("day")))
+    f = lags.lead_indicators(lags.lag_correlations(days, "day", _DAY_NUM), min_abs=0.05)
+    return f.select("cause", "effect", "lag_rows", r6("r_value").alias("r_value"))
+
+
+def _pair_ranks_sql(src, cols):
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(
+                f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(x, y), 6) AS spearman FROM (SELECT "
+                f"rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, "
+                f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y "
+                f"FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+    return _union(parts)
+
+
+SQL["spearman_doc_labels"] = "WITH dl AS (" + DOC_LABELS_SQL + ")\n" + _pair_ranks_sql("dl", _DL_NUM)
+
+
+@query("spearman_doc_labels")
+def q_spearman_doc_labels(spark, d):
+    """M2 with nulls: each pair over the rows where both columns have a value."""
+    s = correlations.spearman_long(doc_labels(spark, d), _DL_NUM)
+    return s.select("col_a", "col_b", r6("spearman").alias("spearman"))
+
+
+SQL["csv_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@query("csv_documents")
+def q_csv_documents(spark, d):
+    """Whole texts with quotes and line breaks through a CSV file."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(load(spark, d, "documents"), path)
+    return read_table(spark, path, fmt="csv")
+
+
+_DATE_FORMS = {"us": ("M/d/yyyy", "%-m/%-d/%Y"), "day_first": ("d.M.yyyy", "%-d.%-m.%Y"),
+               "named": ("MMM d, yyyy", "%b %-d, %Y"), "compact": ("yyyyMMdd", "%Y%m%d")}
+SQL["infer_date_formats"] = ("SELECT o_orderkey, " + ", ".join(
+    f"strftime(o_orderdate, '%Y-%m-%d') AS {c}" for c in _DATE_FORMS) + " FROM orders")
+
+
+@query("infer_date_formats")
+def q_infer_date_formats(spark, d):
+    """P4 on dates written in several ways."""
+    o = load(spark, d, "orders").select("o_orderkey", *[
+        F.date_format("o_orderdate", f).alias(c) for c, (f, _) in _DATE_FORMS.items()])
+    out, _ = prepare.infer_timestamps(o, list(_DATE_FORMS))
+    return out.select("o_orderkey", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in _DATE_FORMS])
+
+
+_WIDE_COLS = ["l_returnflag", "l_linestatus", "l_suppkey"]
+_WIDE_SQL = "SELECT l_returnflag, l_linestatus, CAST(l_suppkey AS VARCHAR) AS l_suppkey FROM lineitem"
+SQL["rules_wide_column"] = (
+    _rules_sql(_WIDE_SQL, _WIDE_COLS) +
+    "SELECT antecedent, consequent, freq, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM r "
+    "WHERE lift >= 1.0 AND confidence >= 0.4")
+
+
+@query("rules_wide_column")
+def q_rules_wide_column(spark, d):
+    """M7/M8 beside a column with as many values as there are suppliers."""
+    t = load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string").alias("l_suppkey"))
+    n = t.count()
+    r = rules.association_rules(rules.frequent_itemsets(t, _WIDE_COLS, n_rows=n), n)
+    return r.select(F.array_join("antecedent", ", ").alias("antecedent"), F.array_join("consequent", ", ").alias("consequent"),
+                    "freq", r6("confidence").alias("confidence"), r6("lift").alias("lift"))
+
+
+_SEL_SQL = ("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END AS pass, CAST(l_suppkey AS INTEGER) AS target_pos, "
+            "CAST(min(l_partkey) AS INTEGER) AS change_rank, 'c' || (l_suppkey % 7) AS change_col, "
+            "'c' || (l_linenumber % 5 + 2) AS target_col, avg(l_discount) * 12 AS delta_pct FROM lineitem "
+            "GROUP BY l_linenumber, l_suppkey HAVING l_suppkey % 7 <> l_linenumber % 5 + 2")
+SQL["whatif_selection"] = (
+    f"WITH d AS ({_SEL_SQL}), able AS (SELECT * FROM d WHERE pass = 'B' OR abs(delta_pct) > 0.5), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY least(change_col, target_col), greatest(change_col, target_col) "
+    "ORDER BY pass, target_pos, change_rank) AS k FROM able) "
+    "SELECT pass, target_pos, change_rank, change_col, target_col FROM k WHERE k = 1 "
+    "ORDER BY pass, target_pos, change_rank LIMIT 12")
+
+
+@query("whatif_selection")
+def q_whatif_selection(spark, d):
+    """W7 selection over a table of effects taken from the line items."""
+    li = load(spark, d, "lineitem")
+    t = li.groupBy("l_linenumber", "l_suppkey").agg(
+        F.min("l_partkey").cast("int").alias("change_rank"), (F.avg("l_discount") * 12).alias("delta_pct"))
+    t = t.select(F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("B").alias("pass"),
+                 F.col("l_suppkey").cast("int").alias("target_pos"), "change_rank",
+                 F.concat(F.lit("c"), F.col("l_suppkey") % 7).alias("change_col"),
+                 F.concat(F.lit("c"), F.col("l_linenumber") % 5 + 2).alias("target_col"), "delta_pct")
+    t = t.filter("change_col <> target_col")
+    return whatif.select_scenarios(t, limit=12).select("pass", "target_pos", "change_rank", "change_col", "target_col")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

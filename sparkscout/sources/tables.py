@@ -39,33 +39,64 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
+# Texts that stand for a missing value in a CSV file.
+NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns of a CSV table with missing-value markers as NULL and the
+    narrowest type that all other values have: BIGINT, DOUBLE, BOOLEAN, ISO
+    TIMESTAMP, else STRING.  One aggregate decides for all columns."""
+    text = [F.col(f"`{c}`") for c in df.columns]
+    plain = df.select(*[F.when(~F.trim(v).isin(NULL_MARKERS), v).alias(c) for v, c in zip(text, df.columns)])
+    kinds = {"bigint": lambda v: v.rlike(r"^\s*[+-]?\d{1,18}\s*$"),
+             "double": lambda v: v.rlike(r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)\s*$")
+             | v.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*$"),
+             "boolean": lambda v: F.lower(F.trim(v)).isin("true", "false"),
+             "timestamp": lambda v: v.rlike(r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}.*)?$")
+             & F.try_to_timestamp(F.trim(v)).isNotNull()}
+    checks = [F.coalesce(F.bool_and(ok(F.col(f"`{c}`"))), F.lit(False)).alias(f"{kind}_{k}")
+              for k, c in enumerate(df.columns) for kind, ok in kinds.items()]
+    row = plain.agg(*checks).first() if checks else {}
+    out = []
+    for k, c in enumerate(df.columns):
+        kind = next((x for x in kinds if row[f"{x}_{k}"]), "string")
+        v = F.col(f"`{c}`")
+        out.append((v if kind == "string" else F.trim(v).cast(kind)).alias(c))
+    return plain.select(*out)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               schema: T.StructType | str | None = None,
-               header: bool = True, rebalance: bool = False) -> DataFrame:
+               schema: T.StructType | str | None = None, header: bool = True, rebalance: bool = False,
+               multiline: bool = True) -> DataFrame:
     """Read a CSV (header, inferred or given schema) or Parquet table.
 
-    The format is taken from the extension when ``fmt`` is not given.
+    The format is taken from the extension when ``fmt`` is not given.  CSV
+    fields may be quoted, ``""`` is a quote inside one, and the usual markers
+    (:data:`NULL_MARKERS`) are missing values.  ``multiline`` lets quoted
+    fields hold line breaks; such a file is read by one task, so set it to
+    False for large files without them, which Spark then splits.
     ``rebalance`` spreads an under-split input over the cluster's default
     parallelism (see :func:`balance`).
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", header)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        df = reader.csv(path)
+        reader = (spark.read.option("header", header).option("multiLine", multiline)
+                  .option("quote", '"').option("escape", '"').option("emptyValue", ""))
+        df = reader.schema(schema).csv(path) if schema is not None else typed(reader.csv(path))
     else:
+        reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.format(fmt).load(path)
     df = normalise(df)
     return balance(df) if rebalance else df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV sink with a header row and no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV sink with a header row and no index column; quotes inside a
+    field are doubled."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("emptyValue", "").csv(path))
 
 
 def insight_table(insights: DataFrame) -> DataFrame:

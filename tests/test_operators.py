@@ -40,15 +40,27 @@ def sales(spark):
 
 # ---- quantiles -------------------------------------------------------------
 
-def test_exact_quantiles_refinement_with_hot_value(spark):
+@pytest.mark.parametrize("most,splits", [(1 << 20, 1000), (40, 8), (300, 16)])
+def test_exact_quantiles_with_hot_value_heavy_tail_and_infinities(spark, most, splits):
     rng = np.random.default_rng(1)
-    v = np.concatenate([rng.normal(0, 1, 2000), np.full(1000, 0.25), rng.exponential(3, 500)])
-    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * len(v), "v": v}))
-    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    for cap, buckets in [(10**9, 4096), (40, 8), (300, 16)]:
-        got = exact_quantiles(df, ["g"], "v", probs, max_group_rows=cap, buckets=buckets).first()
-        for i, p in enumerate(probs):
-            assert got[f"q{p:g}".replace(".", "_")] == pytest.approx(np.quantile(v, p), abs=1e-12)
+    v = np.concatenate([rng.normal(0, 1, 2000), np.full(1000, 0.25), rng.exponential(3, 500) ** 9])
+    wild = np.concatenate([v, np.full(200, -np.inf), np.full(200, np.inf)])
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", float(x)) for x in wild], "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", probs, max_bracket_rows=most, splits=splits).collect()}
+    for p in probs:
+        name = f"q{p:g}".replace(".", "_")
+        assert got["a"][name] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12)
+        want = np.sort(wild)[round((len(wild) - 1) * p)] if p in (0.0, 1.0) else np.quantile(wild, p)
+        assert got["b"][name] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 11])
+def test_exact_quantiles_of_few_rows(spark, n):
+    v = list(range(n))
+    got = exact_quantiles(spark.createDataFrame([("a", float(x)) for x in v], "g string, v double"), ["g"], "v",
+                          [0.25, 0.5, 0.75]).first()
+    assert [got["q0_25"], got["q0_5"], got["q0_75"]] == pytest.approx(list(np.quantile(v, [0.25, 0.5, 0.75])))
 
 
 def test_column_quantiles_ignore_nulls(spark):
@@ -175,22 +187,48 @@ def test_planted_lag_found(spark, sales):
     assert best[("rainfall_mm", "sales_units")]["lag_rows"] == 2
 
 
-def test_halo_lag_equals_shift_across_partitions(spark):
+@pytest.mark.parametrize("bucket", [1, 7, 60, 1 << 16])
+def test_lags_equal_shift_for_any_bucket_and_hot_rows(spark, bucket):
     rng = np.random.default_rng(3)
     n = 700
     pdf = pd.DataFrame({"t": rng.integers(0, 50, n), "k": rng.permutation(n),
                         "a": rng.normal(size=n), "b": rng.normal(size=n)})
-    df = spark.createDataFrame(pdf)
-    frame = lags.lagged_frame(df, ["t", "k"], ["a", "b"], lags=(1, 3, 7), rows_per_partition=60)[0]
-    got = frame.orderBy("_idx").toPandas()
+    pdf.loc[rng.choice(n, 60, replace=False), "b"] = np.nan
+    same = pd.DataFrame({"t": [25] * 350, "k": [-1] * 350, "a": [0.5] * 350, "b": [2.0] * 350})
+    pdf = pd.concat([pdf, same], ignore_index=True)
+    df = spark.createDataFrame(pdf).repartition(5)
     ref = pdf.sort_values(["t", "k"]).reset_index(drop=True)
-    assert len(got) == n
-    for k in (1, 3, 7):
-        exp = ref["a"].shift(k).to_numpy()
-        np.testing.assert_allclose(got[f"lag_{k}_0"].to_numpy(dtype=float), exp, equal_nan=True)
-    t = {(r["cause"], r["effect"], r["lag_rows"]): r["r"] for r in
-         lags.lag_correlations(df, "t", ["a", "b"], tiebreak=["k"], rows_per_partition=60).collect()}
-    assert t[("a", "b", 3)] == pytest.approx(ref["a"].shift(3).corr(ref["b"]), abs=1e-12)
+    got = {(r["cause"], r["effect"], r["lag_rows"]): r for r in lags.lag_correlations(
+        df.withColumn("b", F.nanvl("b", F.lit(None).cast("double"))), "t", ["a", "b", "k"], tiebreak=["k"],
+        bucket_rows=bucket).collect()}
+    assert len(got) == 6 * 5
+    for (x, y, k), r in got.items():
+        shifted = ref[x].shift(k)
+        assert r["n"] == (shifted.notna() & ref[y].notna()).sum()
+        assert r["r"] == pytest.approx(shifted.corr(ref[y]), abs=1e-10)
+
+
+# ---- pairs ----------------------------------------------------------------------
+
+def test_correlations_with_nulls_match_pandas(spark):
+    rng = np.random.default_rng(9)
+    x = pd.DataFrame(rng.integers(0, 9, (400, 3)).astype(float), columns=["a.x", "b", "c"])
+    x["b"] += x["a.x"]
+    for c in x:
+        x.loc[rng.choice(400, 90, replace=False), c] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()],
+                               "`a.x` double, b double, c double")
+    want_p, want_s = x.corr(), x.corr("spearman")
+    for r in correlations.pearson_long(df).collect():
+        assert r["r"] == pytest.approx(want_p.loc[r["col_a"], r["col_b"]], abs=1e-12)
+    for r in correlations.spearman_long(df).collect():
+        assert r["spearman"] == pytest.approx(want_s.loc[r["col_a"], r["col_b"]], abs=1e-12)
+    assert {r["column"] for r in numeric.column_moments(df).collect()} == {"a.x", "b", "c"}
+
+
+def test_nan_in_a_raw_frame_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (5.0,)], "v double")
+    assert [r["v"] for r in prepare.prepare(df).clean.collect()] == [1.0, 3.0, 3.0, 5.0]
 
 
 # ---- association rules -----------------------------------------------------------

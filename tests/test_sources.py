@@ -41,3 +41,21 @@ def test_insight_table_order_and_markers(spark):
     r = out.first()
     assert r["description"] == "Value has 3" and r["questions"] == ["Why x?"]
     assert not math.isnan(r["final_score"])
+
+
+def test_csv_quotes_line_breaks_and_missing_values(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="sparkscout-test-"), "q.csv")
+    with open(path, "w") as fh:
+        fh.write('id,amt,note,none\n1,NA,"a ""quoted"" word",\n2,3.5,"two\nlines, one field",N/A\n3,null,NA,\n')
+    df = read_table(spark, path)
+    assert dict(df.dtypes)["id"] == "bigint" and dict(df.dtypes)["amt"] == "double"
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [
+        (1, None, 'a "quoted" word', None), (2, 3.5, "two\nlines, one field", None), (3, None, None, None)]
+
+
+def test_csv_round_trip_of_awkward_text(spark):
+    base = tempfile.mkdtemp(prefix="sparkscout-test-")
+    rows = [(1, 'say "x", then\ny'), (2, "back\\slash\\"), (3, "comma, only"), (4, '"')]
+    write_csv(spark.createDataFrame(rows, "a long, b string"), os.path.join(base, "out"))
+    back = read_table(spark, os.path.join(base, "out"), fmt="csv")
+    assert sorted((r["a"], r["b"]) for r in back.collect()) == rows
