@@ -1108,22 +1108,22 @@ def q_lag_correlations_hot(spark, d):
     return t.select("cause", "effect", "lag_rows", "n", r6("r").alias("r"))
 
 
-_DAY_NUM = ["day_total", "day_orders", "running_total"]
+_DAY_NUM = ["day_total", "day_orders", "week_mean"]
 _DAY_SQL = ("SELECT o_orderdate AS day, sum(o_totalprice) AS day_total, CAST(count(*) AS DOUBLE) AS day_orders, "
-            "sum(sum(o_totalprice)) OVER (ORDER BY o_orderdate) AS running_total FROM orders GROUP BY o_orderdate")
-SQL["lead_indicators_daily"] = _lead_sql("SELECT * FROM (" + _lag_table_sql("(" + _DAY_SQL + ")", "day", _DAY_NUM) + ")",
-                                         0.05)
+            "avg(sum(o_totalprice)) OVER (ORDER BY o_orderdate ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS week_mean "
+            "FROM orders GROUP BY o_orderdate")
+SQL["lead_indicators_daily"] = _lead_sql("SELECT * FROM (" + _lag_table_sql("(" + _DAY_SQL + ")", "day", _DAY_NUM) + ")")
 
 
 @query("lead_indicators_daily")
 def q_lead_indicators_daily(spark, d):
-    """M11 on one row per order day, with a running total."""
+    """M11 on one row per order day, with the mean of the last seven."""
     from pyspark.sql import Window
     days = load(spark, d, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(
         F.sum("o_totalprice").alias("day_total"), F.count(F.lit(1)).cast("double").alias("day_orders"))
     # one row per day, however many orders there are
-    days = days.withColumn("running_total", F.sum("day_total").over(Window.orderBy("day")))
-    f = lags.lead_indicators(lags.lag_correlations(days, "day", _DAY_NUM), min_abs=0.05)
+    days = days.withColumn("week_mean", F.avg("day_total").over(Window.orderBy("day").rowsBetween(-6, 0)))
+    f = lags.lead_indicators(lags.lag_correlations(days, "day", _DAY_NUM))
     return f.select("cause", "effect", "lag_rows", r6("r_value").alias("r_value"))
 
 
