@@ -180,3 +180,14 @@ def test_js_distance(spark):
 def test_op8_is_native(spark):
     plan = queries.op8_quality_divergence(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_groups_are_never_cut():
+    import pyarrow as pa
+    v = np.repeat(np.arange(40), np.random.default_rng(2).integers(1, 9, 40))
+    for size in (1, 3, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(v[k:k + size])], ["v"]) for k in range(0, len(v), size)]
+        parts = [t.column("v").to_numpy() for t in nndescent.whole_groups(iter(batches), "v")]
+        assert np.array_equal(np.concatenate(parts), v)
+        for a, b in zip(parts, parts[1:]):
+            assert a[-1] != b[0]
