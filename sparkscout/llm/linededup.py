@@ -113,15 +113,17 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     their first and last line in the text."""
     prints = materialise(fingerprint_table(docs, min_words, id_col, text_col), "fingerprints")
     place = F.struct("id", "text_hash", F.col("runs")[0]["first"].alias("first"))
-    shared = (prints.groupBy("line_hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-              .filter(~F.col("a").eqNullSafe(F.col("b"))).select("line_hash"))
+    # written before they are joined: a join straight onto an aggregate keeps its
+    # partitions, and a hot line would stay in one task
+    shared = materialise(prints.groupBy("line_hash").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                         .filter(~F.col("a").eqNullSafe(F.col("b"))).select("line_hash"), "shared")
     spots = (prints.join(shared, "line_hash", "left_semi")
              .select("id", "text_hash", "line_hash", F.explode("runs").alias("r"))
              .select("id", "text_hash", "line_hash", "r.run", "r.first", "r.last"))
     spots = materialise(spots, "positions")
     spot = F.struct("id", "text_hash", "first")
-    origin = (spots.groupBy("line_hash", "run").agg(F.min(spot).alias("o"), F.max(spot).alias("z"))
-              .filter(~F.col("o").eqNullSafe(F.col("z"))).drop("z"))
+    origin = materialise(spots.groupBy("line_hash", "run").agg(F.min(spot).alias("o"), F.max(spot).alias("z"))
+                         .filter(~F.col("o").eqNullSafe(F.col("z"))).drop("z"), "origins")
     return (spots.join(origin, ["line_hash", "run"]).filter(~spot.eqNullSafe(F.col("o")))
             .select("id", "text_hash", "first", "last").distinct())
 
