@@ -37,7 +37,7 @@ _TAIL = ".,;:!?*#%&$|"
 #: longest words that the table form of the forward pass takes
 _TABLE = 48
 #: chunks of one process-wide cache
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 450_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -56,6 +56,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: k for k, p in enumerate(pieces, 1)}
+        # beginnings of pieces that are no pieces: -1; anything else can't grow into one
+        self.reach = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.ids
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
 
@@ -63,13 +65,17 @@ class Lattice:
         """Every piece inside many marked words as (end, start, word rows,
         pieces), by ends, so that a forward pass can take them in order."""
         groups: dict[tuple[int, int], tuple[list, list]] = {}
-        find, longest = self.ids.get, self.longest
+        find, longest = self.reach.get, self.longest
         for r, w in enumerate(words):
             n = len(w)
             for s in range(n):
                 for e in range(s + 1, min(n, s + longest) + 1):
                     k = find(w[s:e])
                     if k is None:
+                        if e > s + 1:
+                            break
+                        k = 0
+                    elif k < 0:
                         if e > s + 1:
                             continue
                         k = 0
@@ -165,7 +171,8 @@ def learn(docs: DataFrame, vocabulary_path: str, docs_per_lang: int = 500, round
     ids = (keys.filter(hash_share(F.col("_id"), share) | (F.col("_id").isNull()))
            .withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= docs_per_lang)
            .select("_id").distinct())
-    sample = named.join(ids, named[id_col].eqNullSafe(ids["_id"]), "left_semi")
+    # at most docs_per_lang ids a language go to the tasks; the texts stay where they are
+    sample = named.join(F.broadcast(ids), named[id_col].eqNullSafe(ids["_id"]), "left_semi")
     runs = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = materialise(sample.select(F.col(lang_col).alias("lang"), runs.alias("word"))
                         .filter(F.length("word") < _TABLE)
