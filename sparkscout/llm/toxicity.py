@@ -51,7 +51,7 @@ _BANG = re.compile(r"!{3,}")
 _YOU = re.compile(r"\b(?:you|tu|du|tú)\b", re.I)
 #: word beginnings and endings that can become voters, by length
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (4, 5)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 
 
 def word_features(word: str) -> list[str]:
@@ -143,7 +143,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col:
     marks = (marks.filter(hash_share(F.col("_id"), min(1.0, 1.5 * sample_rows / max(n, 1))))
              .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(
-        marks.select("_id", "_y"), "_id")
+        F.broadcast(marks.select("_id", "_y")), "_id")          # at most sample_rows short rows
     words = F.split(F.lower(F.coalesce("_text", F.lit(""))), r"\s+")
     rows = rows.withColumn("_w", words)
     shingles = F.when(F.size("_w") >= 5, F.transform(
