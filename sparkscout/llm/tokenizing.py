@@ -15,7 +15,7 @@ from unicodedata import normalize
 import numpy as np
 
 #: entries of a process-wide cache
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 
 #: texts, and characters, that are encoded together
 GROUP_TEXTS, GROUP_CHARS = 128, 2_000_000
@@ -94,7 +94,7 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.spaces_matter = spaces_matter
         self.chunks = SeenTwice()
-        self.stems = SeenTwice(CACHE_ENTRIES // 2)
+        self.stems = SeenTwice(500_000)
         self.tails: dict[str, bytes] = {"": b""}
         self.line = self._whole("\n")
         vocab = self.tok.get_vocab()
