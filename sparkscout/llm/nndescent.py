@@ -2,8 +2,8 @@
 (operator 5).
 
 *Graph.*  Equal vectors are one node.  A first graph comes from leaves of
-random projection trees (sorted slabs, so a leaf has a fixed size whatever the
-data).  Each round gathers at every node its neighbours and a sample of the
+random projection trees (slabs of a sort by one projection, cut by a second
+one, so a leaf has a fixed size whatever the data).  Each round gathers at every node its neighbours and a sample of the
 nodes it is a neighbour of, compares those with each other and offers them to
 one another: neighbours of neighbours.  A pair is only compared if one of the
 two is new at that node, and only sent if it improves on the worst neighbour
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .base import arrow_map, materialise, ship
 from .packing import ordered_positions
 
-#: nodes of a leaf of a projection tree, and of the slabs above it
-LEAF, SLABS = 64, (4096, 512)
+#: nodes of a leaf of a projection tree, and of the slab above it
+LEAF, SLAB = 512, 4096
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -44,9 +44,10 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     ok = (F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
           & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
           & F.exists(v, lambda x: x != 0))
+    kind = vectors.schema[vec_col].dataType.elementType           # -0.0 becomes 0.0: equal vectors, one node
     rows = vectors.filter(F.coalesce(ok, F.lit(False))).select(
         F.col(id_col).cast("bigint").alias("id"),
-        F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("double")).alias("vec"))
+        F.transform(v, lambda x: F.when(x == 0, F.lit(0)).otherwise(x).cast(kind)).alias("vec"))
     size = rows.groupBy(F.size("vec").alias("s")).count().orderBy(F.desc("count"), "s").first()
     return rows.filter(F.size("vec") == (size["s"] if size else 0))
 
@@ -80,7 +81,14 @@ def _compact(nodes: DataFrame, scale: float, seeds: list[int]) -> DataFrame:
 
 
 def _vectors(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(len(col), -1).astype(np.float32)
+    """A column of half-precision vectors as one matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if not len(col):
+        return np.zeros((0, 0), np.float32)
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    return data.view(np.float16).reshape(len(col), -1).astype(np.float32)
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
@@ -108,48 +116,99 @@ def _first_graph(small: DataFrame, trees: int, k: int) -> DataFrame:
     """Pairs of leaf mates of ``trees`` projection trees."""
     out = None
     for t in range(trees):
-        p = [f"p{3 * t + j}" for j in range(3)]
-        slab = ordered_positions(small.select("node", "small", *p), p[0], "node").withColumn(
-            "slab", F.floor(F.col("position") / SLABS[0]))
-        for j, width in enumerate((SLABS[1], LEAF), 1):             # windows of one slab each
-            w = Window.partitionBy("slab").orderBy(p[j], "node")
-            per = SLABS[j - 1] // width
-            slab = slab.withColumn("slab", F.col("slab") * per + F.floor((F.row_number().over(w) - 1) / width))
-        pairs = slab.select("slab", "node", "small").groupBy("slab").applyInArrow(_leaf_pairs(k), PAIRS)
+        first, second = f"p{2 * t}", f"p{2 * t + 1}"
+        slab = ordered_positions(small.select("node", "small", first, second), first, "node").withColumn(
+            "slab", F.floor(F.col("position") / SLAB))
+        w = Window.partitionBy("slab").orderBy(second, "node")      # a window holds one slab
+        leaf = F.col("slab") * (SLAB // LEAF) + F.floor((F.row_number().over(w) - 1) / LEAF)
+        pairs = (slab.select(leaf.alias("leaf"), "node", "small").groupBy("leaf")
+                 .applyInArrow(_leaf_pairs(k), PAIRS))
         out = pairs if out is None else out.union(pairs)
     return out
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest of each a, of (a, b, d, fresh) with repeats; what was
-    there before stays old."""
-    once = pairs.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    there before stays old.  One shuffle by a serves both steps."""
+    once = pairs.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("a").orderBy("d", "b")
     return once.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
 
-def _local_join(t: pa.Table) -> pa.Table:
-    """Offers among the nodes gathered at one node."""
-    ids, at = np.unique(t.column("u").to_numpy(), return_index=True)
-    x = _vectors(t.column("small").take(pa.array(at)))
-    worst = t.column("worst").to_numpy()[at]
-    fresh = np.zeros(len(ids), bool)
-    np.logical_or.at(fresh, np.searchsorted(ids, t.column("u").to_numpy()), t.column("fresh").to_numpy() > 0)
-    d = _squares(x)
-    good = (fresh[:, None] | fresh[None, :]) & (d < worst[:, None])
-    np.fill_diagonal(good, False)
-    i, j = np.nonzero(good)
-    return pa.table([ids[i], ids[j], d[i, j].astype(np.float32)], ["a", "b", "d"])
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches of rows sorted by ``key``, cut between groups.  What is held
+    over is one group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        keys = b.column(key).to_numpy()
+        first = int(np.searchsorted(keys, keys[-1]))                # where the last group begins
+        if first:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, first)])
+            held = [b.slice(first)]
+        elif len(held) > 1 and held[-2].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held[:-1])
+            held = [b]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: nodes whose gathered neighbours are compared at once, and offers a pair of a
+#: node and a gathering sends at most (the graph keeps improving over the rounds)
+JOIN_NODES, OFFERS = 256, 16
+
+
+def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Offers among the nodes gathered at each node v; rows are sorted by
+    (v, u), and u may come twice."""
+    for t in whole_groups(batches, "v"):
+        v, u = t.column("v").to_numpy(), t.column("u").to_numpy()
+        fresh, worst = t.column("fresh").to_numpy() > 0, t.column("worst").to_numpy()
+        x = _vectors(t.column("small"))
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+        start = np.flatnonzero(new)
+        fresh = np.logical_or.reduceat(fresh, start)
+        v, u, worst, x = v[start], u[start], worst[start], x[start]
+        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        sizes = np.diff(np.append(head, len(v)))
+        live = np.logical_or.reduceat(fresh, head) & (sizes > 1)    # nothing new here: nothing to compare
+        head, sizes = head[live], sizes[live]
+        for at in range(0, len(head), JOIN_NODES):
+            h, n = head[at:at + JOIN_NODES], sizes[at:at + JOIN_NODES]
+            m = int(n.max())
+            slot = np.arange(m)[None, :] < n[:, None]
+            row = np.minimum(h[:, None] + np.arange(m)[None, :], len(v) - 1)
+            y = x[row] * slot[:, :, None]
+            sq = (y * y).sum(axis=2)
+            d = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * (y @ y.transpose(0, 2, 1)), 0.0)
+            f = fresh[row]
+            good = (f[:, :, None] | f[:, None, :]) & slot[:, :, None] & slot[:, None, :]
+            good &= (d < worst[row][:, :, None]) & ~np.eye(m, dtype=bool)[None]
+            d[~good] = np.inf
+            if m > OFFERS:
+                best = np.argpartition(d, OFFERS - 1, axis=2)[:, :, :OFFERS]
+                d = np.take_along_axis(d, best, axis=2)
+                g, i, k = np.nonzero(np.isfinite(d))
+                j = best[g, i, k]
+            else:
+                g, i, k = np.nonzero(np.isfinite(d))
+                j = k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u[row[g, i]]), pa.array(u[row[g, j]]), pa.array(d[g, i, k].astype(np.float32))],
+                ["a", "b", "d"])
 
 
-def neighbour_graph(nodes: DataFrame, k: int = 24, reverse: int = 20, rounds: int = 8, trees: int = 2,
+def neighbour_graph(nodes: DataFrame, k: int = 40, reverse: int = 32, rounds: int = 7, trees: int = 2,
                     least_change: float = 0.02, seed: int = 5) -> DataFrame:
     """(a, b, d): about the k nearest nodes b of every node a, d being the
     squared distance in half precision.  Stops when a round changes less than
     ``least_change`` of the graph."""
     ship(nodes.sparkSession)
     top = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    small = materialise(_compact(nodes, top, [seed * 1000 + j for j in range(3 * trees)]), "compact")
+    small = materialise(_compact(nodes, top, [seed * 1000 + j for j in range(2 * trees)]), "compact")
     vectors = small.select("node", "small")
     graph = materialise(_nearest(_first_graph(small, trees, k).withColumn("fresh", F.lit(1)), k), "graph")
     for _ in range(rounds):
@@ -161,9 +220,10 @@ def neighbour_graph(nodes: DataFrame, k: int = 24, reverse: int = 20, rounds: in
                                        .cast("float").alias("worst"))
         known = vectors.join(worst, vectors["node"] == worst["a"], "left").select(
             F.col("node").alias("u"), "small", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-        offers = gathered.join(known, "u").groupBy("v").applyInArrow(_local_join, PAIRS)
+        lists = gathered.join(known, "u").repartition("v").sortWithinPartitions("v", "u")
+        offers = lists.select("v", "u", "fresh", "small", "worst").mapInArrow(_local_join, PAIRS)
         merged = graph.select("a", "b", "d", F.lit(0).alias("fresh")).union(
-            offers.groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.lit(1).alias("fresh")))
+            offers.select("a", "b", "d", F.lit(1).alias("fresh")))
         graph = materialise(_nearest(merged, k), "graph")
         counts = graph.agg(F.count("*"), F.sum("fresh")).first()
         if not counts[0] or (counts[1] or 0) < least_change * counts[0]:
@@ -177,16 +237,16 @@ def _exact(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
-            y = b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)
+            x = b.column(2).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            y = b.column(3).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.sqrt(((x - y) ** 2).sum(axis=1)))], ["q", "node", "d"])
 
     return arrow_map(pairs.select("q", "node", "qvec", "vec"), run, "q bigint, node bigint, d double")
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, width: int = 80,
-           steps: int = 16) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, width: int = 100,
+           steps: int = 12) -> DataFrame:
     """(q, node, d): what a greedy search from each query node q has seen,
     itself included.  ``queries`` are nodes: (q)."""
     both = graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -211,7 +271,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, width: int =
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            graph_k: int = 24, width: int = 80) -> DataFrame:
+            graph_k: int = 40, width: int = 100) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest rows found for every row
     where ``is_query`` (a condition on ``id``) holds, nearest first."""
     rows = usable(vectors, id_col, vec_col)
