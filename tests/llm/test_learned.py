@@ -191,3 +191,10 @@ def test_groups_are_never_cut():
         assert np.array_equal(np.concatenate(parts), v)
         for a, b in zip(parts, parts[1:]):
             assert a[-1] != b[0]
+
+
+def test_op8_keeps_clean_documents(spark):
+    got = queries.op8_quality_divergence(spark, SF_MID).join(table(spark, SF_MID, "labels"), "doc_id").toPandas()
+    tried = got[~got.base_failed]
+    assert tried[tried.quality == 1].kept.mean() > 0.99
+    assert tried[tried.quality == 0].kept.mean() < 0.1
