@@ -19,7 +19,9 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application
-    (``addPyFile``), so that Python tasks can import it wherever they run."""
+    (``addPyFile``), so that Python tasks can import it wherever they run.
+    The driver's file server hands the archive out; no executor reads the
+    folder that it is packed in."""
     sc = spark.sparkContext
     if getattr(sc, "_sparkscout_shipped", False):
         return

@@ -49,6 +49,7 @@ def open_fs(path: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and inner path of a URI or a plain path."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
+    path = path.replace("s3a://", "s3://", 1)
     return pa.fs.FileSystem.from_uri(path)
 
 
