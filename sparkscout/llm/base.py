@@ -37,6 +37,17 @@ def ship(spark: SparkSession) -> None:
     sc._sparkscout_shipped = True
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def take_over(owner: str, clear: Callable[[], None]) -> None:
+    """Called by an operator that keeps a cache in its Python worker: the
+    caches that other operators left in this process are dropped first."""
+    for other in [o for o in _CACHES if o != owner]:
+        _CACHES.pop(other)()
+    _CACHES[owner] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, unchanged."""
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")

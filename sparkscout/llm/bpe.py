@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map
+from .base import arrow_map, take_over
 from .tokenizing import SeenTwice, grouped, irregular
 
 
@@ -180,7 +180,9 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     key = (path, pattern)
+    take_over("bpe", _CODECS.clear)
     if key not in _CODECS:
+        _CODECS.clear()
         _CODECS[key] = Codec(path, pattern)
     return _CODECS[key]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, hash_share, materialise
+from .base import arrow_map, free_names, hash_share, materialise, take_over
 
 #: runs of letters (a superset of marks and numbers is cut off by isalpha)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -284,6 +284,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def _scorer(name: str, model: Model) -> Scorer:
     """The scorer of a model, kept over the tasks of a worker."""
+    take_over("langid", _SCORERS.clear)
     if name not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[name] = Scorer(model)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, hash_share, materialise
+from .base import arrow_map, free_names, hash_share, materialise, take_over
 
 # Insults in common use, English, French, German, Spanish.
 INSULTS = """
@@ -335,6 +335,7 @@ _SCORERS: dict[str, Features] = {}
 
 def _features(name: str, model: Model) -> Features:
     """The features of a model, kept over the tasks of a worker."""
+    take_over("toxicity", _SCORERS.clear)
     if name not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[name] = Features(model.features)
