@@ -175,15 +175,16 @@ class ChunkEncoder:
             elif not t or irregular(t):
                 heads.append(self._whole(t))
                 parts.append(())
-            else:
-                first, *rest = t.replace("\n", " \n").split(" ")
-                heads.append(self._whole(first))
-                parts.append(rest)
+            else:                          # a line feed before the first word, taken off again below
+                heads.append(None)
+                parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
         missing = self.chunks.missing(set().union(*parts))
         if missing:
             self._learn(missing)
         get = self.chunks.known.__getitem__
-        out = [h + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        cut = len(self.line)
+        out = [b"".join(map(get, p))[cut:] if h is None else h + b"".join(map(get, p))
+               for h, p in zip(heads, parts)]
         if missing:
             self.chunks.settle(missing)
         return out
