@@ -133,7 +133,7 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
-        self.pieces = SeenTwice(500_000)
+        self.pieces = SeenTwice(900_000, twice=False)
         self.chunks = SeenTwice()
 
     def _learn_pieces(self, pieces: set[str]) -> list[str]:

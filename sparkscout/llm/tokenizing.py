@@ -36,12 +36,13 @@ def irregular(text: str) -> bool:
 class SeenTwice:
     """A bounded cache that keeps what came up in two groups of texts; most
     different words come up once.  ``known`` is read directly: put what
-    :meth:`missing` names in it, use it, then :meth:`settle`."""
+    :meth:`missing` names in it, use it, then :meth:`settle`.  With ``twice``
+    false everything is kept at once, for what is dear to compute."""
 
     SLOTS = 1 << 22
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.known = entries, {}
+    def __init__(self, entries: int = CACHE_ENTRIES, twice: bool = True):
+        self.entries, self.twice, self.known = entries, twice, {}
         self.seen, self.marks = bytearray(self.SLOTS), 0
 
     def missing(self, keys: set) -> list:
@@ -49,7 +50,7 @@ class SeenTwice:
 
     def settle(self, added: list) -> None:
         known, seen, top, marks = self.known, self.seen, self.SLOTS - 1, 0
-        for k in added:
+        for k in added if self.twice else ():
             slot = hash(k) & top
             if not seen[slot]:
                 seen[slot] = 1
