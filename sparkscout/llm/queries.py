@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (bpe, html_blocks, langid, linededup, nndescent, packing, quality, simhash, tokenstore,
+from . import (bpe, html_blocks, langid, nndescent, packing, passages, quality, simhash, tokenstore,
                toxicity)
 from .base import crc_mod, scratch_path, table
 from .tokenizing import public_path
@@ -51,7 +51,7 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50).select(
+    return passages.dedup_passages(table(spark, sf_dir, "documents"), min_words=50).select(
         "doc_id", "text", "n_deleted_lines", "n_deleted_words")
 
 
