@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import arrow_map, materialise, ship
 from .packing import ordered_positions
@@ -63,14 +64,14 @@ def nodes_and_members(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]
     return nodes, materialise(members, "members")
 
 
-def _compact(nodes: DataFrame, scale: float, seeds: list[int]) -> DataFrame:
-    """(node, small, p0, p1, ...): vectors in 16 bits a component (floats
-    below the scale) for the building of the graph, and random projections."""
+def _compact(nodes: DataFrame, kind: type, seeds: list[int]) -> DataFrame:
+    """(node, small, p0, p1, ...): the components of the vectors as bytes, as
+    exact as they are given, and random projections."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = (b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) / scale).astype(np.float16)
+            x = b.column(1).flatten().to_numpy().astype(kind).reshape(b.num_rows, -1)
             cols = [b.column(0), pa.array([r.tobytes() for r in x], pa.binary())]
             wide = x.astype(np.float64)
             for s in seeds:
@@ -80,39 +81,54 @@ def _compact(nodes: DataFrame, scale: float, seeds: list[int]) -> DataFrame:
     return arrow_map(nodes, run, "node bigint, small binary" + "".join(f", p{k} double" for k in range(len(seeds))))
 
 
-def _vectors(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of half-precision vectors as one matrix."""
+def _vectors(col: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """A column of vectors of one component type as one matrix of doubles."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not len(col):
-        return np.zeros((0, 0), np.float32)
+        return np.zeros((0, 0))
     ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], np.uint8)[ends[0]:ends[-1]]
-    return data.view(np.float16).reshape(len(col), -1).astype(np.float32)
+    return data.view(kind).reshape(len(col), -1).astype(np.float64)
 
 
-def _squares(x: np.ndarray) -> np.ndarray:
-    n = (x * x).sum(axis=1)
-    return np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0.0)
+#: below this share of the squared norms a distance taken from products is taken anew
+CANCELS = 1e-6
 
 
-PAIRS = "a bigint, b bigint, d float"
+def _squares(y: np.ndarray) -> np.ndarray:
+    """Squared distances within each group of (groups, members, components):
+    from products of centred vectors, and from differences where that would
+    lose digits or overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = y - np.median(y, axis=1, keepdims=True)                  # one far vector moves no median
+        sq = (x * x).sum(axis=2)
+        both = sq[:, :, None] + sq[:, None, :]
+        d = both - 2 * (x @ x.transpose(0, 2, 1))
+        g, i, j = np.nonzero(~((d > CANCELS * both) & np.isfinite(d)))
+        for at in range(0, len(g), 1 << 16):
+            a, b, c = g[at:at + (1 << 16)], i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+            d[a, b, c] = ((y[a, b] - y[a, c]) ** 2).sum(axis=1)
+    return np.minimum(d, np.finfo(np.float64).max)
 
 
-def _leaf_pairs(k: int):
+PAIRS = "a bigint, b bigint, d double"
+
+
+def _leaf_pairs(k: int, kind: type):
     def run(t: pa.Table) -> pa.Table:
-        ids, x = t.column("node").to_numpy(), _vectors(t.column("small"))
-        d = _squares(x)
+        ids, x = t.column("node").to_numpy(), _vectors(t.column("small"), kind)
+        d = _squares(x[None])[0]
         np.fill_diagonal(d, np.inf)
         m = min(k, len(ids) - 1)
         best = np.argpartition(d, m - 1, axis=1)[:, :m] if m > 0 else np.zeros((len(ids), 0), int)
         row = np.repeat(np.arange(len(ids)), best.shape[1])
         col = best.reshape(-1)
-        return pa.table([ids[row], ids[col], d[row, col].astype(np.float32)], ["a", "b", "d"])
+        return pa.table([ids[row], ids[col], d[row, col]], ["a", "b", "d"])
     return run
 
 
-def _first_graph(small: DataFrame, trees: int, k: int) -> DataFrame:
+def _first_graph(small: DataFrame, trees: int, k: int, kind: type) -> DataFrame:
     """Pairs of leaf mates of ``trees`` projection trees."""
     out = None
     for t in range(trees):
@@ -122,7 +138,7 @@ def _first_graph(small: DataFrame, trees: int, k: int) -> DataFrame:
         w = Window.partitionBy("slab").orderBy(second, "node")      # a window holds one slab
         leaf = F.col("slab") * (SLAB // LEAF) + F.floor((F.row_number().over(w) - 1) / LEAF)
         pairs = (slab.select(leaf.alias("leaf"), "node", "small").groupBy("leaf")
-                 .applyInArrow(_leaf_pairs(k), PAIRS))
+                 .applyInArrow(_leaf_pairs(k, kind), PAIRS))
         out = pairs if out is None else out.union(pairs)
     return out
 
@@ -157,16 +173,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 #: nodes whose gathered neighbours are compared at once, and offers a pair of a
 #: node and a gathering sends at most (the graph keeps improving over the rounds)
-JOIN_NODES, OFFERS = 256, 16
+JOIN_NODES, OFFERS = 64, 16
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_join(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
     """Offers among the nodes gathered at each node v; rows are sorted by
     (v, u), and u may come twice."""
     for t in whole_groups(batches, "v"):
         v, u = t.column("v").to_numpy(), t.column("u").to_numpy()
         fresh, worst = t.column("fresh").to_numpy() > 0, t.column("worst").to_numpy()
-        x = _vectors(t.column("small"))
+        x = _vectors(t.column("small"), kind)
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
         start = np.flatnonzero(new)
@@ -181,9 +197,8 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = int(n.max())
             slot = np.arange(m)[None, :] < n[:, None]
             row = np.minimum(h[:, None] + np.arange(m)[None, :], len(v) - 1)
-            y = x[row] * slot[:, :, None]
-            sq = (y * y).sum(axis=2)
-            d = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * (y @ y.transpose(0, 2, 1)), 0.0)
+            row = np.where(slot, row, h[:, None])                   # free slots repeat the first member
+            d = _squares(x[row])
             f = fresh[row]
             good = (f[:, :, None] | f[:, None, :]) & slot[:, :, None] & slot[:, None, :]
             good &= (d < worst[row][:, :, None]) & ~np.eye(m, dtype=bool)[None]
@@ -197,31 +212,31 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 g, i, k = np.nonzero(np.isfinite(d))
                 j = k
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u[row[g, i]]), pa.array(u[row[g, j]]), pa.array(d[g, i, k].astype(np.float32))],
+                [pa.array(u[row[g, i]]), pa.array(u[row[g, j]]), pa.array(d[g, i, k])],
                 ["a", "b", "d"])
 
 
 def neighbour_graph(nodes: DataFrame, k: int = 40, reverse: int = 32, rounds: int = 7, trees: int = 2,
                     least_change: float = 0.02, seed: int = 5) -> DataFrame:
     """(a, b, d): about the k nearest nodes b of every node a, d being the
-    squared distance in half precision.  Stops when a round changes less than
+    squared distance in double precision.  Stops when a round changes less than
     ``least_change`` of the graph."""
     ship(nodes.sparkSession)
-    top = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    small = materialise(_compact(nodes, top, [seed * 1000 + j for j in range(2 * trees)]), "compact")
+    kind = np.float32 if nodes.schema["vec"].dataType.elementType == T.FloatType() else np.float64
+    small = materialise(_compact(nodes, kind, [seed * 1000 + j for j in range(2 * trees)]), "compact")
     vectors = small.select("node", "small")
-    graph = materialise(_nearest(_first_graph(small, trees, k).withColumn("fresh", F.lit(1)), k), "graph")
+    graph = materialise(_nearest(_first_graph(small, trees, k, kind).withColumn("fresh", F.lit(1)), k), "graph")
     for _ in range(rounds):
         sample = Window.partitionBy("b").orderBy(F.desc("fresh"), F.xxhash64("a", "b"))
         back = (graph.withColumn("_k", F.row_number().over(sample)).filter(F.col("_k") <= reverse)
                 .select(F.col("b").alias("v"), F.col("a").alias("u"), "fresh"))
         gathered = graph.select(F.col("a").alias("v"), F.col("b").alias("u"), "fresh").union(back)
-        worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf"))
-                                       .cast("float").alias("worst"))
+        worst = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).alias("worst"))
         known = vectors.join(worst, vectors["node"] == worst["a"], "left").select(
-            F.col("node").alias("u"), "small", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+            F.col("node").alias("u"), "small", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
         lists = gathered.join(known, "u").repartition("v").sortWithinPartitions("v", "u")
-        offers = lists.select("v", "u", "fresh", "small", "worst").mapInArrow(_local_join, PAIRS)
+        offers = lists.select("v", "u", "fresh", "small", "worst").mapInArrow(
+            lambda batches: _local_join(batches, kind), PAIRS)
         merged = graph.select("a", "b", "d", F.lit(0).alias("fresh")).union(
             offers.select("a", "b", "d", F.lit(1).alias("fresh")))
         graph = materialise(_nearest(merged, k), "graph")
