@@ -6,8 +6,8 @@ written as Parquet and read again as the next stage's ``docs``.  All stages but
 the last return the columns they were given.
 
 Defined cases: a table without rows passes through every stage; rows that
-repeat a document id are judged one by one up to the near-dedup stage, which
-keeps one row of an id; columns besides those of ``documents`` are kept as
+repeat a document id, or have none, are judged one by one, also by the
+near-dedup stage, which keeps one row of each group; columns besides those of ``documents`` are kept as
 they are by all stages but the last.
 """
 

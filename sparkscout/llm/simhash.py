@@ -60,6 +60,19 @@ def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def _hashed(texts: DataFrame, shingle: int, seed: int, id_col: str) -> DataFrame:
+    """(id_col, text_hash, fp) of (id, text hash, text)."""
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.asarray([text_fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], "<u8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view("<i8"))],
+                                             [id_col, "text_hash", "fp"])
+
+    return arrow_map(texts, run, f"`{id_col}` {kind}, text_hash bigint, fp bigint")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id_col, fp): signed 64-bit fingerprint of every whole text."""
@@ -155,29 +168,39 @@ def links(fps: DataFrame, radius: int = 4, max_bucket: int = 16_384) -> DataFram
     return out.distinct()
 
 
+def _rooted(fps: DataFrame, radius: int, max_bucket: int, id_col: str) -> DataFrame:
+    """(fp, root, component): of each fingerprint the key of its component,
+    and the least id in it (null: none has an id)."""
+    first = fps.groupBy("fp").agg(F.min(id_col).alias("_first"))
+    roots = components(links(fps, radius, max_bucket))
+    rooted = (first.join(roots, first["fp"] == roots["v"], "left")
+              .select("fp", "_first", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("_first").alias("component"))
+    return materialise(rooted.join(least, "root").select("fp", "root", "component"), "components")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42,
                    max_bucket: int = 16_384, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id_col, fp, component): one row per document, ``component`` being the
     least id of all documents reachable over links."""
     fps = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min(id_col).alias("_first"))
-    roots = components(links(fps, radius, max_bucket))
-    rooted = (first.join(roots, first["fp"] == roots["v"], "left")
-              .select("fp", "_first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("_first").alias("component"))
-    of_fp = materialise(rooted.join(least, "root").select("fp", "component"), "components")
-    return fps.join(of_fp, "fp").select(id_col, "fp", "component")
+    return fps.join(_rooted(fps, radius, max_bucket, id_col), "fp").select(id_col, "fp", "component")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the least id (of rows that
-    repeat this id, the one with the least text)."""
-    groups = simhash_groups(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    keep, place = free_names(docs.columns, "_keep", "_place")
-    stay = groups.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(
-        F.col(id_col).alias(keep)).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay[keep]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    """One document of each group: the one with the least id, a null id coming
+    last (of rows that share this id, the one with the least text)."""
+    key, root, least, place = free_names(docs.columns, "_key", "_root", "_least", "_place")
+    text = F.col(text_col).cast("string")
+    fps = materialise(_hashed(docs.select(id_col, F.xxhash64(text), text), shingle, 42, id_col), "fingerprints")
+    groups = _rooted(fps, radius, 16_384, id_col)
+    # the rows of a group that have its least id: most often one
+    stay = materialise(fps.join(groups, "fp").filter(F.col(id_col).eqNullSafe(F.col("component")))
+                       .select(F.col(id_col).alias(least), F.col("text_hash").alias(key), F.col("root").alias(root))
+                       .distinct(), "survivors")
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay[least])
+                     & (F.xxhash64(docs[text_col].cast("string")) == stay[key])).drop(least, key)
+    order = Window.partitionBy(root).orderBy(text_col)
+    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place, root)
