@@ -1,19 +1,21 @@
 """Spelling variant grouping over a frequency-vector trie (operator 12).
 
-Every word has a vector: how many of its letters fall into each letter group,
-groups in a fixed order.  The vectors form a trie, one level a group.  Two
-words one edit apart differ by one in at most two levels: an inserted letter is
-a surplus of one, a replaced one a surplus and a deficit.  The depth-first
-search for a word follows its own counts and may spend one surplus and, after
-it, one deficit; the words of the leaves that it reaches are verified letter by
-letter.  Deletions are the other word's insertions, and a replacement whose
-deficit comes first is the other word's, so every pair is found once.
-
-The first ``TOP`` levels are the key by which Spark deals the trie out: a word
-is stored in one subtree and searched for in the at most
-1 + TOP + TOP (TOP - 1) / 2 subtrees that its budget can reach.  Subtrees of
-more than ``SUBTREE_WORDS`` words are split into parts and searched part by
-part, so no task holds more.
+Every word has a vector: its length, then how many of its letters fall into
+each letter group, groups in a fixed order.  The vectors form a trie, one level
+a group.  Two words one edit apart differ by one in at most two groups: an
+inserted letter is a surplus of one, a replaced one a surplus and a deficit.
+The depth-first search for a word follows its own counts and may spend one
+surplus and, if no letter is to be inserted, one deficit after it; the words of
+the leaves that it reaches are verified letter by letter, first those that
+share its first or second half, as one edit leaves one of them whole.
+Deletions are the other word's insertions, and a replacement whose deficit
+comes first is the other word's, so every pair is found once.
+
+The first ``top`` levels are the key by which Spark deals the trie out: a word
+is stored in one subtree and searched for in those that its budget can reach.
+``top`` is the least number that leaves no subtree with more than
+``SUBTREE_WORDS`` words, up to ``MOST_TOP``; subtrees that are larger all the same
+are split into parts and searched part by part, so no task holds more.
 
 A word's form is its near word of most occurrences, if it has at least twice
 as many; forms lead to roots by pointer jumping.
@@ -42,12 +44,12 @@ GROUPS = 16
 FIRST_LETTERS = "eainstrol"
 ORDER = list(dict.fromkeys([ord(c) % GROUPS for c in FIRST_LETTERS] + list(range(GROUPS))))
 LEVEL = [ORDER.index(g) for g in range(GROUPS)]
-#: levels that make the key of a subtree
-TOP = 5
+#: fewest and most levels that make the key of a subtree
+LEAST_TOP, MOST_TOP = 2, 8
 #: words that one task holds of a subtree
 SUBTREE_WORDS = 20_000
 #: words that a trie node lists before it branches
-BUCKET = 12
+BUCKET = 256
 #: different words that a task counts before it sends them on
 COUNTED = 200_000
 BLOCK = 1_000_000
@@ -115,41 +117,46 @@ def vector(word: str) -> list[int]:
     return v
 
 
-def probes(top: list[int]) -> Iterator[tuple[list[int], int]]:
-    """(top counts, budget spent) of the subtrees that a search enters."""
-    yield top, NONE
-    for i in range(TOP):
-        more = top[:i] + [top[i] + 1] + top[i + 1:]
-        yield more, PLUS
-        for j in range(i + 1, TOP):
-            if top[j]:
-                yield more[:j] + [more[j] - 1] + more[j + 1:], BOTH
+def weights() -> list[int]:
+    """A number a group, by which sums tell vectors apart."""
+    return [zlib.crc32(b"%d" % g) << 24 | zlib.crc32(b"-%d" % g) >> 8 for g in range(GROUPS)]
 
 
-def near(word: str, other: str) -> bool:
-    """Whether ``other`` is ``word`` with one letter more, or with one letter
-    replaced and the search for ``word`` is the one that finds it."""
-    if len(other) - len(word) not in (0, 1):
-        return False
-    at = next((k for k, (a, b) in enumerate(zip(word, other)) if a != b), len(word))
-    if len(other) > len(word):
-        return word[at:] == other[at + 1:]
-    if at == len(word) or word[at + 1:] != other[at + 1:]:
-        return False
-    gain, loss = LEVEL[ord(other[at]) % GROUPS], LEVEL[ord(word[at]) % GROUPS]
-    return gain < loss or (gain == loss and word < other)
+WEIGHT = weights()
+#: what an insertion, and a replacement that this side finds, add to a sum
+INSERTED = frozenset(WEIGHT)
+REPLACED = frozenset([0] + [WEIGHT[i] - WEIGHT[j] for i in range(GROUPS) for j in range(i + 1, GROUPS)])
+
+
+def searches(word: str, top: int) -> Iterator[tuple[str, int, bool]]:
+    """(key, budget spent, whether a letter is inserted) of the subtrees that
+    a search enters."""
+    own = vector(word)[:top]
+
+    def key(grow, counts):
+        return ",".join(map(str, [len(word) + grow, *counts]))
+
+    for insert in (False, True):
+        yield key(insert, own), NONE, insert
+        for i in range(top):
+            more = own[:i] + [own[i] + 1] + own[i + 1:]
+            yield key(insert, more), PLUS, insert
+            for j in range(i + 1, top if not insert else 0):
+                if own[j]:
+                    yield key(insert, more[:j] + [more[j] - 1] + more[j + 1:]), BOTH, insert
 
 
 class Trie:
-    """A subtree below the key levels.  A node is a list of entries until it
-    has more than ``BUCKET`` of them; then it branches by the next count."""
+    """A subtree below ``top`` levels.  A node is a list of entries until it
+    has more than ``BUCKET`` of them; then it branches by the next count.
+    Before the search lists become leaves: entries by first and second half."""
 
-    def __init__(self):
-        self.root: list | dict = []
+    def __init__(self, top: int):
+        self.top, self.root = top, []
 
     def add(self, word: str, n: int) -> None:
         v = vector(word)
-        self.root = self._put(self.root, TOP, (v, word, n))
+        self.root = self._put(self.root, self.top, (v, sum(map(int.__mul__, v, WEIGHT)), word, n))
 
     def _put(self, node, level, entry):
         if isinstance(node, list):
@@ -163,77 +170,132 @@ class Trie:
         node[entry[0][level]] = self._put(node.get(entry[0][level], []), level + 1, entry)
         return node
 
-    def search(self, word: str, spent: int) -> Iterator[tuple[str, int]]:
+    def seal(self) -> None:
+        """Turn lists into leaves once all words are in."""
+        def leaf(node):
+            if isinstance(node, dict):
+                return {c: leaf(x) for c, x in node.items()}
+            first, second = {}, {}
+            for _, total, word, n in node:
+                half = len(word) // 2
+                first.setdefault(word[:half], []).append((total, word[half:], word, n))
+                second.setdefault(word[half:], []).append((total, word[:half], word, n))
+            return first, second
+        self.root = leaf(self.root)
+
+    def search(self, word: str, spent: int, insert: bool) -> Iterator[tuple[str, int]]:
         """Stored words that the word's remaining budget leads to."""
         v = vector(word)
-        stack = [(self.root, TOP, spent)]
+        total, allowed = sum(map(int.__mul__, v, WEIGHT)), INSERTED if insert else REPLACED
+        half = (len(word) + insert) // 2                    # where the words looked for are halved
+        head, tail = word[:half], word[half - insert:]
+        stack = [(self.root, self.top, spent)]
         while stack:
             node, level, spent = stack.pop()
-            if isinstance(node, list):
-                for _, other, n in node:
-                    if near(word, other):
+            if isinstance(node, tuple):
+                for other_total, rest, other, n in node[0].get(head, ()):
+                    if other_total - total in allowed and edited(word[half:], rest, insert) and (other_total != total or word < other):
+                        yield other, n
+                for other_total, rest, other, n in node[1].get(tail, ()):
+                    if (rest != head and other_total - total in allowed and edited(word[:half - insert], rest, insert)
+                            and (other_total != total or word < other)):
                         yield other, n
                 continue
             own = v[level]
-            for step, after in ((0, spent), *(((1, PLUS),) if spent == NONE else ((-1, BOTH),) if spent == PLUS else ())):
-                child = node.get(own + step)
+            level += 1
+            child = node.get(own)
+            if child is not None:
+                stack.append((child, level, spent))
+            if spent == NONE:
+                child = node.get(own + 1)
                 if child is not None:
-                    stack.append((child, level + 1, after))
+                    stack.append((child, level, PLUS))
+            elif spent == PLUS and not insert:
+                child = node.get(own - 1)
+                if child is not None:
+                    stack.append((child, level, BOTH))
+
 
+def edited(part: str, other: str, insert: bool) -> bool:
+    """Whether ``other`` is ``part`` with one letter more, or one replaced."""
+    at = 0
+    for a, b in zip(part, other):
+        if a != b:
+            break
+        at += 1
+    return part[at:] == other[at + 1:] if insert else at < len(part) and part[at + 1:] == other[at + 1:]
 
-def _deal(with_probes: bool):
-    """Rows (key, probe, spent, word, n) of words: where each is stored and,
-    with ``with_probes``, where it is searched for."""
+
+def _deal(top: int, with_searches: bool):
+    """Rows (key, search, spent, inserts, word, n) of words: where each is stored
+    and, with ``with_searches``, where it is searched for."""
     def run(batches):
         for b in batches:
-            key, probe, spent, word, count = [], [], [], [], []
+            rows = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                top = vector(w)[:TOP]
-                rows = [(top, False, NONE)] + ([(t, True, s) for t, s in probes(top)] if with_probes else [])
-                for t, p, s in rows:
-                    key.append(",".join(map(str, t))), probe.append(p), spent.append(s), word.append(w), count.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.string()), pa.array(probe, pa.bool_()), pa.array(spent, pa.int32()),
-                 pa.array(word, pa.string()), pa.array(count, pa.int64())], ["key", "probe", "spent", "word", "n"])
+                rows.append((",".join(map(str, [len(w), *vector(w)[:top]])), False, NONE, False, w, n))
+                if with_searches:
+                    rows += [(k, True, s, i, w, n) for k, s, i in searches(w, top)]
+            if rows:
+                types = (pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                                 ["key", "search", "spent", "inserts", "word", "n"])
     return run
 
 
-_DEALT = "key string, probe boolean, spent int, word string, n bigint"
+_DEALT = "key string, search boolean, spent int, inserts boolean, word string, n bigint"
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(top: int):
     """Near pairs of a partition sorted by subtree part, stored words first."""
-    at, trie, out = None, None, []
-
-    def send():
-        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*out) if out else ([], [], [], []), (pa.string(), pa.int64(), pa.string(), pa.int64()))], ["a", "na", "b", "nb"])
-        out.clear()
-        return got
-
-    for b in batches:
-        for key, part, probe, spent, word, n in zip(*(c.to_pylist() for c in b.columns)):
-            if (key, part) != at:
-                at, trie = (key, part), Trie()
-            if not probe:
-                trie.add(word, n)
-                continue
-            out += [(word, n, other, m) for other, m in trie.search(word, spent)]
-            if len(out) > 50_000:
-                yield send()
-    yield send()
+    def run(batches):
+        at, trie, out = None, None, []
+
+        def send():
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)],
+                                             ["a", "na", "b", "nb"])
+            out.clear()
+            return got
+
+        for b in batches:
+            for key, part, search, spent, inserts, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, part) != at:
+                    at, trie, sealed = (key, part), Trie(top), False
+                if not search:
+                    trie.add(word, n)
+                    continue
+                if not sealed:
+                    trie.seal()
+                    sealed = True
+                out += [(word, n, other, m) for other, m in trie.search(word, spent, inserts)]
+                if len(out) > 50_000:
+                    yield send()
+        yield send()
+    return run
+
+
+def key_levels(words: DataFrame, subtree_words: int) -> int:
+    """The least number of key levels that leaves no subtree too large."""
+    deepest = arrow_map(words, _deal(MOST_TOP, False), _DEALT)
+    levels = F.array(*[F.struct(F.lit(t).alias("top"), F.substring_index("key", ",", t + 1).alias("k"))
+                       for t in range(LEAST_TOP, MOST_TOP)])
+    sizes = deepest.select(F.explode(levels).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    most = {r["top"]: r["n"] for r in sizes.groupBy("l.top").agg(F.max("n").alias("n")).collect()}   # a row a level
+    return min((t for t, n in most.items() if n <= subtree_words), default=MOST_TOP if most else LEAST_TOP)
 
 
 def near_pairs(words: DataFrame, subtree_words: int = SUBTREE_WORDS) -> DataFrame:
     """(a, na, b, nb): every unordered pair of words one edit apart, once."""
-    stored = arrow_map(words, _deal(False), _DEALT)
+    top = key_levels(words, subtree_words)
+    stored = arrow_map(words, _deal(top, False), _DEALT)
     sizes = stored.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / subtree_words).cast("int").alias("parts"))
-    dealt = (arrow_map(words, _deal(True), _DEALT).join(sizes, "key")       # no search where nothing is stored
-             .withColumn("part", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = (arrow_map(words, _deal(top, True), _DEALT).join(sizes, "key")      # no search where nothing is stored
+             .withColumn("part", F.explode(F.when(F.col("search"), F.sequence(F.lit(0), F.col("parts") - 1))
                                            .otherwise(F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")))))
-             .repartition("key", "part").sortWithinPartitions("key", "part", "probe")
-             .select("key", "part", "probe", "spent", "word", "n"))
-    return arrow_map(dealt, _search, "a string, na bigint, b string, nb bigint")
+             .repartition("key", "part").sortWithinPartitions("key", "part", "search")
+             .select("key", "part", "search", "spent", "inserts", "word", "n"))
+    return arrow_map(dealt, _search(top), "a string, na bigint, b string, nb bigint")
 
 
 def roots(forms: DataFrame) -> DataFrame:

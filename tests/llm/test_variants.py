@@ -101,3 +101,22 @@ def test_a_text_of_many_megabytes(spark):
     text = "steady words stand here " * 1_500_000
     got = {r["word"]: r["n"] for r in variants.variant_groups(spark.createDataFrame([(5, text)], "doc_id long, text string")).collect()}
     assert got == brute_counts([(5, text)])
+
+
+def test_deep_trie(monkeypatch):
+    """Branches at every level, and every split between key and trie."""
+    monkeypatch.setattr(variants, "BUCKET", 2)
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("aeinqé") for _ in range(rng.randint(5, 6))) for _ in range(500)})
+    want = brute({w: 3 for w in words})
+    for top in (2, 4, 8):
+        tries = defaultdict(lambda: variants.Trie(top))
+        for w in words:
+            tries[",".join(map(str, [len(w), *variants.vector(w)[:top]]))].add(w, 3)
+        for t in tries.values():
+            t.seal()
+        pairs = [frozenset((w, o)) for w in words for key, spent, insert in variants.searches(w, top) if key in tries
+                 for o, _ in tries[key].search(w, spent, insert)]
+        assert len(pairs) == len(set(pairs))
+        near = Counter(w for p in pairs for w in p)
+        assert {w: near[w] for w in words} == {r[0]: r[4] for r in want}
