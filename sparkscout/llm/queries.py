@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (bpe, html_blocks, ibltprint, langid, nndescent, packing, passages, quality, simhash, tokenstore,
+from . import (alignment, bpe, html_blocks, ibltprint, langid, nndescent, packing, passages, quality, simhash, tokenstore,
                toxicity, variants)
 from .base import crc_mod, scratch_path, table
 from .tokenizing import public_path
@@ -88,10 +88,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"),
+                                     public_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_html_text, op2_simhash, op3_toxicity, op4_language_id, op5_nn_descent, op6_line_dedup,
            op7_token_store, op8_quality_divergence, op9_best_fit_packing, op10_byte_bpe, op11_document_fingerprints,
-           op12_spelling_variants)
+           op12_spelling_variants, op13_token_alignment)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 

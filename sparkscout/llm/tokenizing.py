@@ -4,7 +4,8 @@ Between two white-space runs the pre-tokenizers of the supported files never
 look across a boundary, so a text is encoded chunk by chunk and every chunk's
 ids are kept as little-endian bytes in a per-process cache.  A cache miss is
 encoded by the ``tokenizers`` library.  Texts whose white space is not made of
-single spaces and line feeds are given to the library whole.
+single spaces and line feeds, or that hold the string of a special token, are
+given to the library whole.
 """
 
 from __future__ import annotations
@@ -88,13 +89,16 @@ class ChunkEncoder:
     """ids of whole texts as ``<u4`` bytes.
 
     ``spaces_matter`` is true for byte-level vocabularies (a word owns the
-    space before it) and false where the file drops white space.
+    space before it) and false where the file drops white space.  Strings of
+    special tokens become those tokens, as the library has it, unless
+    ``plain_special``.
     """
 
-    def __init__(self, path: str, spaces_matter: bool):
+    def __init__(self, path: str, spaces_matter: bool, plain_special: bool = False):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_special
+        self.special = [] if plain_special else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.spaces_matter = spaces_matter
         self.chunks = SeenTwice()
         self.stems = SeenTwice(500_000)
@@ -167,15 +171,20 @@ class ChunkEncoder:
             for p, e in zip(odd, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
                 known[p] = _pack(e.ids)
 
-    def encode_group(self, texts: list[str]) -> list[bytes]:
+    def encode_group(self, texts: list[str], spaced: bool = False) -> list[bytes]:
+        """ids of each text or, with ``spaced``, of a space and the text."""
         heads, parts = [], []
         for t in texts:
-            if not self.spaces_matter:
-                heads.append(b"")
-                parts.append((t.lower() if _latin1(t) else t).replace("\n", " ").split(" "))
-            elif not t or irregular(t):
-                heads.append(self._whole(t))
+            low = t.lower() if not self.spaces_matter and _latin1(t) else t
+            if any(s in t or s in low for s in self.special) or (self.spaces_matter and (not t or irregular(t))):
+                heads.append(self._whole(" " + t if spaced else t))
                 parts.append(())
+            elif not self.spaces_matter:
+                heads.append(b"")
+                parts.append(low.replace("\n", " ").split(" "))
+            elif spaced:
+                heads.append(b"")
+                parts.append(t.replace("\n", " \n").split(" "))
             else:                          # a line feed before the first word, taken off again below
                 heads.append(None)
                 parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
@@ -212,16 +221,16 @@ def _latin1(text: str) -> bool:
     return True
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, spaces_matter: bool) -> ChunkEncoder:
+def encoder(path: str, spaces_matter: bool, plain_special: bool = False) -> ChunkEncoder:
     """The process-wide encoder of a file (kept over the tasks of a worker)."""
-    key = (path, spaces_matter)
+    key = (path, spaces_matter, plain_special)
     take_over("tokenizing", _ENCODERS.clear)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(path, spaces_matter)
+        _ENCODERS[key] = ChunkEncoder(path, spaces_matter, plain_special)
     return _ENCODERS[key]
 
 
