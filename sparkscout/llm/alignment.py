@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_map, materialise, take_over
-from .tokenizing import encoder
+from .tokenizing import SeenTwice, encoder, irregular
 
 #: characters after which a long text may be cut, and of a group of parts
-PART, GROUP_CHARS = 500_000, 1_000_000
+PART, GROUP_CHARS = 500_000, 500_000
 #: the count table is broadcast up to this many rows (about 20 bytes each)
 BROADCAST_PAIRS = 2_000_000
 
@@ -80,11 +80,56 @@ class Side:
     """Bytes and byte lengths of one side's ids."""
 
     def __init__(self, table: list[bytes]):
-        self.table = table
+        self.size = len(table)
         self.length = np.asarray([len(b) for b in table], np.int64)
-
-    def spells(self, ids: list[int], data: bytes) -> bool:
-        return b"".join(map(self.table.__getitem__, ids)) == data
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of tokens one after another."""
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        shift = self.first[ids] - (ends - size)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(shift, size)]
+
+    def spells(self, ids: list[np.ndarray], data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each part are the bytes of ``data`` up to its end."""
+        sizes = np.diff(ends, prepend=0)
+        own = np.asarray([int(self.length[i].sum()) for i in ids])
+        same = own == sizes
+        if same.all():
+            off = np.flatnonzero(self.spelled(np.concatenate(ids)) != data)
+            same[np.searchsorted(ends, off, "right")] = False
+        else:
+            for k in np.flatnonzero(same):
+                same[k] = np.array_equal(self.spelled(ids[k]), data[ends[k] - sizes[k]:ends[k]])
+        return same
+
+
+class Pieces:
+    """ids of a sentencepiece model.  No piece reaches from a letter over a
+    space, so a text whose white space is single spaces and line feeds is
+    looked up word by word; words not seen before are encoded together."""
+
+    def __init__(self, model):
+        self.model, self.known = model, SeenTwice()
+
+    def _learn(self, words: list[str]) -> None:
+        for w, ids in zip(words, self.model.encode(words, num_threads=1)):
+            # a line feed stays apart from the space that the model puts before it
+            self.known.known[w] = np.asarray(ids[1:] if w[:1] == "\n" else ids, "<u4").tobytes()
+
+    def encode_group(self, texts: list[str]) -> list[bytes]:
+        words = [() if not t or irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        missing = self.known.missing(set().union(*words))
+        if missing:
+            self._learn(missing)
+        get = self.known.known.__getitem__
+        out = [b"".join(map(get, w)) if w else np.asarray(self.model.encode(t), "<u4").tobytes()
+               for t, w in zip(texts, words)]
+        if missing:
+            self.known.settle(missing)
+        return out
 
 
 class Aligner:
@@ -93,20 +138,18 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         self.enc = encoder(path_a, True, plain_special=True)
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a, self.b = Side(byte_level_bytes(path_a)), Side(piece_bytes(self.model))
-        size = max(len(self.a.table), len(self.b.table))
-        self.text = np.array([f"{i}{mark}" for i in range(size) for mark in ",|;"], object)
+        model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.pieces = Pieces(model)
+        self.a, self.b = Side(byte_level_bytes(path_a)), Side(piece_bytes(model))
+        self.text = np.array([f"{i}{mark}" for i in range(max(self.a.size, self.b.size)) for mark in ",|;"], object)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """ids of both sides of each part, and whether both spell it out."""
-        left = [np.frombuffer(d, "<u4").astype(np.int64) for d in self.enc.encode_group(texts, spaced=True)]
-        right = [np.asarray(i, np.int64) for i in self.model.encode(texts, num_threads=1)]
-        same = []
-        for t, x, y in zip(texts, left, right):
-            data = (" " + t).encode()
-            same.append(self.a.spells(x.tolist(), data) and self.b.spells(y.tolist(), data))
-        return left, right, same
+        left, right = ([np.frombuffer(d, "<u4").astype(np.int64) for d in side] for side in (
+            self.enc.encode_group(texts, spaced=True), self.pieces.encode_group(texts)))
+        parts = [(" " + t).encode() for t in texts]
+        data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+        return left, right, self.a.spells(left, data, ends) & self.b.spells(right, data, ends)
 
 
 def overlaps(start_a: np.ndarray, start_b: np.ndarray, key_a: np.ndarray,
@@ -127,7 +170,7 @@ def align(al: Aligner, texts: list[str]) -> list[tuple]:
     n_groups, n_links, groups as text ending with a semicolon, pair codes,
     times of each)."""
     left, right, same = al.encode(texts)
-    good = [k for k, s in enumerate(same) if s]
+    good = np.flatnonzero(same).tolist()
     out: list = [None] * len(texts)
     if not good:
         return out
@@ -146,9 +189,9 @@ def align(al: Aligner, texts: list[str]) -> list[tuple]:
     place[np.arange(len(ids_b)) + np.cumsum(of_a)[group_b]] = 3 * ids_b + 2 * last_b
     marks = al.text[place].tolist()
     # pairs of each part, equal ones counted
-    size_b = len(al.b.table)
+    size_b = al.b.size
     codes = ids_a[a] * size_b + ids_b[b]
-    room = len(al.a.table) * size_b
+    room = al.a.size * size_b
     code, times = np.unique(key_a[a] * room + codes, return_counts=True)
     owner = code // room
     cut = np.searchsorted(owner, np.arange(len(good) + 1))
