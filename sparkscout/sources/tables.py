@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import INSIGHT_SCHEMA
+from ..session import stored
+from .records import parsed
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def typed(df: DataFrame) -> DataFrame:
     TIMESTAMP, else STRING.  One aggregate decides for all columns."""
     text = [F.col(f"`{c}`") for c in df.columns]
     plain = df.select(*[F.when(~F.trim(v).isin(NULL_MARKERS), v).alias(c) for v, c in zip(text, df.columns)])
-    kinds = {"bigint": lambda v: v.rlike(r"^\s*[+-]?\d{1,18}\s*$"),
+    kinds = {"bigint": lambda v: v.rlike(r"^\s*[+-]?\d{1,19}\s*$") & F.trim(v).try_cast("bigint").isNotNull(),
              "double": lambda v: v.rlike(r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf(inity)?)\s*$")
              | v.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*$"),
              "boolean": lambda v: F.lower(F.trim(v)).isin("true", "false"),
@@ -75,16 +77,21 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     The format is taken from the extension when ``fmt`` is not given.  CSV
     fields may be quoted, ``""`` is a quote inside one, and the usual markers
     (:data:`NULL_MARKERS`) are missing values.  ``multiline`` lets quoted
-    fields hold line breaks; such a file is read by one task, so set it to
-    False for large files without them, which Spark then splits.
+    fields hold line breaks; large files are split all the same
+    (:mod:`.records`).  With ``multiline=False`` every line is a record.
     ``rebalance`` spreads an under-split input over the cluster's default
     parallelism (see :func:`balance`).
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        reader = (spark.read.option("header", header).option("multiLine", multiline)
-                  .option("quote", '"').option("escape", '"').option("emptyValue", ""))
-        df = reader.schema(schema).csv(path) if schema is not None else typed(reader.csv(path))
+        if multiline:
+            df = parsed(spark, path, header, schema)
+        else:
+            reader = (spark.read.option("header", header).option("quote", '"').option("escape", '"')
+                      .option("emptyValue", ""))
+            df = reader.csv(path) if schema is None else reader.schema(schema).csv(path)
+        if schema is None:
+            df = typed(stored(df, "csv"))                    # parsed once; the types need a pass of their own
     else:
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.format(fmt).load(path)
