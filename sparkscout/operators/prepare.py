@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import (CATEGORY_TYPES, NUMERIC_TYPES, TIME_TYPES, category_cols,
-                      numeric_cols, position_of, time_cols)
+                      numeric_cols, time_cols)
 from ..sources.tables import normalise
-from .categorical import APPROX_RSD, surely_above, top_values
+from .categorical import APPROX_RSD, surely_above
+from .digests import digest_counts, few_values, modes
 from .quantiles import column_quantiles
 
 # Timestamp formats tried, in order, on string columns.  ``None``
@@ -134,11 +135,12 @@ def timestamp_candidates(df: DataFrame, cols: list[str] | None = None,
 def infer_timestamps(df: DataFrame, cols: list[str] | None = None,
                      formats: list[str | None] = TIMESTAMP_FORMATS,
                      min_frac: float = 0.5) -> tuple[DataFrame, dict[str, str]]:
-    """Convert string columns where one format parses more than
-    ``min_frac`` of all rows (first such format wins); other values -> NULL."""
+    """Convert string columns where a format parses more than ``min_frac``
+    of all rows: the one that parses most, of equal ones the first, so dates
+    that can be read either way are month-first.  Other values -> NULL."""
     cand = timestamp_candidates(df, cols, formats)
     chosen: dict[str, str] = {}
-    for r in cand.filter(F.col("parsed_frac") > min_frac).orderBy("pos", "fmt_pos").collect():
+    for r in cand.filter(F.col("parsed_frac") > min_frac).orderBy("pos", F.col("parsed_frac").desc(), "fmt_pos").collect():
         chosen.setdefault(r["column"], r["format"])
     out = []
     for c in df.columns:
@@ -159,19 +161,18 @@ def string_modes(df: DataFrame, cols: list[str], null_policy: str = "mode") -> D
     count as a value; only blanks are filled, by the mode over all values
     (which may be the blank itself).  Ties go to the smallest value.
     """
-    trimmed = df.select(*[(strip(F.col(_q(c))) if null_policy == "mode"
-                           else F.coalesce(strip(F.col(_q(c))), F.lit("nan"))).alias(c)
-                          for c in cols])
-    long = trimmed.unpivot([], cols, "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    gap_value = (F.col("value").isNull() | (F.col("value") == "")) if null_policy == "mode" \
-        else (F.col("value") == "")
-    gaps = counts.groupBy("column").agg(F.max(gap_value.cast("int")).alias("_gap"))
-    pool = counts.filter(~F.coalesce(gap_value, F.lit(False))) if null_policy == "mode" \
-        else counts.filter(F.col("value").isNotNull())
-    mode = top_values(pool, 1).select("column", F.col("value").alias("mode"))
-    return gaps.join(mode, "column", "left").select(
-        "column", position_of(cols).alias("pos"), (F.col("_gap") == 1).alias("has_gap"), "mode")
+    values = _stripped(df, cols, null_policy)
+    counts = digest_counts(values, cols)
+    gap = ~F.col("solid") if null_policy == "mode" else ~F.col("solid") & F.col("d1").isNotNull()
+    gaps = {r["column"]: r["g"] for r in counts.groupBy("column").agg(F.max(gap).alias("g")).collect()}
+    mode = modes(values, counts.filter("solid") if null_policy == "mode" else counts, cols)
+    return df.sparkSession.createDataFrame([(c, k, gaps[c], mode.get(c)) for k, c in enumerate(cols) if c in gaps],
+                                           "column string, pos int, has_gap boolean, mode string")
+
+
+def _stripped(df: DataFrame, cols: list[str], null_policy: str) -> DataFrame:
+    return df.select(*[(strip(F.col(_q(c))) if null_policy == "mode"
+                        else F.coalesce(strip(F.col(_q(c))), F.lit("nan"))).alias(c) for c in cols])
 
 
 def clean_strings(df: DataFrame, cols: list[str] | None = None,
@@ -207,18 +208,13 @@ def encoding_plan(df: DataFrame, cols: list[str] | None = None,
     distinct non-null values; ``categories`` sorted ascending) or 'drop'."""
     cols = cols if cols is not None else [f.name for f in df.schema.fields
                                           if isinstance(f.dataType, T.StringType)]
-    long = df.select(*[F.col(_q(c)).alias(c) for c in cols]).unpivot([], cols, "column", "value") \
-        .filter(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    # the category list is only materialised for low-cardinality columns:
-    # keep at most max_distinct values per column before collecting
-    capped = top_values(counts.select("column", "value", F.lit(0).alias("cnt")), max_distinct)
-    per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-    cats = capped.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("categories"))
-    j = per.join(cats, "column", "left")
-    action = F.when(F.col("n_unique") < max_distinct, F.lit("encode")).otherwise(F.lit("drop"))
-    return j.select("column", position_of(cols).alias("pos"), "n_unique", action.alias("action"),
-                    F.when(action == "encode", F.col("categories")).alias("categories"))
+    values = df.select(*[F.col(_q(c)) for c in cols])
+    counts = digest_counts(values, cols).filter(F.col("d1").isNotNull())
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = few_values(values, counts, [c for c, n in sizes.items() if n < max_distinct])
+    return df.sparkSession.createDataFrame(
+        [(c, k, sizes[c], "encode" if c in known else "drop", known.get(c)) for k, c in enumerate(cols) if c in sizes],
+        "column string, pos int, n_unique long, action string, categories array<string>")
 
 
 def label_encode(df: DataFrame, cols: list[str] | None = None,
@@ -327,43 +323,23 @@ def _scan_columns(df: DataFrame, str_cols: list[str],
 
 def _string_summaries(df: DataFrame, cols: list[str], null_policy: str,
                       max_distinct: int) -> dict[str, dict]:
-    """Pass B: one shuffle on (column, value) of the stripped strings; from
-    it, per column: gap flag, mode, distinct count after filling, and the
-    first ``max_distinct`` values in ascending order.  Everything collected
-    is bounded by ``max_distinct + 2`` rows per column."""
+    """Pass B: one shuffle on value digests; from it, per column: gap flag, mode
+    (of columns with gaps), distinct count after filling, and, where there are
+    at most ``max_distinct``, all values in ascending order."""
     if not cols:
         return {}
-    if null_policy == "mode":
-        vals = [strip(F.col(_q(c))).alias(c) for c in cols]
-    else:
-        vals = [F.coalesce(strip(F.col(_q(c))), F.lit("nan")).alias(c) for c in cols]
-    long = df.select(*vals).unpivot([], cols, "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    gap = (F.col("value").isNull() | (F.col("value") == "")) if null_policy == "mode" \
-        else (F.col("value") == "")
-    solid = counts.filter(~F.coalesce(gap, F.lit(False)))
-    pool = solid if null_policy == "mode" else counts
-    modes = top_values(pool, 1).select("column", F.lit("mode").alias("kind"), "value",
-                                       F.lit(None).cast("long").alias("num"))
-    w = Window.partitionBy("column").orderBy(F.col("value").asc())
-    cats = (solid.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= max_distinct)
-            .select("column", F.lit("cat").alias("kind"), "value", F.lit(None).cast("long").alias("num")))
-    per = counts.groupBy("column").agg(
-        F.count_if(~F.coalesce(gap, F.lit(False))).alias("_solid"),
-        F.max(F.coalesce(gap, F.lit(False)).cast("long")).alias("_gap"))
-    per = per.select("column", F.lit("stats").alias("kind"), F.lit(None).cast("string").alias("value"),
-                     (F.col("_solid") * 2 + F.col("_gap")).alias("num"))
+    values = _stripped(df, cols, null_policy)
+    counts = digest_counts(values, cols)
     out = {c: {"mode": None, "cats": [], "n_solid": 0, "has_gap": False} for c in cols}
-    for r in modes.unionByName(cats).unionByName(per).collect():
-        o = out[r["column"]]
-        if r["kind"] == "mode":
-            o["mode"] = r["value"]
-        elif r["kind"] == "cat":
-            o["cats"].append(r["value"])
-        else:
-            o["n_solid"], o["has_gap"] = r["num"] // 2, bool(r["num"] % 2)
+    for r in counts.groupBy("column").agg(F.count_if("solid").alias("n"), F.max(~F.col("solid")).alias("gap")).collect():
+        out[r["column"]] |= {"n_solid": r["n"], "has_gap": r["gap"]}
+    solid = counts.filter("solid")
+    for c, mode in modes(values, solid if null_policy == "mode" else counts,
+                         [c for c in cols if out[c]["has_gap"]]).items():
+        out[c]["mode"] = mode
+    for c, cats in few_values(values, solid, [c for c in cols if out[c]["n_solid"] <= max_distinct]).items():
+        out[c]["cats"] = cats
     for o in out.values():
-        o["cats"].sort()
         filled = o["has_gap"] and o["mode"] is not None
         if null_policy == "literal" and filled and o["mode"] == "":
             # the blank is the mode and stays a value of its own
@@ -396,10 +372,9 @@ def prepare(df: DataFrame, null_policy: str = "mode", approx: bool = False,
     for c in str_cols:
         if c not in keep:
             continue
-        for fi, fmt in enumerate(formats):
-            if (ts[(c, fi)] or 0.0) > 0.5:
-                stamps[c] = fmt or "iso8601"
-                break
+        best = max(range(len(formats)), key=lambda fi: ts[(c, fi)] or 0.0)     # the first of equal ones
+        if (ts[(c, best)] or 0.0) > 0.5:
+            stamps[c] = formats[best] or "iso8601"
     texts = [c for c in str_cols if c in keep and c not in stamps]
     # HLL prefilter: a text column far above the encoding limit is dropped from
     # the encoded view without shuffling its values; its values are only

@@ -11,8 +11,9 @@ serves every size:
 2. while a bracket may hold more than ``max_bracket_rows`` rows, its own sketch
    points narrow it by a further scan.  Only values strictly inside count, so
    each round leaves fewer of them, however often the ends repeat;
-3. one scan counts what lies below each bracket and the different values
-   inside it; the wanted rank is found in their running sum.
+3. one scan counts the rows below each bracket, a number a bracket and task,
+   and one the different values inside it; the wanted rank is found in their
+   running sum.
 
 Infinite values are ordinary ordered values; no step does arithmetic on
 bounds.  The state (a few rows per group) is written to the shared folder.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import stored
 
 MAX_BRACKET_ROWS = 1 << 20
 SPLITS = 1000
@@ -58,7 +59,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
         agg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pa.alias("_qs"))
         return agg.select(*keys, "n", *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
 
-    sketch = checkpoint(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch(splits).alias("_s")))
+    sketch = stored(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _sketch(splits).alias("_s")))
     plist = F.array(*[F.lit(float(p)) for p in probs])
     wanted = (sketch.select(*keys, "n", F.posexplode(plist).alias("_qi", "_p"))
               .withColumn("_pos", (F.col("n") - 1) * F.col("_p"))
@@ -68,7 +69,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
     # a target is one wanted rank; it lies between the sketch points _lo and _hi
     targets = (wanted.select(*keys, F.explode(F.array("_rlo", "_rhi")).alias("_rank")).distinct()
                .join(sketch, keys))
-    targets = checkpoint(_bracket(targets, F.lit(0).cast("long"), F.col("n"), splits).select(
+    targets = stored(_bracket(targets, F.lit(0).cast("long"), F.col("n"), splits).select(
         *keys, "_rank", "_lo", "_hi", F.ceil(3 * F.col("n") / splits).alias("_most")))
     while True:
         wide = targets.filter((F.col("_most") > max_bracket_rows) & (F.col("_lo") < F.col("_hi")))
@@ -76,7 +77,7 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
             break
         v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
         inner = (v > lo) & (v < hi)
-        found = checkpoint(_located(base, wide, keys).groupBy(*keys, "_rank", "_lo", "_hi").agg(
+        found = stored(_located(base, wide, keys).groupBy(*keys, "_rank", "_lo", "_hi").agg(
             F.count_if(v <= lo).alias("_below"), F.count_if(inner).alias("_in"),
             F.percentile_approx(F.when(inner, v), [i / splits for i in range(splits + 1)], 10 * splits).alias("_s")))
         # the rank is an end of the bracket or strictly inside; only the latter goes on
@@ -89,15 +90,24 @@ def exact_quantiles(long_df: DataFrame, keys: list[str], value: str, probs: list
             F.when(at_lo, F.col("_lo0")).when(at_hi, F.col("_hi0")).otherwise(F.col("_hi")).alias("_hi"),
             F.least(F.ceil(3 * count / splits), count - 1).alias("_most"))
         rest = targets.join(wide.select(*keys, "_rank"), [*keys, "_rank"], "left_anti")
-        targets = checkpoint(rest.unionByName(narrowed.select(rest.columns)))
-
-    # below a bracket all rows fall into one group, inside it one per value
-    seen = _located(base, targets, keys).groupBy(
-        *keys, "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_val")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_rank").orderBy(F.col("_val").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    values = (seen.withColumn("_cum", F.sum("_c").over(w))
+        targets = stored(rest.unionByName(narrowed.select(rest.columns)))
+
+    # rows below each bracket are counted beside each other, one number a bracket; only the rows
+    # inside one, a few thousandths of all, are copied
+    lists, most = _lists(targets, keys)
+    beside = base.join(lists, keys)
+    v = F.col("_v")
+    sums = F.array(*[F.col(f"_b{k}") for k in range(most)])
+    below = (beside.groupBy(*keys).agg(*[F.sum((v < F.get("_t", F.lit(k))["_lo"]).cast("long")).alias(f"_b{k}")
+                                         for k in range(most)])
+             .join(lists, keys).select(*keys, F.explode(F.transform("_t", lambda t, k: F.struct(
+                 t["_rank"].alias("_rank"), F.get(sums, k).alias("_below")))).alias("_h"))
+             .select(*keys, "_h._rank", "_h._below"))
+    inside = F.filter("_t", lambda t: (v >= t["_lo"]) & (v <= t["_hi"]))
+    seen = beside.select(*keys, v.alias("_val"), F.explode(F.transform(inside, lambda t: t["_rank"])).alias("_rank")).groupBy(
+        *keys, "_rank", "_val").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_rank").orderBy("_val").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = (seen.join(below, [*keys, "_rank"]).withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
               .filter((F.col("_cum") > F.col("_rank")) & (F.col("_cum") - F.col("_c") <= F.col("_rank")))
               .select(*keys, "_rank", "_val"))
     lo_v = values.select(*keys, F.col("_rank").alias("_rlo"), F.col("_val").alias("_vlo"))
@@ -118,15 +128,20 @@ def _bracket(targets: DataFrame, below, count, splits: int) -> DataFrame:
             .withColumn("_hi", F.get("_s", F.least(at + 2, F.lit(splits)))))
 
 
+def _lists(targets: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """(keys, _t): the brackets of each group in one list, and the longest
+    list's length; sent to all tasks where the groups are few."""
+    lists = stored(targets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", "_lo", "_hi"))).alias("_t")),
+                   "brackets")
+    row = lists.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_t")).alias("most")).first()
+    return (F.broadcast(lists) if row["n"] <= BROADCAST_GROUPS else lists), row["most"] or 1
+
+
 def _located(base: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the base for each target whose upper end they do not exceed:
-    (keys, _v, _rank, _lo, _hi).  One list of brackets per group, so every row is
-    read once; it is sent to all tasks where the groups are few."""
-    lists = targets.groupBy(*keys).agg(F.collect_list(F.struct("_rank", "_lo", "_hi")).alias("_t"))
-    if lists.count() <= BROADCAST_GROUPS:
-        lists = F.broadcast(lists)
+    (keys, _v, _rank, _lo, _hi)."""
     hit = F.filter("_t", lambda t: F.col("_v") <= t["_hi"])
-    return base.join(lists, keys).select(*keys, "_v", F.explode(hit).alias("_h")).select(
+    return base.join(_lists(targets, keys)[0], keys).select(*keys, "_v", F.explode(hit).alias("_h")).select(
         *keys, "_v", "_h._rank", "_h._lo", "_h._hi")
 
 
