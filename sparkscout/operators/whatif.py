@@ -1,12 +1,11 @@
 """What-if scenario scoring.
 
 A random-forest model of one target column is fitted on the complete
-numeric rows (distributed tree growth); every scenario ``(change column,
-percent)`` is scored in *one* pass: each row is expanded by a generator into
-one copy per scenario (a bounded ``explode``, not a join), the changed
-feature is rewritten by a column expression, and ``groupBy(scenario)``
-averages the predictions.  The model depends only on the target, so it is
-fitted once per target, not once per scenario.
+numeric rows (distributed tree growth); all scenarios ``(change column,
+percent)`` are scored in *one* pass: a row gets one prediction column per
+scenario, from its features with the changed one rewritten, and one aggregate
+averages them.  Rows are neither copied nor shuffled.  The model depends only
+on the target, so it is fitted once per target, not once per scenario.
 """
 
 from __future__ import annotations
@@ -31,7 +30,10 @@ KPI_NAME_PARTS = ["amount", "val", "sales", "revenue", "profit", "equity", "pric
 def numeric_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Numeric columns as DOUBLE, rows with a null in any of them dropped."""
     cols = numeric_cols(df)
-    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).na.drop(), cols
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    for c in cols:                                                # names may hold dots
+        rows = rows.filter(F.col(f"`{c}`").isNotNull() & ~F.isnan(f"`{c}`"))
+    return rows, cols
 
 
 def _vector(data: DataFrame, features: list[str]) -> DataFrame:
@@ -48,7 +50,8 @@ def fit_outcome_model(data: DataFrame, target: str, features: list[str], num_tre
     vec = _vector(data, features).withColumn("_target", F.col(f"`{target}`"))
     rf = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=num_trees,
                                maxDepth=max_depth, maxBins=max_bins, seed=seed,
-                               featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True)
+                               featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True,
+                               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     return rf.fit(vec)
 
 
@@ -64,31 +67,30 @@ def score_scenarios(data: DataFrame, model, features: list[str],
     """W3 for many scenarios at once: ``(scenario, change_col, pct_change,
     predicted_mean)``; scenario -1 is the unchanged baseline."""
     spec = [(-1, None, 0.0)] + [(i, c, float(p)) for i, (c, p) in enumerate(scenarios)]
-    gen = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("scenario"), F.lit(c).cast("string").alias("change_col"),
-                 F.lit(p).alias("pct_change")) for i, c, p in spec])).alias("s")
-    cells = [F.col(f"`{c}`") for c in features]
-    ex = data.select(*cells, gen).select(*cells, "s.*")
-    factor = 1 + F.col("pct_change") / 100.0
-    adj = ex.select("scenario", "change_col", "pct_change", *[
-        F.when(F.col("change_col") == F.lit(f), v * factor).otherwise(v).alias(f) for f, v in zip(features, cells)])
-    vec = _vector(adj, features)
-    pred = model.transform(vec)
-    return pred.groupBy("scenario", "change_col", "pct_change").agg(
-        F.avg("prediction").alias("predicted_mean"))
-
-
-def _delta(base: float, mod: float) -> float:
-    return (mod - base) / base * 100 if base != 0 else 0.0
-
-
-def recommendation(delta_pct: float) -> str:
+    plain = [f"_f{k}" for k in range(len(features))]              # names may hold dots
+    rows = data.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(features, plain)])
+    for n, (_, c, pct) in enumerate(spec):
+        inputs = list(plain)
+        if c in features:
+            at = features.index(c)
+            inputs[at] = f"_x{n}"
+            rows = rows.withColumn(f"_x{n}", F.col(plain[at]) * (1 + pct / 100.0))
+        rows = VectorAssembler(inputCols=inputs, outputCol=f"_v{n}").transform(rows)
+        rows = model.transform(rows, {model.featuresCol: f"_v{n}", model.predictionCol: f"_p{n}"})
+    means = rows.agg(*[F.avg(f"_p{n}").alias(f"_p{n}") for n in range(len(spec))])
+    return means.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("scenario"), F.lit(c).cast("string").alias("change_col"), F.lit(p).alias("pct_change"),
+                 F.col(f"_p{n}").alias("predicted_mean")) for n, (i, c, p) in enumerate(spec)])).alias("s")).select("s.*")
+
+
+def delta_pct(base, changed):
+    """Relative change of the mean in percent; 0 from a mean of 0."""
+    return F.when(base != 0, (changed - base) / base * 100).otherwise(F.lit(0.0))
+
+
+def branch(delta):
     """W4 branch: 'boost' above +2 %, 'risk' below -2 %, else 'inelastic'."""
-    if delta_pct > 2.0:
-        return "boost"
-    if delta_pct < -2.0:
-        return "risk"
-    return "inelastic"
+    return F.when(delta > 2.0, F.lit("boost")).when(delta < -2.0, F.lit("risk")).otherwise(F.lit("inelastic"))
 
 
 def with_texts(result: DataFrame) -> DataFrame:
@@ -125,15 +127,15 @@ def whatif(df: DataFrame, target: str, change_col: str, pct_change: float = 10.0
     model = fit_outcome_model(data, target, features, **model_kw)
     scored = {r["scenario"]: r["predicted_mean"] for r in
               score_scenarios(data, model, features, [(change_col, pct_change)]).collect()}
-    base, mod = scored[-1], scored[0]
-    d = _delta(base, mod)
     drivers = top_drivers(model, features)
     out = df.sparkSession.createDataFrame(
-        [(change_col, target, float(pct_change), float(base), float(mod), float(d),
-          recommendation(d), [(x["raw_col"], x["importance"]) for x in drivers])],
+        [(change_col, target, float(pct_change), float(scored[-1]), float(scored[0]),
+          [(x["raw_col"], x["importance"]) for x in drivers])],
         "change_col string, target_col string, pct_change_input double, "
-        "predicted_original_mean double, predicted_modified_mean double, delta_pct double, "
-        "recommendation string, drivers array<struct<raw_col:string,importance:double>>")
+        "predicted_original_mean double, predicted_modified_mean double, "
+        "drivers array<struct<raw_col:string,importance:double>>")
+    out = out.withColumn("delta_pct", delta_pct(F.col("predicted_original_mean"), F.col("predicted_modified_mean")))
+    out = out.withColumn("recommendation", branch(F.col("delta_pct")))
     out = out.withColumn("drivers", F.transform("drivers", lambda x: F.struct(
         readable_label(x["raw_col"]).alias("feature"), x["raw_col"].alias("raw_col"),
         x["importance"].alias("importance"))))
@@ -225,14 +227,14 @@ def auto_whatif(df: DataFrame, limit: int = 3, **model_kw) -> DataFrame:
                      score_scenarios(data, model, features, [(c, pct) for _, pct, c, _ in plan]).collect()}
             drivers = [(x["raw_col"], x["importance"]) for x in top_drivers(model, features)]
             table = table.unionByName(spark.createDataFrame(
-                [(p, place, k, c, goal, pct, means[-1], means[n], _delta(means[-1], means[n]), drivers)
-                 for n, (p, pct, c, k) in enumerate(plan)], DELTAS))
+                [(p, place, k, c, goal, pct, means[-1], means[n], None, drivers)
+                 for n, (p, pct, c, k) in enumerate(plan)], DELTAS).withColumn("delta_pct", delta_pct(
+                     F.col("predicted_original_mean"), F.col("predicted_modified_mean"))))
             if select_scenarios(table.filter(F.col("pass") == "A"), limit).count() >= limit:
                 break
     chosen = select_scenarios(table, limit)
-    d = F.col("delta_pct")
     named = F.transform("drivers", lambda x: F.struct(readable_label(x["raw_col"]).alias("feature"),
                                                       x["raw_col"].alias("raw_col"), x["importance"].alias("importance")))
     return with_texts(chosen.withColumn("drivers", named).withColumn(
-        "recommendation", F.when(d > 2.0, F.lit("boost")).when(d < -2.0, F.lit("risk")).otherwise(F.lit("inelastic")))
+        "recommendation", branch(F.col("delta_pct")))
         .orderBy("pass", "target_pos", "change_rank").drop("target_pos", "change_rank"))
