@@ -202,22 +202,25 @@ def _cube_sql(src, cols, min_support=0.05):
     size = " + ".join(f"(1 - grouping({c}))" for c in cols)
     gflags = ", ".join(f"grouping({c}) AS g_{c}" for c in cols)
     return (
-        f"WITH t AS ({src}), n AS (SELECT count(*) AS n FROM t), "
-        f"c AS (SELECT {_sql_cols(cols)}, {gflags}, concat_ws(', ', {items}) AS items, "
+        f"WITH t AS MATERIALIZED ({src}), n AS MATERIALIZED (SELECT count(*) AS n FROM t), "
+        f"c AS MATERIALIZED (SELECT {_sql_cols(cols)}, {gflags}, concat_ws(', ', {items}) AS items, "
         f"{mask} AS p, {size} AS size, count(*) AS freq FROM t GROUP BY CUBE ({_sql_cols(cols)})), "
-        f"fi AS (SELECT c.* FROM c, n WHERE c.size > 0 AND c.freq >= {min_support} * n.n)")
+        f"fi AS MATERIALIZED (SELECT c.* FROM c, n WHERE c.size > 0 AND c.freq >= {min_support} * n.n)")
 
 
 def _rules_sql(src, cols, min_support=0.05):
+    """Both joins are on a mask of columns and the itemset that it leaves."""
     match = lambda a, b: " AND ".join(f"({a}.g_{c} = 1 OR {a}.{c} = {b}.{c})" for c in cols)
     return (
         _cube_sql(src, cols, min_support) + ", "
-        f"r AS (SELECT a.items AS antecedent, k.items AS consequent, s.freq, "
+        f"m AS MATERIALIZED (SELECT DISTINCT p FROM fi), "
+        f"w AS MATERIALIZED (SELECT s.*, m.p AS ap, s.p - m.p AS cp FROM fi s, m "
+        f"WHERE s.size >= 2 AND m.p <> s.p AND (m.p & s.p) = m.p), "
+        f"r AS MATERIALIZED (SELECT a.items AS antecedent, k.items AS consequent, s.freq, "
         f"s.freq / n.n AS support, s.freq / a.freq AS confidence, "
-        f"(s.freq / a.freq) / (k.freq / n.n) AS lift, a.p AS ap, k.p AS cp "
-        f"FROM fi s JOIN fi a ON (a.p & s.p) = a.p AND a.p <> s.p AND {match('a', 's')} "
-        f"JOIN fi k ON k.p = s.p - a.p AND {match('k', 's')}, n "
-        f"WHERE s.size >= 2) ")
+        f"(s.freq / a.freq) / (k.freq / n.n) AS lift, s.ap, s.cp "
+        f"FROM w s JOIN fi a ON a.p = s.ap AND {match('a', 's')} "
+        f"JOIN fi k ON k.p = s.cp AND {match('k', 's')}, n) ")
 
 
 def _title_sql(x):
@@ -336,6 +339,21 @@ def q_infer_timestamp(spark, d):
                        F.col("column").isin(list(chosen)).alias("converted"))
 
 
+# dates that are day-first, nine in ten before the 13th
+SQL["infer_timestamp_day_first"] = (
+    "SELECT o_orderkey, strftime(make_date(CAST(year(o_orderdate) AS INTEGER), CAST(month(o_orderdate) AS INTEGER), "
+    "CAST(CASE WHEN o_orderkey % 10 = 0 THEN 28 ELSE o_orderkey % 12 + 1 END AS INTEGER)), '%Y-%m-%d') AS day FROM orders")
+
+
+@query("infer_timestamp_day_first")
+def q_infer_timestamp_day_first(spark, d):
+    """P4 where the month-first reading parses most rows, but not as many."""
+    day = F.when(F.col("o_orderkey") % 10 == 0, F.lit(28)).otherwise(F.col("o_orderkey") % 12 + 1).cast("int")
+    text = F.format_string("%02d/%02d/%04d", day, F.month("o_orderdate"), F.year("o_orderdate"))
+    out, _ = prepare.infer_timestamps(load(spark, d, "orders").select("o_orderkey", text.alias("day")), ["day"])
+    return out.select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 SQL["trim_mode_impute"] = (
     "WITH of AS (" + ORDER_FLAGS_SQL + "), m AS (SELECT v FROM (SELECT " + _STRIP.format("status_r") +
@@ -368,6 +386,18 @@ def q_label_encode(spark, d):
 
 
 _DOC_STR = ["text", "lang", "source"]
+SQL["text_modes"] = _union([
+    f"SELECT '{c}' AS \"column\", {i} AS pos, bool_or({c} IS NULL OR {_STRIP.format(c)} = '') AS has_gap, "
+    f"(SELECT v FROM (SELECT {_STRIP.format(c)} AS v, count(*) AS n FROM documents GROUP BY 1) WHERE v <> '' "
+    f"ORDER BY n DESC, v LIMIT 1) AS mode FROM documents" for i, c in enumerate(_DOC_STR)])
+
+
+@query("text_modes")
+def q_text_modes(spark, d):
+    """P6 on whole texts, some of them equal and most of them not."""
+    return prepare.string_modes(load(spark, d, "documents"), _DOC_STR)
+
+
 SQL["drop_high_cardinality"] = "SELECT *, CASE WHEN n_unique < 10 THEN 'encode' ELSE 'drop' END AS action FROM (" + \
     _union([f"SELECT '{c}' AS \"column\", {i} AS pos, count(DISTINCT {c}) AS n_unique FROM documents"
             for i, c in enumerate(_DOC_STR)]) + ")"
@@ -604,7 +634,8 @@ def q_segment_profile(spark, d):
 
 @query("kmeans_segments")
 def q_kmeans_segments(spark, d):
-    """No oracle: K-means (k-means|| init) differs from any SQL formulation."""
+    """No oracle: the random starts differ from any SQL formulation; the
+    iterations have one (``kmeans_given_starts``)."""
     p = segments.kmeans_profile(load(spark, d, "events"), EVENTS_NUM)
     return p.select("segment", "size_pct", "rank", "feature", "mean", "k", "silhouette")
 
@@ -825,17 +856,84 @@ def q_diverse_top_n(spark, d):
     return top.select("display_rank", "type", "column", r6("final_score").alias("final_score"))
 
 
+def _fixed_sql(x, digits):
+    """A number with fixed decimals, halves away from zero."""
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(30,9)), {digits}) AS DECIMAL(30,{digits})) AS VARCHAR)"
+
+
+def _event_texts_sql():
+    """Findings of the prepared events table with their texts (T1-T3), as the
+    table x beside those of :func:`_event_findings_sql`."""
+    num, cats = ["event_id", "user_id", "event_type", "value"], ["event_type", "props"]
+    f2, f1 = (lambda x: _fixed_sql(x, 2)), (lambda x: _fixed_sql(x, 1))
+    label = "'**' || " + _label_sql('"column"') + " || '**'"
+    hold = lambda figure, subject: (
+        f"'Does the ' || {figure} || ' of ' || {subject} || ' hold in every part of the table?', "
+        f"'Which other columns matter for ' || {subject} || '?'")
+    top = "'**' || top_value || '**'"
+    others = ("concat_ws(', ', " + ", ".join(
+        f"'**' || {w}_value || '** (' || {f1(w + '_pct')} || '%)'" for w in ("top", "second", "third")) + ")")
+    anomaly = (
+        f"SELECT 'anomaly' AS type, \"column\", {label} || ' has **' || outlier_count || ' outlier(s)** (' || {f1('outlier_pct')} || "
+        f"'% of values) more than 3 standard deviations from the mean (' || {f2('mean')} || ' ± ' || {f2('std')} || "
+        f"'); the most extreme is **' || {f2('extreme_value')} || '** (' || {f1('extreme_z')} || 'σ).' AS description, "
+        f"'The **' || outlier_count || ' extreme value(s)** in ' || {label} || ' may be exceptional events or data errors "
+        f"and are worth a closer look.' AS hypothesis, "
+        f"[{hold("outlier_count || ' extreme value(s)'", label)}, CASE WHEN outlier_count = 1 THEN "
+        f"'Is the one value a mistake of recording?' ELSE 'Do the extreme values share a time, a source or a category?' END] "
+        f"AS questions FROM ({_outliers_sql('enc', num)})")
+    share = (
+        f"SELECT 'distribution', \"column\", CASE WHEN is_binary THEN {label} || ' is binary: ' || {top} || ' makes up ' || "
+        f"{f1('top_pct')} || '% of records against **' || second_value || '** at ' || {f1('second_pct')} || '%.' ELSE {label} || "
+        f"' has **' || n_unique || ' categories**; the top ones are ' || {others} || '. The other ' || greatest(n_unique - 3, 0) || "
+        f"' account for **' || {f1('tail_pct')} || '%** of the data.' END, "
+        f"'Most records of ' || {label} || ' fall on ' || {top} || ' (' || {f1('top_pct')} || '%); a model trained on it without "
+        f"balancing will favour that value.', "
+        f"[{hold(f1('top_pct') + " || '%'", top + " || ' in ' || " + label)}, CASE WHEN top_pct > 50 THEN "
+        f"'What is left to learn once the leading value is set aside?' ELSE 'Which of the ' || n_unique || ' values gain ground "
+        f"over time?' END] FROM ({_dominance_sql('events', cats)})")
+    shape = f"({_shape_sql('enc', num)})"
+    skew = (
+        f"SELECT 'numeric_insight', \"column\", {label} || ' is **' || CASE WHEN skew > 0 THEN 'right-skewed (a long upper tail)' "
+        f"ELSE 'left-skewed (a long lower tail)' END || '** (skewness = ' || {f2('skew')} || '); median **' || {f2('median')} || "
+        f"'** against mean **' || {f2('mean')} || '**.', 'The skew of ' || {label} || ' pulls the mean toward its ' || "
+        f"CASE WHEN skew > 0 THEN 'upper' ELSE 'lower' END || ' tail; median-based figures describe the typical case better.', "
+        f"[{hold("'skewness of ' || " + f2('skew'), label)}, CASE WHEN skew > 0 THEN 'Is a logarithm the better scale for it?' "
+        f"ELSE 'Is there an upper limit that the values press against?' END] FROM {shape} WHERE n >= 5 AND abs(skew) > 1.0")
+    cv = (
+        f"SELECT 'numeric_insight', \"column\", {label} || ' varies widely (coefficient of variation = ' || {f1('cv')} || "
+        f"'%); the interquartile range runs **' || {f2('q1')} || ' → ' || {f2('q3')} || '** (IQR = ' || {f2('iqr')} || ').', "
+        f"'The spread of ' || {label} || ' (CV = ' || {f1('cv')} || '%) suggests several sub-populations; compare it segment by "
+        f"segment.', [{hold("'coefficient of variation of ' || " + f1('cv') + " || '%'", label)}, "
+        f"'Which category splits it into parts that vary less?'] FROM {shape} WHERE n >= 5 "
+        f"AND NOT coalesce(abs(skew) > 1.0, false) AND cv > 50")
+    return f"{_event_findings_sql()}, x AS ({_union([anomaly, share, skew, cv])}) "
+
+
+SQL["narrate_insights"] = _event_texts_sql() + (
+    "SELECT type, \"column\", description, hypothesis, array_to_string(questions, ' | ') AS questions FROM x")
+
+
 @query("narrate_insights")
 def q_narrate_insights(spark, d):
-    """No oracle: free text."""
+    """T1-T3 of the deterministic miners."""
     ins = _event_insights(spark, d)
-    return ins.select("type", "column", "description", "hypothesis", "questions")
+    return ins.select("type", "column", "description", "hypothesis", F.array_join("questions", " | ").alias("questions"))
+
+
+SQL["insight_table"] = _event_texts_sql() + (
+    "SELECT round(sc.final_score, 6) AS final_score, x.type, replace(x.description, '**', '') AS description, x.\"column\", "
+    "replace(hypothesis, '**', '') AS hypothesis, replace(array_to_string(questions, ' | '), '**', '') AS questions "
+    "FROM x JOIN sc ON x.type = sc.type AND x.\"column\" = sc.\"column\"")
 
 
 @query("insight_table")
 def q_insight_table(spark, d):
-    """No oracle: S3 projection of the events insight table."""
-    return insight_table(_event_insights(spark, d))
+    """S3: the columns that lead, texts without marks."""
+    t = insight_table(_event_insights(spark, d))
+    lead = t.columns[:3]
+    return t.select(*[r6(c).alias(c) if c == "final_score" else F.col(c) for c in lead], "column", "hypothesis",
+                    F.array_join("questions", " | ").alias("questions"))
 
 
 @query("discover_events")
@@ -953,6 +1051,37 @@ def q_kmeans_scaled(spark, d):
     return p.select("segment", "size_pct", "rank", "feature", "mean", "k", "silhouette")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """Iterations over standardised columns from the rows of the three least keys."""
+    out = ["WITH d AS (SELECT CAST(p_partkey AS DOUBLE) AS x0, CAST(p_size AS DOUBLE) AS x1, "
+           "CAST(p_retailprice AS DOUBLE) AS x2 FROM part)",
+           "w AS (SELECT stddev_samp(x0) AS w0, stddev_samp(x1) AS w1, stddev_samp(x2) AS w2 FROM d)",
+           "c0 AS (SELECT CAST(row_number() OVER (ORDER BY x0) - 1 AS INTEGER) AS g, x0, x1, x2 FROM d "
+           "ORDER BY x0 LIMIT 3)"]
+    for k in range(1, steps + 1):
+        far = " + ".join(f"((d.x{i} - c.x{i}) / w{i}) * ((d.x{i} - c.x{i}) / w{i})" for i in range(3))
+        out.append(f"f{k} AS (SELECT d.x0, d.x1, d.x2, c.g, {far} AS far FROM d, c{k - 1} c, w)")
+        out.append(f"a{k} AS (SELECT *, row_number() OVER (PARTITION BY x0 ORDER BY far, g) AS pick FROM f{k})")
+        out.append(f"c{k} AS (SELECT g, count(*) AS n, avg(x0) AS x0, avg(x1) AS x1, avg(x2) AS x2 "
+                   f"FROM a{k} WHERE pick = 1 GROUP BY g)")
+    each = " UNION ALL ".join(f"SELECT g AS segment, n, '{c}' AS feature, round(x{i}, 4) AS centre FROM c{steps}"
+                              for i, c in enumerate(PART_NUM))
+    return (", ".join(out) + f", e AS (SELECT round(sum(far), 4) AS cost FROM a{steps} WHERE pick = 1) "
+            f"SELECT r.*, e.cost FROM ({each}) r, e")
+
+
+SQL["kmeans_given_starts"] = _lloyd_sql(4)
+
+
+@query("kmeans_given_starts")
+def q_kmeans_given_starts(spark, d):
+    """M3's passes and P11 from given centres: the parts of the three least keys."""
+    part = load(spark, d, "part")
+    first = [[float(v) for v in r] for r in part.select(*PART_NUM).orderBy("p_partkey").limit(3).collect()]
+    got = segments.kmeans_from(part, first, 4, PART_NUM, scale=True)
+    return got.select("segment", "n", "feature", F.round("centre", 4).alias("centre"), F.round("cost", 4).alias("cost"))
+
+
 # ---- exploration aggregates ---------------------------------------------------------
 
 SQL["headline"] = "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols, CAST(8 AS BIGINT) AS n_numeric FROM lineitem"
@@ -1219,6 +1348,39 @@ def q_whatif_selection(spark, d):
     return whatif.select_scenarios(t, limit=12).select("pass", "target_pos", "change_rank", "change_col", "target_col")
 
 
+_delta_sql = "CASE WHEN base <> 0 THEN (changed - base) / base * 100 ELSE 0.0 END"
+_sign_sql = lambda x: f"CASE WHEN {x} >= 0 THEN '+' ELSE '' END || {_fixed_sql(x, 1)}"
+SQL["whatif_texts"] = (
+    "WITH m AS (SELECT n_name, avg(l_extendedprice) AS base, avg(l_extendedprice * (1 - l_discount + 0.04)) AS changed "
+    "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name), "
+    f"d AS (SELECT *, {_delta_sql} AS delta FROM m) "
+    "SELECT n_name, round(delta, 6) AS delta_pct, CASE WHEN delta > 2.0 THEN 'boost' WHEN delta < -2.0 THEN 'risk' "
+    "ELSE 'inelastic' END AS recommendation, "
+    f"'Changing **' || {_label_sql("'l_discount'")} || '** by **+4.0%** moves the average predicted **' || "
+    f"{_label_sql("'l_extendedprice'")} || '** by **' || {_sign_sql('delta')} || '%** (' || {_fixed_sql('base', 2)} || ' -> ' || "
+    f"{_fixed_sql('changed', 2)} || ').' AS narrative, "
+    f"CASE WHEN delta > 2.0 THEN '**' || {_label_sql("'l_discount'")} || '** is a strong lever for **' || "
+    f"{_label_sql("'l_extendedprice'")} || '**; raising it looks worthwhile.' WHEN delta < -2.0 THEN 'Raising **' || "
+    f"{_label_sql("'l_discount'")} || '** is predicted to lower **' || {_label_sql("'l_extendedprice'")} || '** by ' || "
+    f"{_fixed_sql('abs(delta)', 1)} || '%; proceed with care.' ELSE '**' || {_label_sql("'l_extendedprice'")} || "
+    f"'** barely reacts to **' || {_label_sql("'l_discount'")} || '** (' || {_fixed_sql('delta', 2)} || "
+    f"'%); look at stronger drivers.' END AS advice FROM d")
+
+
+@query("whatif_texts")
+def q_whatif_texts(spark, d):
+    """Branch and texts of effects on the mean price by supplier nation."""
+    li, su, na = (load(spark, d, t) for t in ("lineitem", "supplier", "nation"))
+    t = (li.join(su, li["l_suppkey"] == su["s_suppkey"]).join(na, su["s_nationkey"] == na["n_nationkey"]).groupBy("n_name").agg(
+        F.avg("l_extendedprice").alias("predicted_original_mean"),
+        F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount") + 0.04)).alias("predicted_modified_mean")))
+    t = t.select("n_name", F.lit("l_discount").alias("change_col"), F.lit("l_extendedprice").alias("target_col"),
+                 F.lit(4.0).alias("pct_change_input"), "predicted_original_mean", "predicted_modified_mean",
+                 whatif.delta_pct(F.col("predicted_original_mean"), F.col("predicted_modified_mean")).alias("delta_pct"))
+    t = whatif.with_texts(t.withColumn("recommendation", whatif.branch(F.col("delta_pct"))))
+    return t.select("n_name", r6("delta_pct").alias("delta_pct"), "recommendation", "narrative", "advice")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

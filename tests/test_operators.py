@@ -379,3 +379,116 @@ def test_near_unique_columns_skipped_and_wide_text_gaps_filled(spark):
     top = sorted(mode[mode == mode.max()].index)[0]
     filled = [r["note"] for r in p.clean.collect()]
     assert filled[0] == top and None not in filled
+
+
+# ---- K-means on shared scans -----------------------------------------------------------
+
+def test_shared_scan_kmeans_finds_planted_clusters(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 0.4, (150, 3)) for c in ((0, 0, 0), (6, 0, 1), (0, 7, 2), (5, 6, -4))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b.c", "d"]))
+    labelled, k, sil = segments.kmeans_segments(df, restarts=4)
+    got = labelled.toPandas()
+    assert k == 4 and sorted(got.groupby("segment").size()) == [150] * 4
+    # the silhouette is the one that Spark's evaluator finds for the same labels
+    plain = labelled.toDF("x", "y", "z", "segment")
+    vec = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(plain)
+    want = ClusteringEvaluator(predictionCol="segment", distanceMeasure="squaredEuclidean").evaluate(vec)
+    assert sil == pytest.approx(want, abs=1e-9)
+    # rows in another order and split give the same model
+    again = segments.kmeans_segments(df.orderBy("d").repartition(5), restarts=4)
+    assert again[1] == 4 and again[2] == pytest.approx(sil, abs=1e-9)
+
+
+def test_kmeans_of_few_distinct_rows_and_repeats(spark):
+    pdf = pd.DataFrame({"a": [0.0] * 40 + [1.0] * 40 + [9.0] * 3, "b": [0.0] * 40 + [1.0] * 40 + [9.0] * 3})
+    labelled, k, sil = segments.kmeans_segments(spark.createDataFrame(pdf), restarts=3)
+    assert k == 3 and sil == pytest.approx(1.0)
+    assert segments.kmeans_segments(spark.createDataFrame(pdf.assign(a=1.0, b=2.0)), restarts=2) is None
+
+
+def test_lloyd_iterations_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 2)) * [1, 30]
+    first = x[:3].tolist()
+    rows = segments.kmeans_from(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), first, 5, scale=True).toPandas()
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    c = z[:3].copy()
+    for _ in range(5):
+        own = ((z[:, None] - c) ** 2).sum(2).argmin(1)
+        cost = ((z - c[own]) ** 2).sum()
+        c = np.array([z[own == g].mean(0) for g in range(3)])
+    want = c * x.std(0, ddof=1) + x.mean(0)
+    got = rows.pivot(index="segment", columns="feature", values="centre")[["a", "b"]].to_numpy()
+    assert np.allclose(got, want) and rows.cost[0] == pytest.approx(cost)
+    assert rows.drop_duplicates("segment").sort_values("segment").n.tolist() == np.bincount(own).tolist()
+
+
+# ---- ranks once per column --------------------------------------------------------------
+
+def test_spearman_with_gaps_against_pandas(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 700).astype(float), "b": rng.normal(size=700), "c": rng.normal(size=700),
+                        "d": rng.integers(0, 3, 700).astype(float)})
+    pdf["c"] = pdf["a"] ** 2 + 0.3 * pdf["c"]
+    pdf.loc[rng.random(700) < 0.3, "b"] = None
+    pdf.loc[rng.random(700) < 0.2, "c"] = None
+    df = spark.createDataFrame(pdf)
+    want = pdf.corr(method="spearman")
+    got = correlations.spearman_long(df).collect()
+    assert len(got) == 6
+    for r in got:
+        assert r["spearman"] == pytest.approx(want.loc[r["col_a"], r["col_b"]], abs=1e-9)
+    some = correlations.spearman_long(df, wanted=[(0, 2)]).collect()
+    assert [(r["col_a"], r["col_b"]) for r in some] == [("a", "c")]
+
+
+# ---- values by digest -------------------------------------------------------------------
+
+def test_modes_of_long_texts(spark):
+    long = "the same beginning of many texts, "
+    rows = [(long + str(k % 7), "x") for k in range(70)] + [(long + "0", " x "), ("  ", None), (None, ""), ("short", "y")]
+    got = {r["column"]: r for r in prepare.string_modes(spark.createDataFrame(rows, "a string, b string"), ["a", "b"]).collect()}
+    assert got["a"]["mode"] == long + "0" and got["a"]["has_gap"] and got["b"]["mode"] == "x" and got["b"]["has_gap"]
+    ties = [(long + c,) for c in "zyxw"] * 2 + [("a",)]
+    assert prepare.string_modes(spark.createDataFrame(ties, "a string"), ["a"]).first()["mode"] == long + "w"
+    plan = prepare.encoding_plan(spark.createDataFrame([(long + c,) for c in "ba"] * 3, "a string"), ["a"]).first()
+    assert plan["categories"] == [long + "a", long + "b"] and plan["n_unique"] == 2
+
+
+# ---- rules, scenarios -------------------------------------------------------------------
+
+def test_rules_of_itemsets_of_many_items(spark):
+    """Consequents grow while the confidence holds, whatever the size."""
+    items = [(f"c{k:02d}", "v") for k in range(70)]
+    sets = [(items, 70, 50, 0.5), (items[:1], 1, 100, 1.0), (items[1:], 69, 50, 0.5)] + [([i], 1, 90, 0.9) for i in items[1:]]
+    sets += [(items[:k] + items[k + 1:], 69, 200, 1.0) for k in range(1, 70)]
+    schema = "parts array<struct<column:string,value:string>>, size int, freq long, support double"
+    got = rules.association_rules(spark.createDataFrame(sets, schema), 100, min_lift=0.0).filter("size(antecedent) = 69").collect()
+    assert [r["consequent"] for r in got] == [["c00=v"]] and got[0]["confidence"] == 1.0
+
+
+def test_scenarios_change_one_column_each(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a.x": rng.normal(10, 2, 400), "b": rng.normal(5, 1, 400)})
+    pdf["y"] = 3 * pdf["a.x"] - pdf["b"]
+    data, cols = whatif.numeric_frame(spark.createDataFrame(pdf))
+    model = whatif.fit_outcome_model(data, "y", ["a.x", "b"], num_trees=10, max_depth=6)
+    got = {r["scenario"]: r["predicted_mean"] for r in
+           whatif.score_scenarios(data, model, ["a.x", "b"], [("a.x", 20.0), ("b", -10.0)]).collect()}
+    for n, (c, p) in {-1: ("b", 0.0), 0: ("a.x", 20.0), 1: ("b", -10.0)}.items():
+        changed = data.withColumn(c, F.col(f"`{c}`") * (1 + p / 100))
+        want = model.transform(whatif._vector(changed, ["a.x", "b"])).agg(F.avg("prediction")).first()[0]
+        assert got[n] == pytest.approx(want)
+
+
+def test_intermediate_tables_end_with_their_scope(spark):
+    import os
+
+    from sparkscout.session import scope, stored
+    with scope(spark):
+        path = stored(spark.range(5), "probe").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

@@ -54,9 +54,6 @@ INVARIANTS = {
     "kmeans_scaled": lambda p: p.segment.nunique() == p.k.iloc[0] and p.silhouette.between(-1, 1).all(),
     "discover_events": lambda p: p.seq.is_unique and p.final_score.between(0, 100).all(),
     "discover_line_orders": lambda p: p.seq.is_unique and {"association", "cluster"} <= set(p.type),
-    "narrate_insights": lambda p: p.description.str.len().min() > 20 and (p.questions.str.len() > 0).all(),
-    "insight_table": lambda p: list(p.columns[:3]) == ["final_score", "type", "description"]
-    and not p.description.str.contains("**", regex=False).any(),
     "top_drivers": lambda p: list(p["rank"]) == list(range(1, len(p) + 1)) and p.importance.is_monotonic_decreasing
     and abs(p.importance.sum() - 100) < 1e-6,
     "whatif_single": lambda p: len(p) == 1 and p.recommendation.isin(["boost", "risk", "inelastic"]).all(),
