@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, register, stored
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -85,13 +85,11 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return register(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage
     and survives lost executors, with columnar files in place of a row
     checkpoint."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)

@@ -8,11 +8,12 @@ alone, so two documents that share a window share its fingerprint, and only
 about one place in twenty is one (of 50 words).  Consecutive windows that
 select one place are its *stretch*.
 
-Fingerprints that stand at one place only are dropped.  Of the others, equal
+Fingerprints that come up once only are dropped.  Of the others, equal
 stretches are compared as a whole: all but the first, in the order of (id,
 place), are repeats.  Windows are listed and compared one by one only for the
 first places of different stretches under one fingerprint, that is at the ends
-of what texts have in common.  Nothing is compared with all the others.
+of what texts have in common, or at the edges of the blocks in which a long
+text is read.  Nothing is compared with all the others.
 
 What is deleted is exactly: every word in a run of at least ``min_words``
 words that stands, word by word, at an earlier place.
@@ -36,28 +37,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise, take_over
+from .base import arrow_map, free_names, materialise
 
-#: words of a fingerprint, and words of several texts that are hashed at once
-GRAM, CHUNK = 8, 1 << 18
+#: words of a fingerprint; words of several texts, or windows of a long one, that are hashed at once
+GRAM, CHUNK = 8, 1 << 16
+#: bytes of words that are hashed at once; longer words get a hash of their own
+BYTES, LONG_WORD = 1 << 18, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"\S+")
+#: white space of one byte, and any other
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_OTHER_SPACE = re.compile("[^\\S\t-\r\x1c- ]")
 
 
-class _Hashes(dict):
-    """Hashes of words; the cache is bounded and changes no result."""
+class _Powers:
+    """Powers of the base and of its inverse, as many as were ever needed."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode())
-        if len(word) <= 64:
-            if len(self) >= 1 << 18:
-                self.clear()
-            self[word] = h
-        return h
+    def __init__(self):
+        self.forth = self.back = np.ones(1, np.uint64)
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.forth) < n:
+            for name, base in (("forth", _BASE), ("back", _BACK)):
+                power = np.full(n, base, np.uint64)
+                power[0] = 1
+                setattr(self, name, np.cumprod(power))
+        return self.forth[:n], self.back[:n]
 
-_HASHES = _Hashes()
+
+_POWERS = _Powers()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,20 +75,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words one after another, words of each text)."""
+    parts = [(t if t.isascii() else _OTHER_SPACE.sub(" ", t)).encode() for t in texts]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    gap = _SPACE[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
+        edge = np.append(0, edge)
+    start, end = edge[::2], edge[1::2]
+    ends_of = np.cumsum([len(p) + 1 for p in parts])
+    sizes = np.diff(np.searchsorted(start, ends_of), prepend=0)
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BYTES)))
+        first, last = start[lo:hi] - start[lo], end[lo:hi] - start[lo]
+        if hi == lo + 1 and last[0] > LONG_WORD:
+            out[lo] = xxhash.xxh3_64_intdigest(data[start[lo]:end[lo]].tobytes())
+        else:
+            forth, back = _POWERS.upto(BYTES + 1)
+            upto = np.zeros(last[-1] + 1, np.uint64)
+            np.cumsum(data[start[lo]:end[hi - 1]] * forth[:last[-1]], out=upto[1:])
+            h = (upto[last] - upto[first]) * back[first]
+            out[lo:hi] = _mix(h + (last - first).astype(np.uint64) * np.uint64(_BACK))
+            for k in np.flatnonzero(last - first > LONG_WORD):
+                out[lo + k] = xxhash.xxh3_64_intdigest(data[start[lo + k]:end[lo + k]].tobytes())
+        lo = hi
+    return out, sizes
+
+
 class Words:
     """Word hashes of some texts one after another, and hashes of their runs."""
 
-    def __init__(self, texts: list[list[str]]):
-        self.sizes = np.asarray([len(t) for t in texts], np.int64)
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+        self.sizes = np.asarray(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        h = np.fromiter((_HASHES[w] for t in texts for w in t), np.uint64, n)
-        power = np.ones(n + 1, np.uint64)
-        power[1:] = _BASE
+        n = len(hashes)
+        forth, self.back = _POWERS.upto(max(n + 1, CHUNK))
         self.upto = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * np.cumprod(power)[:n], out=self.upto[1:])
-        power[1:] = _BACK
-        self.back = np.cumprod(power)
+        np.cumsum(hashes * forth[:n], out=self.upto[1:])
 
     def runs(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the words from first on and before end."""
@@ -112,18 +146,43 @@ class Words:
         return text, at, count, g[place], whole
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, Words]]:
-    """(rows, words) of some texts at a time."""
-    rows, held, n = [], [], 0
+def _chunks(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
+    """(rows, first word of each in its text, words) of some texts at a time; a
+    long text comes in blocks that share all words of windows over their edge."""
+    rows, held, chars = [], [], 0
+
+    def blocks():
+        hashes, sizes = word_hashes(held)
+        at, head, rest = 0, 0, []                             # rest: (row, from, until) of short texts
+        for r, n in zip(rows, sizes.tolist()):
+            if n > CHUNK:
+                if rest:
+                    yield np.asarray(rest), np.zeros(len(rest), np.int64), Words(hashes[head:at], few)
+                for k in range(0, n - min_words + 1, CHUNK):
+                    part = hashes[at + k:at + min(n, k + CHUNK + min_words - 1)]
+                    yield np.asarray([r]), np.asarray([k]), Words(part, [len(part)])
+                at, rest = at + n, []
+                head = at
+                continue
+            if not rest:
+                few = []
+            rest.append(r), few.append(n)
+            at += n
+            if at - head > CHUNK:
+                yield np.asarray(rest), np.zeros(len(rest), np.int64), Words(hashes[head:at], few)
+                head, rest = at, []
+        if rest:
+            yield np.asarray(rest), np.zeros(len(rest), np.int64), Words(hashes[head:at], few)
+
     for r, t in enumerate(texts):
-        words = (t.as_py() or "").split()
-        rows.append(r), held.append(words)
-        n += len(words)
-        if n >= CHUNK:
-            yield np.asarray(rows), Words(held)
-            rows, held, n = [], [], 0
+        text = t.as_py() or ""
+        rows.append(r), held.append(text)
+        chars += len(text)
+        if chars >= 4 * CHUNK:
+            yield from blocks()
+            rows, held, chars = [], [], 0
     if rows:
-        yield np.asarray(rows), Words(held)
+        yield from blocks()
 
 
 def stretch_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -132,10 +191,10 @@ def stretch_table(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("passages", _HASHES.clear)
         for b in batches:
-            for rows, words in _chunks(b.column(2)):
+            for rows, base, words in _chunks(b.column(2), min_words):
                 text, at, n, mark, whole = words.stretches(min_words)
+                at = at + base[text]
                 take = pa.array(rows[text])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)),
@@ -151,9 +210,8 @@ def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("passages", _HASHES.clear)
         for b in batches:
-            for rows, words in _chunks(b.column(2)):
+            for rows, base, words in _chunks(b.column(2), min_words):
                 edges = b.column(3).take(pa.array(rows))
                 flat = edges.flatten()
                 text = np.repeat(np.arange(len(rows)), edges.value_lengths().to_numpy(zero_copy_only=False))
@@ -161,7 +219,11 @@ def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
                 each = np.repeat(np.arange(len(n)), n)
                 at = flat.field("first").to_numpy().astype(np.int64)[each] + (
                     np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
-                start = at + words.starts[text[each]]
+                inner = at - base[text[each]]                     # of a long text, those of this block
+                here = (inner >= 0) & (inner < np.minimum(CHUNK, words.sizes[text[each]] - min_words + 1)
+                                       if len(rows) == 1 else inner >= 0)
+                each, at, inner = each[here], at[here], inner[here]
+                start = inner + words.starts[text[each]]
                 window = words.runs(start, start + min_words)
                 take = pa.array(rows[text[each]])
                 yield pa.RecordBatch.from_arrays(
@@ -186,8 +248,7 @@ def repeated_words(texts: DataFrame, min_words: int) -> DataFrame:
     # tables are written before they are joined: a join straight onto an aggregate
     # keeps its partitions, and a hot passage would stay in one task
     prints = materialise(stretch_table(texts, min_words), "stretches")
-    shared = materialise(prints.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-                         .filter(~F.col("a").eqNullSafe(F.col("b"))).select("print"), "shared")
+    shared = materialise(prints.groupBy("print").count().filter("count > 1").select("print"), "shared")
     spots = materialise(prints.join(shared, "print", "left_semi"), "places")
     origin = materialise(spots.groupBy("print", "whole", "n").agg(F.min(place).alias("o")), "origins")
     copies = (spots.join(origin.select("print", "whole", "o"), ["print", "whole"])
@@ -240,26 +301,64 @@ def delete_words(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]
     return "\n".join(kept), lines, sum(gone)
 
 
+def _marked(docs: DataFrame, deleted: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """All rows and columns, and the runs of words to delete, by first and last
+    word in the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    run_id, run_hash = free_names(docs.columns, "_run_id", "_run_hash")
+    found = (repeated_words(texts, min_words).groupBy("id", "text_hash")
+             .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias(deleted))
+             .withColumnsRenamed({"id": run_id, "text_hash": run_hash}))
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(run_id)) & (F.xxhash64(text) == F.col(run_hash)),
+                     "left").drop(run_id, run_hash)
+
+
+def _cleaned(texts: pa.Array, deleted: pa.Array) -> list[tuple]:
+    """(text without the words of its runs, lines and words deleted)."""
+    return [(t, 0, 0) if t is None or not d else delete_words(t, [(r["first"], r["last"]) for r in d])
+            for t, d in zip(texts.to_pylist(), deleted.to_pylist())]
+
+
+def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text",
+            chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with later repeats of passages deleted from the
+    text, and ``chars_col``, where there is one, counted anew for such rows."""
+    deleted, changed = free_names(docs.columns, "_deleted", "_changed")
+    marked = _marked(docs, deleted, min_words, id_col, text_col)
+    names = docs.columns
+    at = names.index(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = _cleaned(b.column(at), b.column(len(names)))
+            cols = list(b.columns[:len(names)])
+            cols[at] = pa.array([o[0] for o in out], pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([o[2] > 0 for o in out], pa.bool_())], [*names, changed])
+
+    out = arrow_map(marked, run, f"{fields}, `{changed}` boolean")
+    if chars_col in names:
+        kind = docs.schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(F.col(changed), F.length(text_col).cast(kind)).otherwise(F.col(chars_col)))
+    return out.drop(changed)
+
+
 def dedup_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id_col, text, n_deleted_lines, n_deleted_words, deleted): every
     document with later repeats of passages deleted; ``deleted`` are the runs,
     by first and last word in the original text."""
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = (repeated_words(texts, min_words).groupBy("id", "text_hash")
-             .agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("deleted")))
+    marked = _marked(docs.select(id_col, F.col(text_col).cast("string").alias("text")), "_deleted", min_words, id_col, "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(t, 0, 0) if t is None or not d else delete_words(t, [(r["first"], r["last"]) for r in d])
-                   for t, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            out = _cleaned(b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([o[0] for o in out], pa.string()),
                  pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), b.column(2)],
                 [id_col, "text", "n_deleted_lines", "n_deleted_words", "deleted"])
 
-    return arrow_map(_join_texts(texts, found, "left").select("id", "text", "deleted"), run,
-                     f"`{id_col}` {kind}, text string, n_deleted_lines bigint, n_deleted_words bigint, "
-                     "deleted array<struct<first:int,last:int>>")
+    return arrow_map(marked, run, f"`{id_col}` {kind}, text string, n_deleted_lines bigint, "
+                     "n_deleted_words bigint, deleted array<struct<first:int,last:int>>")

@@ -7,8 +7,9 @@
    voters that need no labels.  A voter fires or abstains.
 2. *Label model.*  A generative model of the hidden label and all voters is
    fitted by expectation maximisation.  Voters depend on the label and on one
-   other voter: the tree of the strongest conditional correlations.  The
-   annotators' mark is one voter among them, with its own estimated accuracy.
+   other voter: the tree of the strongest conditional correlations.  Marks give
+   the rates with which voters start, and take no part after that: the posterior
+   of a row comes from its votes alone, so a wrong mark is outvoted.
 3. *Classifier.*  A linear model over the found features is trained on the
    posterior labels and scores every whole text.
 
@@ -73,12 +74,14 @@ PATTERN_NAMES = ["shouting", "exclamations", "insult to you"]
 @dataclass
 class Model:
     """features[k] has weight[k]; then come log1p(hits), hits per word, the
-    insult count, the patterns and the constant."""
+    insult count, the patterns and the constant.  ``outvoted`` is the share of
+    the sample rows whose label by the votes is not their mark."""
 
     features: list[str]
     weight: np.ndarray
     voters: list[str] = field(default_factory=list)
     precision: list[float] = field(default_factory=list)
+    outvoted: float = 0.0
 
 
 class Features:
@@ -253,7 +256,8 @@ def _tree(votes: np.ndarray, q: np.ndarray) -> list[int]:
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
-    """Expectation maximisation from a starting posterior."""
+    """Expectation maximisation from a starting posterior, which gives the
+    voters' first rates and is not looked at again."""
     q = start.astype(float)
     model = None
     for step in range(rounds):
@@ -323,11 +327,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, feature
     y = np.asarray([int(r["y"] > 0) for r in got])
     at = {f: k for k, f in enumerate(names)}
     votes = np.column_stack([x[:, [at[f] for f in chosen]] > 0, x[:, len(names) + 2] > 0,
-                             x[:, len(names) + 3:len(names) + 3 + len(PATTERN_NAMES)] > 0, y > 0]).astype(int)
+                             x[:, len(names) + 3:len(names) + 3 + len(PATTERN_NAMES)] > 0]).astype(int)
     label_model = fit_label_model(votes, np.where(y > 0, 0.95, 0.05))
     target = label_model.posterior(votes)
     return Model(names, fit_linear(x, target),
-                 [*chosen, "insult list", *PATTERN_NAMES, "annotators"], label_model.precision(votes))
+                 [*chosen, "insult list", *PATTERN_NAMES], label_model.precision(votes),
+                 float(((target > 0.5) != (y > 0)).mean()))
 
 
 _SCORERS: dict[str, Features] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm_data import labels, no_docs, odd_docs, paths  # noqa: F401
-from sparkscout.llm import (bpe, html_blocks, langid, linededup, nndescent, packing, quality, simhash,
+from sparkscout.llm import (bpe, html_blocks, langid, nndescent, packing, passages, quality, simhash,
                             tokenstore, toxicity)
 from sparkscout.llm.base import scratch_path
 
@@ -24,7 +24,7 @@ OPERATORS = {
     "simhash": lambda d, p, lab: simhash.simhash_groups(d),
     "toxicity": lambda d, p, lab: toxicity.score(d, toxicity.learn(d, lab)),
     "langid": lambda d, p, lab: langid.predict(d, langid.learn(d, p["piece"], rounds=1)),
-    "linededup": lambda d, p, lab: linededup.dedup_lines(d, 50),
+    "passages": lambda d, p, lab: passages.dedup_passages(d, 50),
     "tokenstore": lambda d, p, lab: _store(d, p),
     "quality": lambda d, p, lab: quality.quality_verdict(d),
     "bpe": lambda d, p, lab: bpe.bpe_round_trip(d, p["multi"], public_tokenizers.PATTERN),

@@ -15,19 +15,21 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from llm_data import SF_SMALL, paths  # noqa: F401
-from sparkscout.llm import bpe, linededup, packing, queries, simhash, tokenstore
+from sparkscout.llm import bpe, packing, queries, simhash, tokenstore
 from sparkscout.llm.base import scratch_path, table
 from sparkscout.llm.components import components
 from sparkscout.llm.tokenizing import ChunkEncoder
 
-TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'\tabé1.!#")), max_size=60)
+TEXT = st.lists(st.one_of(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'\tabé1.!#")),
+                                   max_size=40),
+                           st.sampled_from(["<|endoftext|>", " <|startoftext|> ", "<|ENDOFTEXT|>", " word", "\nline"])),
+                 max_size=4).map("".join)
 _TOK = {}
 
 
 def _library(name):
     if name not in _TOK:
         _TOK[name] = Tokenizer.from_file(P.path(name))
-        _TOK[name].encode_special_tokens = True
     return _TOK[name]
 
 
@@ -52,6 +54,14 @@ def test_chunk_encoders_equal_the_library(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
 
 
+def test_special_tokens_in_texts():
+    """As the library has them, or as plain text where that is asked for."""
+    text = "hello <|endoftext|> world <|startoftext|>"
+    for name, spaces, n, plain in (("word_bpe_49k.json", False, 4, 15), ("byte_bpe_50k.json", True, 11, 16)):
+        assert len(ChunkEncoder(P.path(name), spaces).encode(text)) // 4 == n
+        assert len(ChunkEncoder(P.path(name), spaces, plain_special=True).encode(text)) // 4 == plain
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_bpe_equals_tiktoken(text):
@@ -209,38 +219,3 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = {r["v"]: r["root"] for r in components(edges).collect()}
     assert {got[k] for k in range(201)} == {0} and got[501] == 500
-
-
-def _line_dedup(rows, least):
-    """Every line in a run of at least ``least`` words that stands earlier."""
-    seen, out = set(), {}
-    for k, text in sorted(rows):
-        lines = text.split("\n")
-        c = [(i, x.strip(), len(x.split())) for i, x in enumerate(lines) if x.split()]
-        gone, own = set(), []
-        for a in range(len(c)):
-            for b in range(a, len(c)):
-                if sum(x[2] for x in c[a:b + 1]) >= least:
-                    run = tuple(x[1] for x in c[a:b + 1])
-                    if run in seen or run in own:
-                        gone |= set(range(c[a][0], c[b][0] + 1))
-                    own.append(run)
-        seen |= set(own)
-        out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    return out
-
-
-def test_line_dedup_against_brute_force(spark):
-    rng = random.Random(3)
-    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(12)] + ["", " "]
-    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for k in range(60)]
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == _line_dedup(rows, 10)
-
-
-def test_op6_against_brute_force(spark):
-    docs = {k: t for k, t in _docs(spark).items() if t.count("\n") < 60}
-    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, 50).collect()}
-    assert got == _line_dedup(docs.items(), 50)
-    assert queries.op6_line_dedup(spark, SF_SMALL).count() == len(_docs(spark))

@@ -67,3 +67,47 @@ def test_odd_rows(odd_docs):  # noqa: F811
     assert sum(r["text"] is None for r in got) == sum(t is None for t in before)
     empty = passages.dedup_passages(odd_docs.filter("false"), 50)
     assert empty.count() == 0
+
+
+def test_word_hashes_equal_split():
+    rng = random.Random(5)
+    signs = list("ab \n\t\r\x1c\x0b") + ["\u00a0", "\u2003", "\x85", "é", "日", "🙂", "\x00", "word", "w" * 70_000]
+    texts = ["", " ", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(200))]
+    hashes, sizes = passages.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+    of = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
+def test_a_long_text_in_blocks(spark):
+    """Passages over the edges of blocks, inside one long text and between texts."""
+    rng = random.Random(8)
+    n = passages.CHUNK
+    words = [f"w{rng.randrange(10**9)}" for _ in range(3 * n)]
+    words[2 * n + 500:2 * n + 700] = words[n - 100:n + 100]
+    other = ["x", "y"] + words[n - 30:n + 40] + ["z"] + words[2 * n - 25:2 * n + 25]
+    rows = [(1, " ".join(words)), (2, " ".join(other))]
+    got = {r["doc_id"]: r for r in passages.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got[1]["text"].split() == words[:2 * n + 500] + words[2 * n + 700:]
+    assert got[2]["text"] == "x y z" and got[2]["n_deleted_words"] == 120
+
+
+def test_a_text_of_many_megabytes(spark):
+    text = " ".join(str(k) for k in range(4_000_000))
+    rows = [(1, text), (2, "a " + text[-5000:])]
+    got = {r["doc_id"]: r["n_deleted_words"] for r in passages.dedup_passages(
+        spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got[1] == 0 and got[2] == len(text[-5000:].split()) - (" " not in text[-5001:-4999])
+
+
+def test_rewrite_keeps_columns(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, p, "en", 5), (2, f"before {p} after", "fr", 9), (None, None, None, None), (None, "x " + p, "en", 0)]
+    got = passages.rewrite(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long"), 50)
+    assert got.columns == ["doc_id", "text", "lang", "n_chars"]
+    # rows without id come first
+    want = [(None, None, None, None), (None, "x " + p, "en", 0), (1, "", "en", 0), (2, "before after", "fr", 12)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)

@@ -6,10 +6,10 @@ import numpy as np
 
 import corpus_pipeline
 from llm_data import SF_SMALL
-from sparkscout.llm import langid, packing, toxicity
+from sparkscout.llm import langid, packing, passages, toxicity
 from sparkscout.llm.base import crc_mod, table
 from sparkscout.llm.tokenizing import public_path
-from test_exact import _fingerprint, _library, _line_dedup, _roots
+from test_exact import _fingerprint, _library, _roots
 
 
 def _language(spark, rows, schema):
@@ -33,10 +33,25 @@ def _toxicity(spark, rows, schema):
     return kept
 
 
+def _passages(rows, least):
+    """Texts without the runs of ``least`` words that stand earlier, every
+    window of every text compared."""
+    seen, out = set(), {}
+    for k, text in sorted(rows):
+        words, runs = text.split(), []
+        for i in range(len(words) - least + 1):
+            window = tuple(words[i:i + least])
+            if window in seen:
+                runs.append((i, i + least - 1))
+            seen.add(window)
+        out[k] = passages.delete_words(text, runs)[0]
+    return out
+
+
 def test_pipeline_against_plain_python(spark):
     docs = table(spark, SF_SMALL, "documents")
     rows = _toxicity(spark, _language(spark, docs.collect(), docs.schema), docs.schema)
-    texts = _line_dedup([(r["doc_id"], r["text"]) for r in rows], 50)
+    texts = _passages([(r["doc_id"], r["text"]) for r in rows], 50)
     fp = {k: _fingerprint(t) for k, t in texts.items()}
     roots = _roots(sorted(texts), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
     want = set()
