@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscout.llm import langid, linededup, packing, simhash, toxicity
-from sparkscout.llm.base import crc_mod, materialise, table
+from sparkscout.llm import langid, packing, passages, simhash, toxicity
+from sparkscout.llm.base import crc_mod, scratch_path, table
 from sparkscout.llm.tokenizing import public_path
+from sparkscout.session import remove, scope
 
 #: a document goes if no language is at least this likely
 LEAST_LANGUAGE_SCORE = 0.5
@@ -42,8 +43,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of passages are deleted from the texts; no row goes."""
-    return linededup.rewrite(docs, PASSAGE_WORDS)
+    """Later repeats of passages of words are deleted from the texts, wherever
+    in a line they stand; no row goes."""
+    return passages.rewrite(docs, PASSAGE_WORDS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +71,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the
-    shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage returns is written to the shared
+    folder and read again.  A stage's intermediate tables, and the documents
+    that it was given, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
