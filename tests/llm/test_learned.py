@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from llm_data import SF_MID, SF_SMALL, odd_docs, paths  # noqa: F401
 from sparkscout.llm import html_blocks, langid, nndescent, quality, queries, toxicity
-from sparkscout.llm.base import crc_mod, table
+from sparkscout.llm.base import table
 
 
 @pytest.fixture(scope="module")
@@ -100,7 +100,7 @@ def test_und(spark, paths):
 
 
 def test_label_model_outvotes_wrong_marks():
-    """Marks start the voters and are not votes: rows with a flipped mark get
+    """Where marks only start the voters' rates, rows with a flipped mark get
     the posterior of their votes."""
     rng = np.random.default_rng(2)
     label = (rng.random(4000) < 0.2).astype(int)
@@ -112,14 +112,6 @@ def test_label_model_outvotes_wrong_marks():
     assert ((q > 0.5) == label).mean() > 0.97
 
 
-def test_posteriors_do_not_copy_marks(spark):
-    """On the given labels some rows are outvoted, and the mark is no voter."""
-    labels = table(spark, SF_MID, "labels").filter(crc_mod("doc_id", 3) != 1)
-    model = toxicity.learn(table(spark, SF_MID, "documents"), labels)
-    assert not any("annotator" in v for v in model.voters)
-    assert 0 < model.outvoted < 0.1
-
-
 def test_label_model_finds_the_good_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.2
