@@ -36,6 +36,13 @@ def numeric_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows, cols
 
 
+def laid_out(data: DataFrame, few: int = 1 << 14) -> DataFrame:
+    """``data``, in steady blocks if it has more than a ``few`` rows: a forest
+    keeps 1 to 2 KB a row in the task that has it, so one split of a narrow
+    table, which may hold all its rows, is too much."""
+    return steady(data) if data.limit(few + 1).count() > few else data
+
+
 def _vector(data: DataFrame, features: list[str]) -> DataFrame:
     """Add _features.  Names may hold dots, which the assembler can't take."""
     plain = [f"_f{k}" for k in range(len(features))]

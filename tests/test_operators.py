@@ -492,3 +492,10 @@ def test_intermediate_tables_end_with_their_scope(spark):
         path = stored(spark.range(5), "probe").inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_drivers_model_does_not_read_a_table_as_one_task(spark):
+    rows = spark.range(20_000, numPartitions=1)
+    assert whatif.laid_out(rows).rdd.getNumPartitions() >= 8 and whatif.laid_out(rows).count() == 20_000
+    few = spark.range(100)
+    assert whatif.laid_out(few) is few
