@@ -499,3 +499,12 @@ def test_drivers_model_does_not_read_a_table_as_one_task(spark):
     assert whatif.laid_out(rows).rdd.getNumPartitions() >= 8 and whatif.laid_out(rows).count() == 20_000
     few = spark.range(100)
     assert whatif.laid_out(few) is few
+
+
+def test_steady_blocks_are_a_partition_each(spark):
+    """Short files of many blocks are not read as one task."""
+    from sparkscout.operators.ordering import steady
+    laid = steady(spark.range(40_000, numPartitions=1), rows=1000)
+    sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sizes == [1000] * 40
+    assert sorted(r["id"] for r in laid.collect()) == list(range(40_000))
