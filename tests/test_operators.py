@@ -496,7 +496,8 @@ def test_intermediate_tables_end_with_their_scope(spark):
 
 def test_drivers_model_does_not_read_a_table_as_one_task(spark):
     rows = spark.range(20_000, numPartitions=1)
-    assert whatif.laid_out(rows).rdd.getNumPartitions() >= 8 and whatif.laid_out(rows).count() == 20_000
+    laid = whatif.laid_out(rows)
+    assert laid.rdd.getNumPartitions() > 1 and laid.count() == 20_000
     few = spark.range(100)
     assert whatif.laid_out(few) is few
 
@@ -508,3 +509,35 @@ def test_steady_blocks_are_a_partition_each(spark):
     sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sizes == [1000] * 40
     assert sorted(r["id"] for r in laid.collect()) == list(range(40_000))
+
+
+def test_kmeans_pass_gives_a_row_to_the_first_of_equal_centres(spark):
+    from sparkscout.operators import lloyd
+    x = np.asarray([[0.0, 0.0], [2.0, 0.0], [1.0, 0.0], [9.0, 9.0]])
+    sets = [np.asarray([[0.0, 0.0], [2.0, 0.0], [9.0, 9.0]]), np.asarray([[1.0, 1.0], [1.0, 1.0]])]
+    got = lloyd.one_pass(spark.createDataFrame(x.tolist(), "a double, b double").repartition(2), np.zeros(2), np.ones(2), sets)
+    for (counts, sums, squares, cost), centres in zip(got, sets):
+        far = ((x[:, None] - centres) ** 2).sum(2)
+        own = far.argmin(1)
+        for k in range(len(centres)):
+            assert counts[k] == (own == k).sum()
+            assert np.allclose(sums[k], x[own == k].sum(0))
+            assert np.isclose(squares[k], (x[own == k] ** 2).sum())
+        assert np.isclose(cost, far.min(1).sum())
+
+
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_quantiles_of_few_values_copy_no_rows(spark, monkeypatch, most):
+    """Rows of equal value are counted before they meet their brackets."""
+    from pyspark.sql import DataFrame
+    rng = np.random.default_rng(5)
+    x = rng.choice([-3.0, -0.0, 0.0, 1.0, 2.5, math.inf], 5000)
+    plans, taken = [], DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda df, *a: (plans.append((df, a)), taken(df, *a))[1])
+    rows = spark.createDataFrame([("a", v) for v in x.tolist()] + [("b", float(v)) for v in range(999)], "k string, v double")
+    probs = [0.1, 0.25, 0.5, 0.6, 0.75]
+    got = {r["k"]: [r[f"p{i}"] for i in range(5)] for r in exact_quantiles(
+        rows, ["k"], "v", probs, [f"p{i}" for i in range(5)], max_bracket_rows=most, splits=20).collect()}
+    assert got["a"] == np.quantile(x, probs, method="linear").tolist()
+    assert np.allclose(got["b"], np.quantile(np.arange(999), probs))
+    assert not any("_rank" in a and "_val" in a for _, a in plans)
