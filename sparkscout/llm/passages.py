@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, materialise
+from .base import arrow_map, free_names, materialise, take_over
 
 #: words of a fingerprint; words of several texts, or windows of a long one, that are hashed at once
 GRAM, CHUNK = 8, 1 << 16
@@ -191,6 +191,7 @@ def stretch_table(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("passages", lambda: None)
         for b in batches:
             for rows, base, words in _chunks(b.column(2), min_words):
                 text, at, n, mark, whole = words.stretches(min_words)
@@ -210,6 +211,7 @@ def _window_table(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("passages", lambda: None)
         for b in batches:
             for rows, base, words in _chunks(b.column(2), min_words):
                 edges = b.column(3).take(pa.array(rows))
@@ -331,6 +333,7 @@ def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("passages", lambda: None)
         for b in batches:
             out = _cleaned(b.column(at), b.column(len(names)))
             cols = list(b.columns[:len(names)])
@@ -353,6 +356,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("passages", lambda: None)
         for b in batches:
             out = _cleaned(b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, materialise
+from .base import arrow_map, free_names, materialise, take_over
 from .components import components
 
 BITS = 64
@@ -65,6 +65,7 @@ def _hashed(texts: DataFrame, shingle: int, seed: int, id_col: str) -> DataFrame
     kind = texts.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("simhash", lambda: None)
         for b in batches:
             fp = np.asarray([text_fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], "<u8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view("<i8"))],
@@ -79,6 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("simhash", lambda: None)
         for b in batches:
             fp = np.asarray([text_fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], "<u8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8"))], [id_col, "fp"])
