@@ -3,17 +3,21 @@
 Between two white-space runs the pre-tokenizers of the supported files never
 look across a boundary, so a text is encoded chunk by chunk and every chunk's
 ids are kept as little-endian bytes in a per-process cache.  A cache miss is
-encoded by the ``tokenizers`` library.  Texts whose white space is not made of
+encoded by the ``tokenizers`` library.  Arrow cuts a group of texts into
+chunks, numbers the different ones and puts their ids together, so Python
+looks a chunk up once a group.  Texts whose white space is not made of
 single spaces and line feeds, or that hold the string of a special token, are
 given to the library whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .base import take_over
 
@@ -22,6 +26,8 @@ CACHE_ENTRIES = 700_000
 
 #: texts, and characters, that are encoded together
 GROUP_TEXTS, GROUP_CHARS = 128, 2_000_000
+#: the same where Arrow cuts them
+ARROW_TEXTS, ARROW_CHARS = 4096, 4_000_000
 
 #: white space other than the space and the line feed, as ``str.isspace`` has it
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -46,8 +52,10 @@ class SeenTwice:
         self.entries, self.twice, self.known = entries, twice, {}
         self.seen, self.marks = bytearray(self.SLOTS), 0
 
-    def missing(self, keys: set) -> list:
-        return list(keys.difference(self.known))
+    def missing(self, keys: Collection) -> list:
+        """Those of different keys that are not known."""
+        known = self.known
+        return [k for k in keys if k not in known]
 
     def settle(self, added: list) -> None:
         known, seen, top, marks = self.known, self.seen, self.SLOTS - 1, 0
@@ -64,13 +72,14 @@ class SeenTwice:
             known.clear()
 
 
-def grouped(texts: list[str | None]) -> Iterator[list[str]]:
+def grouped(texts: list[str | None], most_texts: int = GROUP_TEXTS,
+            most_chars: int = GROUP_CHARS) -> Iterator[list[str]]:
     """The texts (null: empty) in groups that are encoded together."""
     group, chars = [], 0
     for t in texts:
         group.append(t or "")
         chars += len(t or "")
-        if len(group) == GROUP_TEXTS or chars > GROUP_CHARS:
+        if len(group) == most_texts or chars > most_chars:
             yield group
             group, chars = [], 0
     if group:
@@ -95,7 +104,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, spaces_matter: bool, plain_special: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_special
         self.special = [] if plain_special else [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -103,6 +112,11 @@ class ChunkEncoder:
         self.chunks = SeenTwice()
         self.stems = SeenTwice(500_000)
         self.tails: dict[str, bytes] = {"": b""}
+        self.lowered = None
+        if not spaces_matter:              # for words that the file's normaliser leaves as they are
+            self.lowered = Tokenizer(self.tok.model)
+            self.lowered.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(False, use_regex=False)])
         self.line = self._whole("\n")
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that open (close) a word
@@ -116,20 +130,13 @@ class ChunkEncoder:
         """Many words of letters only in one call; each is one pre-token, and
         its first (last) id tells where it begins (ends).  A stem that opens a
         line has a line feed before it and no space."""
-        out, spaced, opening = {}, [], []
+        out, lowered, spaced, opening = {}, [], [], []
         for s in stems:
-            (opening if s[0] == "\n" else spaced).append(s)
-        if spaced:
-            ids = np.asarray(self.tok.encode(" " + " ".join(spaced), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) == len(spaced):
-                data = ids.tobytes()
-                cuts = ((np.append(at, len(ids)) if self.spaces_matter else np.append(0, at + 1)) * 4).tolist()
-                for s, lo, hi in zip(spaced, cuts, cuts[1:]):
-                    out[s] = data[lo:hi]
-            else:                          # a letter that the file's normaliser splits or drops
-                for s in spaced:
-                    out[s] = self._whole(" " + s)
+            (opening if s[0] == "\n" else lowered if self.lowered and s == s.lower() and _latin1(s)
+             else spaced).append(s)
+        for tok, words in ((self.lowered, lowered), (self.tok, spaced)):
+            if words:
+                out.update(self._word_ids(tok, words))
         if opening:
             data = self._whole("".join(opening))
             at = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line, "<u4")[0])
@@ -138,6 +145,21 @@ class ChunkEncoder:
                 out[s] = data[lo:hi]
         return out
 
+    def _word_ids(self, tok, words: list[str]) -> dict[str, bytes]:
+        """Words that open no line."""
+        out = {}
+        ids = np.asarray(tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) == len(words):
+            data = ids.tobytes()
+            cuts = ((np.append(at, len(ids)) if self.spaces_matter else np.append(0, at + 1)) * 4).tolist()
+            for s, lo, hi in zip(words, cuts, cuts[1:]):
+                out[s] = data[lo:hi]
+        else:                              # a letter that the file's normaliser splits or drops
+            for s in words:
+                out[s] = self._whole(" " + s)
+        return out
+
     def _learn(self, missing: list[str]) -> None:
         """Put the ids of chunks into the cache."""
         tails, known, plain, stems, odd = self.tails, self.chunks.known, [], [], []
@@ -173,35 +195,40 @@ class ChunkEncoder:
 
     def encode_group(self, texts: list[str], spaced: bool = False) -> list[bytes]:
         """ids of each text or, with ``spaced``, of a space and the text."""
-        heads, parts = [], []
+        heads, lines = [], []
         for t in texts:
             low = t.lower() if not self.spaces_matter and _latin1(t) else t
             if any(s in t or s in low for s in self.special) or (self.spaces_matter and (not t or irregular(t))):
                 heads.append(self._whole(" " + t if spaced else t))
-                parts.append(())
-            elif not self.spaces_matter:
-                heads.append(b"")
-                parts.append(low.replace("\n", " ").split(" "))
+                lines.append(None)
+                continue
+            heads.append(None)
+            if not self.spaces_matter:
+                lines.append(low.replace("\n", " "))
             elif spaced:
-                heads.append(b"")
-                parts.append(t.replace("\n", " \n").split(" "))
+                lines.append(t.replace("\n", " \n"))
             else:                          # a line feed before the first word, taken off again below
-                heads.append(None)
-                parts.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-        missing = self.chunks.missing(set().union(*parts))
+                lines.append("\n" + t.replace("\n", " \n"))
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        words = parts.values.dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        missing = self.chunks.missing(keys)
         if missing:
             self._learn(missing)
-        get = self.chunks.known.__getitem__
-        cut = len(self.line)
-        out = [b"".join(map(get, p))[cut:] if h is None else h + b"".join(map(get, p))
-               for h, p in zip(heads, parts)]
+        ids = pa.array(map(self.chunks.known.__getitem__, keys), pa.large_binary(), size=len(keys))
         if missing:
             self.chunks.settle(missing)
-        return out
+        _, at, data = ids.take(words.indices).buffers()
+        if not data:                       # no words, or none with ids
+            return [h or b"" for h in heads]
+        data = memoryview(data)
+        ends = np.frombuffer(at, np.int64)[parts.offsets.to_numpy()].tolist()
+        cut = 0 if spaced or not self.spaces_matter else len(self.line)
+        return [bytes(data[lo + cut:hi]) if h is None else h for h, lo, hi in zip(heads, ends, ends[1:])]
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """ids of each text in turn."""
-        for group in grouped(texts):
+        for group in grouped(texts, ARROW_TEXTS, ARROW_CHARS):
             yield from self.encode_group(group)
 
     def encode(self, text: str | None) -> bytes:

@@ -54,6 +54,20 @@ def test_chunk_encoders_equal_the_library(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
 
 
+def test_a_group_asks_once_for_each_word():
+    """Words that come up in many texts are learned once; letters of Latin-1,
+    composed ones and others are the library's, in both kinds of file."""
+    odd = "straße ñandú µm ªº Àé e\u0301té İstanbul ſo ǅ x² n'est ÿ,,\nØre don't \u00a0a"
+    texts = [f"shared words{chr(97 + k % 26)}, {odd}" for k in range(300)] + ["", "plain\ntext", "<|endoftext|> a", None]
+    for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        own, learned = ChunkEncoder(P.path(name), spaces), []
+        learn = own._learn
+        own._learn = lambda missing, learn=learn, learned=learned: (learned.extend(missing), learn(missing))
+        want = [e.ids for e in _library(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
+        assert len(learned) == len(set(learned)) and not set(learned) & {"<|endoftext|>"}
+
+
 def test_special_tokens_in_texts():
     """As the library has them, or as plain text where that is asked for."""
     text = "hello <|endoftext|> world <|startoftext|>"
