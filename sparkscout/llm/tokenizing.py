@@ -12,7 +12,7 @@ given to the library whole.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from unicodedata import normalize
 
 import numpy as np
@@ -52,10 +52,8 @@ class SeenTwice:
         self.entries, self.twice, self.known = entries, twice, {}
         self.seen, self.marks = bytearray(self.SLOTS), 0
 
-    def missing(self, keys: Collection) -> list:
-        """Those of different keys that are not known."""
-        known = self.known
-        return [k for k in keys if k not in known]
+    def missing(self, keys: set) -> list:
+        return list(keys.difference(self.known))
 
     def settle(self, added: list) -> None:
         known, seen, top, marks = self.known, self.seen, self.SLOTS - 1, 0
@@ -212,10 +210,11 @@ class ChunkEncoder:
         parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
         words = parts.values.dictionary_encode()
         keys = words.dictionary.to_pylist()
-        missing = self.chunks.missing(keys)
+        known = self.chunks.known
+        missing = [k for k in keys if k not in known]
         if missing:
             self._learn(missing)
-        ids = pa.array(map(self.chunks.known.__getitem__, keys), pa.large_binary(), size=len(keys))
+        ids = pa.array(map(known.__getitem__, keys), pa.large_binary(), size=len(keys))
         if missing:
             self.chunks.settle(missing)
         _, at, data = ids.take(words.indices).buffers()
