@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, hash_share, materialise, take_over
+from .base import arrow_map, free_names, hash_share, materialise, slices, take_over
 
 #: runs of letters (a superset of marks and numbers is cut off by isalpha)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,6 +36,8 @@ MARK = "▁"
 _TAIL = ".,;:!?*#%&$|"
 #: longest words that the table form of the forward pass takes
 _TABLE = 48
+#: words of one forward pass
+_WORDS = 4_000
 #: chunks of one process-wide cache
 CACHE_ENTRIES = 450_000
 
@@ -99,8 +101,8 @@ class Lattice:
         """log P(word) by language, for words of any length."""
         out = np.zeros((len(words), p.shape[1]))
         short = [k for k, w in enumerate(words) if len(w) <= _TABLE]
-        for at in range(0, len(short), 20_000):
-            part = short[at:at + 20_000]
+        for at in range(0, len(short), _WORDS):
+            part = short[at:at + _WORDS]
             batch = [words[k] for k in part]
             alpha = self.forward(batch, p)
             out[part] = np.log(alpha[np.arange(len(batch)), [len(w) for w in batch]])
@@ -191,6 +193,7 @@ def _expected_counts(words: DataFrame, path: str, place: dict[str, int], p: np.n
     """Sum over the word table of the expected piece counts; every task sends
     one table of vocabulary size, added up in a fixed order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("langid", _SCORERS.clear)
         lattice, total = lattice_of(path), np.zeros_like(p)
         for b in batches:
             word, lang, n = (c.to_pylist() for c in b.columns)
@@ -324,7 +327,7 @@ def mark_rows(docs: DataFrame, model: Model, text_col: str, lang_name: str, scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, model)
-        for b in batches:
+        for b in slices(batches, at):
             lang, score = decide(scorer, b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(lang, pa.string()), pa.array(score)],

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, materialise
+from .base import arrow_map, materialise, slices
 from .tokenizing import encoder
 
 
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, spaces_matter)
         end = np.asarray([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches, 1):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for r, data in enumerate(enc.encode_many(b.column(1).to_pylist())):
                 data += end

@@ -29,6 +29,9 @@ GROUP_TEXTS, GROUP_CHARS = 128, 2_000_000
 #: the same where Arrow cuts them
 ARROW_TEXTS, ARROW_CHARS = 4096, 4_000_000
 
+#: words of one call of the library, which takes far more memory than their ids
+CALL_WORDS = 8_000
+
 #: white space other than the space and the line feed, as ``str.isspace`` has it
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
@@ -133,8 +136,8 @@ class ChunkEncoder:
             (opening if s[0] == "\n" else lowered if self.lowered and s == s.lower() and _latin1(s)
              else spaced).append(s)
         for tok, words in ((self.lowered, lowered), (self.tok, spaced)):
-            if words:
-                out.update(self._word_ids(tok, words))
+            for at in range(0, len(words), CALL_WORDS):
+                out.update(self._word_ids(tok, words[at:at + CALL_WORDS]))
         if opening:
             data = self._whole("".join(opening))
             at = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line, "<u4")[0])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, hash_share, materialise, take_over
+from .base import arrow_map, free_names, hash_share, materialise, slices, take_over
 
 # Insults in common use, English, French, German, Spanish.
 INSULTS = """
@@ -305,8 +305,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 15_000, feature
     chosen = choose_voters(names, voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("toxicity", _SCORERS.clear)
         f = Features(names)
-        for b in batches:
+        for b in slices(batches, 1):
             got = [f.of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([g[0] for g in got], pa.list_(pa.int32())),
@@ -350,7 +351,7 @@ def mark_rows(docs: DataFrame, model: Model, text_col: str, score_name: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, w = _features(name, model), model.weight
-        for b in batches:
+        for b in slices(batches, at):
             z = []
             for t in b.column(at).to_pylist():
                 found, dense = f.of(t)
