@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import arrow_map, free_names, materialise, take_over
+from .base import arrow_map, free_names, materialise, slices, take_over
 
 #: words of a fingerprint; words of several texts, or windows of a long one, that are hashed at once
 GRAM, CHUNK = 8, 1 << 16
@@ -45,7 +46,6 @@ GRAM, CHUNK = 8, 1 << 16
 BYTES, LONG_WORD = 1 << 18, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_WORD = re.compile(r"\S+")
 #: white space of one byte, and any other
 _SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 _OTHER_SPACE = re.compile("[^\\S\t-\r\x1c- ]")
@@ -75,15 +75,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words one after another, words of each text)."""
-    parts = [(t if t.isascii() else _OTHER_SPACE.sub(" ", t)).encode() for t in texts]
-    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+def _edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in bytes that end with white space."""
     gap = _SPACE[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if not gap[0]:
         edge = np.append(0, edge)
-    start, end = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words one after another, words of each text)."""
+    parts = [(t if t.isascii() else _OTHER_SPACE.sub(" ", t)).encode() for t in texts]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    start, end = _edges(data)
     ends_of = np.cumsum([len(p) + 1 for p in parts])
     sizes = np.diff(np.searchsorted(start, ends_of), prepend=0)
     out, lo = np.empty(len(start), np.uint64), 0
@@ -270,37 +275,54 @@ def repeated_words(texts: DataFrame, min_words: int) -> DataFrame:
 
 def delete_words(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     """Text without the words of the runs, lines deleted as a whole, words."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    word, gap = np.zeros(len(spans) + 1, np.int64), np.zeros(len(spans) + 1, np.int64)
-    for i, j in runs:
-        word[i] += 1
-        word[j + 1] -= 1
-        gap[i] += 1                                                  # of a word and the next one
-        gap[j] -= 1
-    gone, inside = (np.cumsum(word) > 0).tolist(), (np.cumsum(gap) > 0).tolist()
-    kept, lines, k, start = [], 0, 0, 0
-    for line in text.split("\n"):
-        end, first = start + len(line), k
-        while k < len(spans) and spans[k][0] < end:
-            k += 1
-        here = gone[first:k]
-        if (all(here) if here else first > 0 and inside[first - 1]):
-            lines += 1
-        elif any(here):
-            out, at, i = [], start, first
-            while i < k:
-                j = i
-                while j < k and gone[j]:
-                    j += 1
-                if j > i:
-                    out.append(text[at:spans[i][0]] if j < k else text[at:spans[i - 1][1]])
-                    at = spans[j][0] if j < k else spans[j - 1][1]
-                i = j + 1
-            kept.append("".join(out) + text[at:end])
-        else:
-            kept.append(line)
-        start = end + 1
-    return "\n".join(kept), lines, sum(gone)
+    first, last = np.asarray(runs, np.int64).reshape(-1, 2).T
+    out, lines, words = delete_runs([text], np.zeros(len(runs), np.int64), first, last)
+    return out[0].as_py(), int(lines[0]), int(words[0])
+
+
+def delete_runs(texts: list[str], text: np.ndarray, first: np.ndarray,
+                last: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts without the words of the runs, lines deleted as a whole, words);
+    runs by text, first and last word in it.  All texts are cut at once."""
+    parts = [t.encode() for t in texts]
+    after = np.cumsum([len(p) + 1 for p in parts])                   # every text ends with a line feed
+    begin = np.append(0, after[:-1])
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    start, end = _edges(data if all(map(str.isascii, texts)) else np.frombuffer(
+        b"\n".join([_OTHER_SPACE.sub(lambda m: " " * len(m[0].encode()), t).encode() for t in texts]) + b"\n", np.uint8))
+    n, base = len(start), np.searchsorted(start, begin)
+    i, j = base[text] + first, base[text] + last
+    opened = np.bincount(i, minlength=n + 1)
+    gone = np.cumsum(opened - np.bincount(j + 1, minlength=n + 1))[:n] > 0
+    inside = np.cumsum(opened - np.bincount(j, minlength=n + 1)) > 0  # of a word and the next one
+    words = np.append(0, np.cumsum(gone))
+
+    stop = np.flatnonzero(data == 10)                                # lines: bytes, and words from head_word on
+    head, next_word = np.append(0, stop[:-1] + 1), np.searchsorted(start, stop)
+    head_word = np.append(0, next_word[:-1])
+    some = next_word > head_word
+    whole = np.where(some, words[next_word] - words[head_word] == next_word - head_word, inside[head_word - 1])
+    tops, tails = np.zeros(n + 1, bool), np.zeros(n + 1, bool)       # first and last words of lines
+    tops[head_word[some]] = tails[next_word[some] - 1] = True
+    tops, tails = tops[:n], tails[:n]
+    part = gone & ~np.repeat(whole, next_word - head_word)
+    i = np.flatnonzero(part & (tops | ~np.append(False, gone[:-1])))
+    j = np.flatnonzero(part & (tails | ~np.append(gone[1:], False)))
+    at_end = tails[j]                                                # with the space before, others with that after
+
+    cut = np.zeros(len(data) + 1, np.int8)
+    for lo, hi in ((head[whole], stop[whole] + 1), (end[i[at_end] - 1], end[j[at_end]]),
+                   (start[i[~at_end]], start[j[~at_end] + 1])):
+        cut[lo] += 1
+        cut[hi] -= 1
+    keep = np.cumsum(cut[:-1], dtype=np.int8) == 0
+    stays = np.append(-1, stop[~whole])                              # the last line left ends without a line feed
+    final = stays[np.searchsorted(stays, after) - 1]
+    keep[final[final >= begin]] = False
+    ends = np.append(0, np.cumsum(np.add.reduceat(keep, begin, dtype=np.int64)))
+    out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[keep]))
+    lines = np.add.reduceat(whole, np.searchsorted(head, begin), dtype=np.int64)
+    return out, lines, words[np.append(base[1:], n)] - words[base]
 
 
 def _marked(docs: DataFrame, deleted: str, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -316,10 +338,20 @@ def _marked(docs: DataFrame, deleted: str, min_words: int, id_col: str, text_col
                      "left").drop(run_id, run_hash)
 
 
-def _cleaned(texts: pa.Array, deleted: pa.Array) -> list[tuple]:
-    """(text without the words of its runs, lines and words deleted)."""
-    return [(t, 0, 0) if t is None or not d else delete_words(t, [(r["first"], r["last"]) for r in d])
-            for t, d in zip(texts.to_pylist(), deleted.to_pylist())]
+def _cleaned(texts: pa.Array, deleted: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts without the words of their runs, lines and words deleted)."""
+    count = pc.fill_null(pc.list_value_length(deleted), 0).to_numpy(zero_copy_only=False)
+    hit = np.flatnonzero((count > 0) & texts.is_valid().to_numpy(zero_copy_only=False))
+    lines, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    if not len(hit):
+        return texts, lines, words
+    runs = deleted.take(pa.array(hit)).flatten()
+    first, last = (runs.field(k).to_numpy().astype(np.int64) for k in ("first", "last"))
+    out, lines[hit], words[hit] = delete_runs(texts.take(pa.array(hit)).to_pylist(),
+                                              np.repeat(np.arange(len(hit)), count[hit]), first, last)
+    place = np.arange(len(texts))
+    place[hit] = len(texts) + np.arange(len(hit))
+    return pa.concat_arrays([texts, out]).take(pa.array(place)), lines, words
 
 
 def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text",
@@ -334,11 +366,11 @@ def rewrite(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("passages", lambda: None)
-        for b in batches:
-            out = _cleaned(b.column(at), b.column(len(names)))
+        for b in slices(batches, at):
+            out, _, words = _cleaned(b.column(at), b.column(len(names)))
             cols = list(b.columns[:len(names)])
-            cols[at] = pa.array([o[0] for o in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([o[2] > 0 for o in out], pa.bool_())], [*names, changed])
+            cols[at] = out
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(words > 0)], [*names, changed])
 
     out = arrow_map(marked, run, f"{fields}, `{changed}` boolean")
     if chars_col in names:
@@ -357,11 +389,10 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("passages", lambda: None)
-        for b in batches:
-            out = _cleaned(b.column(1), b.column(2))
+        for b in slices(batches, 1):
+            out, lines, words = _cleaned(b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([o[0] for o in out], pa.string()),
-                 pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), b.column(2)],
+                [b.column(0), out, pa.array(lines), pa.array(words), b.column(2)],
                 [id_col, "text", "n_deleted_lines", "n_deleted_words", "deleted"])
 
     return arrow_map(marked, run, f"`{id_col}` {kind}, text string, n_deleted_lines bigint, "

@@ -1,7 +1,11 @@
 """Repeated passages of words (operator 6) against brute force."""
 
 import random
+import re
+import time
 
+import numpy as np
+import pyarrow as pa
 from llm_data import SF_SMALL, odd_docs  # noqa: F401
 from sparkscout.llm import passages, queries
 from sparkscout.llm.base import table
@@ -111,3 +115,71 @@ def test_rewrite_keeps_columns(spark):
     # rows without id come first
     want = [(None, None, None, None), (None, "x " + p, "en", 0), (1, "", "en", 0), (2, "before after", "fr", 12)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def _cut_plainly(text, runs):
+    """Word by word and line by line what :func:`passages.delete_runs` does at once."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    gone = {w for i, j in runs for w in range(i, j + 1)}
+    inside = {w for i, j in runs for w in range(i, j)}
+    kept, k, start = [], 0, 0
+    for line in text.split("\n"):
+        end, first = start + len(line), k
+        while k < len(spans) and spans[k][0] < end:
+            k += 1
+        here = [w in gone for w in range(first, k)]
+        if not (all(here) if here else first - 1 in inside):
+            out, at, i = "", start, first
+            while i < k:
+                j = i
+                while j < k and j in gone:
+                    j += 1
+                if j > i:
+                    out += text[at:spans[i][0] if j < k else spans[i - 1][1]]
+                    at = spans[j][0] if j < k else spans[j - 1][1]
+                i = j + 1
+            kept.append(out + text[at:end])
+        start = end + 1
+    return "\n".join(kept), text.count("\n") + 1 - len(kept), len(gone)
+
+
+def test_texts_cut_together_as_one_by_one():
+    rng = random.Random(5)
+    gaps = [" ", " ", "  ", "\n", "\n\n", " \n", "\r\n", "\t", "\x1c", "\x85", " ", "  ", "　\n"]
+    texts, runs = [], []
+    for _ in range(1500):
+        words = [rng.choice(["a", "bc", "é", "日本", "😀x"]) for _ in range(rng.randint(1, 25))]
+        texts.append(rng.choice(["", *gaps]) + "".join(w + rng.choice(gaps) for w in words))
+        texts[-1] = texts[-1].rstrip() if rng.random() < 0.5 else texts[-1]
+        at = [rng.randrange(len(words)) for _ in range(rng.randint(0, 3))]
+        runs.append([(i, rng.randint(i, len(words) - 1)) for i in at])
+    flat = np.asarray([(k, i, j) for k, rs in enumerate(runs) for i, j in rs], np.int64).T
+    out, lines, words = passages.delete_runs(texts, *flat)
+    want = [_cut_plainly(t, r) for t, r in zip(texts, runs)]
+    assert list(zip(out.to_pylist(), lines.tolist(), words.tolist())) == want
+    assert [passages.delete_words(t, r) for t, r in zip(texts[:200], runs)] == want[:200]
+
+
+def test_cutting_costs_less_than_word_by_word():
+    """Seconds of the last stage: the texts are cut together, not one by one."""
+    rng = random.Random(6)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(999)}" for _ in range(12)) for _ in range(25)) for _ in range(1000)]
+    deleted = [[{"first": 30, "last": 90}, {"first": 200, "last": 255}]] * len(texts)
+    runs = pa.array(deleted, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    column = pa.array(texts)
+    at = time.process_time()
+    want = [_cut_plainly(t, [(30, 90), (200, 255)]) for t in texts]
+    plain, at = time.process_time() - at, time.process_time()
+    out, lines, words = passages._cleaned(column, runs)
+    assert time.process_time() - at < plain / 2
+    assert list(zip(out.to_pylist(), lines.tolist(), words.tolist())) == want
+
+
+def test_null_texts_and_texts_without_runs_stay():
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    texts = pa.array([None, "", "a b c", "a b c", None, "x"])
+    runs = pa.array([None, None, None, [{"first": 1, "last": 1}], [], [{"first": 0, "last": 0}]], kind)
+    for lo in (0, 1):
+        out, lines, words = passages._cleaned(texts.slice(lo), runs.slice(lo))
+        assert out.to_pylist() == [None, "", "a b c", "a c", None, ""][lo:]
+        assert lines.tolist() == [0, 0, 0, 0, 0, 1][lo:] and words.tolist() == [0, 0, 0, 1, 0, 1][lo:]
