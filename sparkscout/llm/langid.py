@@ -19,7 +19,9 @@ every text is ``und``; repeated rows each get their row.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,8 @@ _TAIL = ".,;:!?*#%&$|"
 _TABLE = 48
 #: words of one forward pass
 _WORDS = 4_000
+#: characters with a class of their own in the table of steps; the class of other characters of pieces
+_CLASSES, _RARE = 95, 255
 #: chunks of one process-wide cache
 CACHE_ENTRIES = 450_000
 
@@ -62,31 +66,69 @@ class Lattice:
         self.reach = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.ids
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
+        self._grow(pieces)
+
+    def _grow(self, pieces: list[str]) -> None:
+        """The beginnings of pieces as numbered states with a table of steps:
+        ``step[state, class of the next character]``, 0 where no piece goes on
+        so.  The commonest characters have a class each."""
+        often = Counter(ch for p in pieces for ch in p)
+        common = [ch for ch, _ in often.most_common(_CLASSES)]
+        self.classes = np.zeros(sys.maxunicode + 1, np.uint8)      # 0: in no piece
+        self.classes[[ord(ch) for ch in often]] = _RARE
+        self.classes[[ord(ch) for ch in common]] = np.arange(1, len(common) + 1)
+        place = {ch: k for k, ch in enumerate(common, 1)}
+        state = {"": 1} | {b: k for k, b in enumerate(self.reach, 2)}
+        self.step = np.zeros((len(state) + 1, len(common) + 1), np.uint16 if len(state) < 1 << 16 else np.int32)
+        self.piece = np.zeros(len(state) + 1, np.int32)
+        for b, k in state.items():
+            if b and b[-1] in place:
+                self.step[state[b[:-1]], place[b[-1]]] = k
+            self.piece[k] = max(self.reach.get(b, 0), 0)
 
     def table(self, words: list[str]):
         """Every piece inside many marked words as (end, start, word rows,
         pieces), by ends, so that a forward pass can take them in order."""
-        groups: dict[tuple[int, int], tuple[list, list]] = {}
-        find, longest = self.reach.get, self.longest
-        for r, w in enumerate(words):
-            n = len(w)
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    k = find(w[s:e])
-                    if k is None:
-                        if e > s + 1:
-                            break
-                        k = 0
-                    elif k < 0:
-                        if e > s + 1:
-                            continue
-                        k = 0
-                    g = groups.get((e, s))
-                    if g is None:
-                        g = groups[e, s] = ([], [])
-                    g[0].append(r)
-                    g[1].append(k)
-        return [(e, s, np.asarray(g[0]), np.asarray(g[1])) for (e, s), g in sorted(groups.items())]
+        size = np.asarray([len(w) for w in words], np.int64)
+        cls = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        row, first = np.repeat(np.arange(len(words)), size), np.cumsum(size) - size
+        start = np.arange(len(cls)) - first[row]
+        left = size[row] - start
+        rare = np.zeros(len(words), bool)
+        rare[row[cls == _RARE]] = True
+        at = np.flatnonzero(~rare[row])
+        state, found = np.ones(len(at), self.step.dtype), []
+        for k in range(1, self.longest + 1):                       # all places a character further
+            state = self.step[state, cls[at + k - 1]]
+            piece = self.piece[state]
+            hit = slice(None) if k == 1 else piece > 0
+            found.append((start[at[hit]] + k, start[at[hit]], row[at[hit]], piece[hit]))
+            on = (state > 0) & (left[at] > k)
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+        found += [self._lookup(r, words[r]) for r in np.flatnonzero(rare).tolist()]
+        end, start, row, piece = (np.concatenate(c) for c in zip(*found))
+        width = int(size.max(initial=0)) + 1
+        key = (end * width + start).astype(np.uint16 if width <= 256 else np.int64)
+        order = np.lexsort((row, key)) if rare.any() else np.argsort(key, kind="stable")
+        key, row, piece = key[order], row[order], piece[order]
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        return [(int(key[lo]) // width, int(key[lo]) % width, row[lo:hi], piece[lo:hi])
+                for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+
+    def _lookup(self, row: int, word: str) -> tuple[list, list, list, list]:
+        """The same of one word, whatever its characters."""
+        out, find, n = ([], [], [], []), self.reach.get, len(word)
+        for s in range(n):
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                k = find(word[s:e])
+                if e > s + 1 and k is None:
+                    break
+                if e == s + 1 or k > 0:
+                    for column, value in zip(out, (e, s, row, max(k or 0, 0))):
+                        column.append(value)
+        return out
 
     def forward(self, words: list[str], p: np.ndarray, groups=None) -> np.ndarray:
         """alpha[word, position, language]; words of at most _TABLE marks."""

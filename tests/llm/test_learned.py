@@ -74,6 +74,39 @@ def test_forward_pass_sums_all_segmentations(paths):
     assert np.isfinite(long).all() and (long < -10_000).all()
 
 
+class _Counting(dict):
+    """Counts the look-ups by ``get``."""
+
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+def test_table_walks_all_words_at_once(paths):
+    lattice = langid.Lattice(langid.vocabulary(paths["piece"]))
+    reach = lattice.reach
+    words = [langid.MARK + w for w in ("the", "straße", "a", "qqzzx", "internationalisation", "eé" * 12, "\U0001d51e", "the")]
+    rare = [langid.MARK + w for w in ("日本語", "the日", "ﬀ")]
+
+    def plain(some):
+        return sorted((e, s, r, max(reach.get(w[s:e], 0), 0)) for r, w in enumerate(some) for s in range(len(w))
+                      for e in range(s + 1, len(w) + 1) if e == s + 1 or reach.get(w[s:e], 0) > 0)
+
+    def flat(some):
+        groups = lattice.table(some)
+        assert [g[:2] for g in groups] == sorted({g[:2] for g in groups})
+        assert all((np.diff(g[2]) > 0).all() for g in groups)
+        return [(e, s, r, k) for e, s, rows, ids in groups for r, k in zip(rows.tolist(), ids.tolist())]
+
+    lattice.reach = _Counting(reach)
+    assert flat(words) == plain(words)
+    assert lattice.reach.asked == 0              # no dictionary for words of common characters
+    assert flat(words + rare + words) == plain(words + rare + words)
+    assert flat([]) == []
+
+
 def test_expected_counts_add_up(paths):
     lattice = langid.lattice_of(paths["piece"])
     p = np.full((lattice.size, 1), 1 / lattice.size)
