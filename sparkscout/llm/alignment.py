@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_map, materialise, take_over
-from .tokenizing import SeenTwice, encoder, irregular
+from .tokenizing import SeenTwice, cut_words, encoder, irregular, put_together
 
-#: characters after which a long text may be cut, and of a group of parts
-PART, GROUP_CHARS = 500_000, 500_000
+#: characters after which a long text may be cut, of a group of parts, and of parts that are encoded together
+PART, GROUP_CHARS, ENCODE_CHARS = 500_000, 500_000, 2_000_000
 #: the count table is broadcast up to this many rows (about 20 bytes each)
 BROADCAST_PAIRS = 2_000_000
 
@@ -106,6 +107,10 @@ class Side:
         return same
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces:
     """ids of a sentencepiece model.  No piece reaches from a letter over a
     space, so a text whose white space is single spaces and line feeds is
@@ -117,16 +122,18 @@ class Pieces:
     def _learn(self, words: list[str]) -> None:
         for w, ids in zip(words, self.model.encode(words, num_threads=1)):
             # a line feed stays apart from the space that the model puts before it
-            self.known.known[w] = np.asarray(ids[1:] if w[:1] == "\n" else ids, "<u4").tobytes()
+            self.known.known[w] = _pack(ids[1:] if w[:1] == "\n" else ids)
 
-    def encode_group(self, texts: list[str]) -> list[bytes]:
-        words = [() if not t or irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        missing = self.known.missing(set().union(*words))
+    def whole(self, text: str) -> bytes:
+        return _pack(self.model.encode(text))
+
+    def words(self, ends: np.ndarray, places: pa.Array, keys: list[str]) -> list[bytes]:
+        """ids of each line of words that ``cut_words`` found."""
+        known = self.known.known
+        missing = [k for k in keys if k not in known]
         if missing:
             self._learn(missing)
-        get = self.known.known.__getitem__
-        out = [b"".join(map(get, w)) if w else np.asarray(self.model.encode(t), "<u4").tobytes()
-               for t, w in zip(texts, words)]
+        out = put_together(known, ends, places, keys)
         if missing:
             self.known.settle(missing)
         return out
@@ -141,15 +148,23 @@ class Aligner:
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.pieces = Pieces(model)
         self.a, self.b = Side(byte_level_bytes(path_a)), Side(piece_bytes(model))
-        self.text = np.array([f"{i}{mark}" for i in range(max(self.a.size, self.b.size)) for mark in ",|;"], object)
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """ids of both sides of each part, and whether both spell it out."""
-        left, right = ([np.frombuffer(d, "<u4").astype(np.int64) for d in side] for side in (
-            self.enc.encode_group(texts, spaced=True), self.pieces.encode_group(texts)))
+        self.text = pa.array([f"{i}{mark}" for i in range(max(self.a.size, self.b.size)) for mark in ",|;"],
+                             pa.large_binary())
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """ids of both sides of each part.  Both cut the same texts into the
+        same words, which is done once."""
+        odd = [not t or irregular(t) for t in texts]
+        words = cut_words([None if o else t.replace("\n", " \n") for o, t in zip(odd, texts)])
+        left = [self.enc.whole(" " + t) if o else d for o, t, d in zip(odd, texts, self.enc.words(*words))]
+        right = [self.pieces.whole(t) if o else d for o, t, d in zip(odd, texts, self.pieces.words(*words))]
+        return left, right
+
+    def spelled(self, texts: list[str], left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """Whether both sides spell out each part."""
         parts = [(" " + t).encode() for t in texts]
         data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
-        return left, right, self.a.spells(left, data, ends) & self.b.spells(right, data, ends)
+        return self.a.spells(left, data, ends) & self.b.spells(right, data, ends)
 
 
 def overlaps(start_a: np.ndarray, start_b: np.ndarray, key_a: np.ndarray,
@@ -165,12 +180,24 @@ def overlaps(start_a: np.ndarray, start_b: np.ndarray, key_a: np.ndarray,
             np.concatenate([forth["b"].to_numpy(), back["b"].to_numpy()]))
 
 
-def align(al: Aligner, texts: list[str]) -> list[tuple]:
+def align(al: Aligner, texts: list[str]) -> list[tuple | None]:
     """Per part: None if a side does not spell it out, else (n_a, n_b,
-    n_groups, n_links, groups as text ending with a semicolon, pair codes,
-    times of each)."""
-    left, right, same = al.encode(texts)
-    good = np.flatnonzero(same).tolist()
+    n_groups, n_links, groups as bytes ending with a semicolon, pair codes,
+    times of each).  The parts are encoded together and aligned in groups."""
+    left, right = al.encode(texts)
+    out, lo, chars = [], 0, 0
+    for hi, t in enumerate(texts, 1):
+        chars += len(t)
+        if chars >= GROUP_CHARS or hi == len(texts):
+            out += _align(al, texts[lo:hi], left[lo:hi], right[lo:hi])
+            lo, chars = hi, 0
+    return out
+
+
+def _align(al: Aligner, texts: list[str], left: list[bytes], right: list[bytes]) -> list[tuple | None]:
+    """The same of one group, encoded."""
+    left, right = ([np.frombuffer(d, "<u4").astype(np.int64) for d in side] for side in (left, right))
+    good = np.flatnonzero(al.spelled(texts, left, right)).tolist()
     out: list = [None] * len(texts)
     if not good:
         return out
@@ -187,7 +214,8 @@ def align(al: Aligner, texts: list[str]) -> list[tuple]:
     place = np.empty(len(ids_a) + len(ids_b), np.int64)
     place[np.arange(len(ids_a)) + (np.cumsum(of_b) - of_b)[group_a]] = 3 * ids_a + last_a
     place[np.arange(len(ids_b)) + np.cumsum(of_a)[group_b]] = 3 * ids_b + 2 * last_b
-    marks = al.text[place].tolist()
+    _, at, data = al.text.take(pa.array(place)).buffers()
+    data = memoryview(data)
     # pairs of each part, equal ones counted
     size_b = al.b.size
     codes = ids_a[a] * size_b + ids_b[b]
@@ -195,11 +223,11 @@ def align(al: Aligner, texts: list[str]) -> list[tuple]:
     code, times = np.unique(key_a[a] * room + codes, return_counts=True)
     owner = code // room
     cut = np.searchsorted(owner, np.arange(len(good) + 1))
-    to = np.append(0, np.cumsum(n_a + n_b))
+    to = np.frombuffer(at, np.int64)[np.append(0, np.cumsum(n_a + n_b))].tolist()
     groups = np.bincount(key_a[last_a], minlength=len(good))
     links = np.bincount(key_a[a], minlength=len(good))
     for g, k in enumerate(good):
-        out[k] = (int(n_a[g]), int(n_b[g]), int(groups[g]), int(links[g]), "".join(marks[to[g]:to[g + 1]]),
+        out[k] = (int(n_a[g]), int(n_b[g]), int(groups[g]), int(links[g]), bytes(data[to[g]:to[g + 1]]),
                   code[cut[g]:cut[g + 1]] - g * room, times[cut[g]:cut[g + 1]])
     return out
 
@@ -208,7 +236,7 @@ class _Document:
     """What the parts of one document add up to."""
 
     def __init__(self):
-        self.sums, self.sha, self.tail, self.codes, self.times, self.good = np.zeros(4, np.int64), hashlib.sha256(), "", [], [], True
+        self.sums, self.sha, self.tail, self.codes, self.times, self.good = np.zeros(4, np.int64), hashlib.sha256(), b"", [], [], True
 
     def add(self, part: tuple | None) -> None:
         if part is None:
@@ -216,8 +244,8 @@ class _Document:
             return
         self.sums += part[:4]
         text = self.tail + part[4]
-        self.sha.update(text[:-1].encode())                   # the last mark goes unless more follows
-        self.tail = text[-1]
+        self.sha.update(text[:-1])                   # the last mark goes unless more follows
+        self.tail = text[-1:]
         self.codes.append(part[5]), self.times.append(part[6])
 
     def result(self) -> tuple:
@@ -268,7 +296,7 @@ def token_alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
                 for part in parts(t.as_py()) if t.as_py() else ():
                     group.append(part), owners.append(doc)
                     chars += len(part)
-                    if chars >= GROUP_CHARS:
+                    if chars >= ENCODE_CHARS:
                         flush()
                         chars = 0
                 if not group:

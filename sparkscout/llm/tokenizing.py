@@ -13,6 +13,7 @@ given to the library whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 from unicodedata import normalize
 
 import numpy as np
@@ -27,7 +28,7 @@ CACHE_ENTRIES = 700_000
 #: texts, and characters, that are encoded together
 GROUP_TEXTS, GROUP_CHARS = 128, 2_000_000
 #: the same where Arrow cuts them
-ARROW_TEXTS, ARROW_CHARS = 4096, 4_000_000
+ARROW_TEXTS, ARROW_CHARS = 8192, 8_000_000
 
 #: words of one call of the library, which takes far more memory than their ids
 CALL_WORDS = 8_000
@@ -53,22 +54,22 @@ class SeenTwice:
 
     def __init__(self, entries: int = CACHE_ENTRIES, twice: bool = True):
         self.entries, self.twice, self.known = entries, twice, {}
-        self.seen, self.marks = bytearray(self.SLOTS), 0
+        self.seen, self.marks = np.zeros(self.SLOTS if twice else 0, np.uint8), 0
 
     def missing(self, keys: set) -> list:
         return list(keys.difference(self.known))
 
     def settle(self, added: list) -> None:
-        known, seen, top, marks = self.known, self.seen, self.SLOTS - 1, 0
-        for k in added if self.twice else ():
-            slot = hash(k) & top
-            if not seen[slot]:
-                seen[slot] = 1
-                marks += 1
+        known = self.known
+        if self.twice and added:
+            slots = np.fromiter(map(hash, added), np.int64, len(added)) & (self.SLOTS - 1)
+            new = self.seen[slots] == 0
+            self.seen[slots] = 1
+            for k in compress(added, new.tolist()):
                 del known[k]
-        self.marks += marks
-        if self.marks > self.SLOTS // 4:
-            self.seen, self.marks = bytearray(self.SLOTS), 0
+            self.marks += int(new.sum())
+            if self.marks > self.SLOTS // 4:
+                self.seen, self.marks = np.zeros(self.SLOTS, np.uint8), 0
         if len(known) > self.entries:
             known.clear()
 
@@ -87,6 +88,25 @@ def grouped(texts: list[str | None], most_texts: int = GROUP_TEXTS,
         yield group
 
 
+def cut_words(lines: list[str | None]) -> tuple[np.ndarray, pa.Array, list[str]]:
+    """Lines (null: no words) cut at their spaces: where the words of each line
+    end (from 0), the number of each word, the different words by number."""
+    parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+    words = parts.values.dictionary_encode()
+    return (parts.offsets.to_numpy(), words.indices,
+            words.dictionary.to_numpy(zero_copy_only=False).tolist())
+
+
+def put_together(known: dict[str, bytes], ends: np.ndarray, places: pa.Array, keys: list[str]) -> list[bytes]:
+    """The ids of each line out of those of its words."""
+    ids = pa.array(map(known.__getitem__, keys), pa.large_binary(), size=len(keys))
+    _, at, data = ids.take(places).buffers()
+    if not data:                           # no words, or none with ids
+        return [b""] * (len(ends) - 1)
+    data, cuts = memoryview(data), np.frombuffer(at, np.int64)[ends].tolist()
+    return [bytes(data[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
 #: marks that end a word without joining it
 _TAIL = ".,;:!?*#%&$|"
 
@@ -112,19 +132,19 @@ class ChunkEncoder:
         self.spaces_matter = spaces_matter
         self.chunks = SeenTwice()
         self.stems = SeenTwice(500_000)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
         self.lowered = None
         if not spaces_matter:              # for words that the file's normaliser leaves as they are
             self.lowered = Tokenizer(self.tok.model)
             self.lowered.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(False, use_regex=False)])
-        self.line = self._whole("\n")
+        self.line = self.whole("\n")
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that open (close) a word
         for token, i in vocab.items():
             self.edge[i] = token.startswith("\u0120") if spaces_matter else token.endswith("</w>")
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return _pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _stem_ids(self, stems: list[str]) -> dict[str, bytes]:
@@ -133,13 +153,13 @@ class ChunkEncoder:
         line has a line feed before it and no space."""
         out, lowered, spaced, opening = {}, [], [], []
         for s in stems:
-            (opening if s[0] == "\n" else lowered if self.lowered and s == s.lower() and _latin1(s)
-             else spaced).append(s)
+            (opening if s[0] == "\n" else lowered if self.lowered and (
+                s.islower() if s.isascii() else s == s.lower() and _latin1(s)) else spaced).append(s)
         for tok, words in ((self.lowered, lowered), (self.tok, spaced)):
             for at in range(0, len(words), CALL_WORDS):
                 out.update(self._word_ids(tok, words[at:at + CALL_WORDS]))
         if opening:
-            data = self._whole("".join(opening))
+            data = self.whole("".join(opening))
             at = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line, "<u4")[0])
             cuts = (np.append(at, len(data) // 4) * 4).tolist()
             for s, lo, hi in zip(opening, cuts, cuts[1:]):
@@ -158,37 +178,32 @@ class ChunkEncoder:
                 out[s] = data[lo:hi]
         else:                              # a letter that the file's normaliser splits or drops
             for s in words:
-                out[s] = self._whole(" " + s)
+                out[s] = self.whole(" " + s)
         return out
 
     def _learn(self, missing: list[str]) -> None:
         """Put the ids of chunks into the cache."""
-        tails, known, plain, stems, odd = self.tails, self.chunks.known, [], [], []
-        for p in missing:
-            stem = p.rstrip(_TAIL)
-            if stem.isalpha() and (self.spaces_matter or stem.isascii()
-                                   or normalize("NFC", stem).lower().isalpha()) or (
-                                       stem[:1] == "\n" and stem[1:].isalpha()):
-                plain.append(p)
-                stems.append(stem)
-            else:
+        tails, known, odd, matter = self.tails, self.chunks.known, [], self.spaces_matter
+        stems = [p.rstrip(_TAIL) for p in missing]
+        plain = [s.isalpha() and (matter or s.isascii() or normalize("NFC", s).lower().isalpha())
+                 or s[:1] == "\n" and s[1:].isalpha() for s in stems]
+        new = self.stems.missing(set(compress(stems, plain)))
+        ids = self.stems.known
+        if new:
+            ids.update(self._stem_ids(new))
+        for p, stem, ok in zip(missing, stems, plain):
+            if not ok:
                 odd.append(p)
-        if plain:
-            new = self.stems.missing(set(stems))
-            ids = self.stems.known
-            if new:
-                ids.update(self._stem_ids(new))
-            for p, stem in zip(plain, stems):
-                if len(p) == len(stem):
-                    known[p] = ids[stem]
-                    continue
+            elif p is stem:
+                known[p] = ids[stem]
+            else:
                 tail = p[len(stem):]
                 if tail not in tails:
                     if len(tails) > 10_000:
                         tails.clear()
-                    tails[tail] = self._whole(tail)
+                    tails[tail] = self.whole(tail) if tail else b""
                 known[p] = ids[stem] + tails[tail]
-            self.stems.settle(new)
+        self.stems.settle(new)
         if odd:
             texts = ([p if p[:1] == "\n" else " " + p for p in odd] if self.spaces_matter else odd)
             for p, e in zip(odd, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
@@ -200,7 +215,7 @@ class ChunkEncoder:
         for t in texts:
             low = t.lower() if not self.spaces_matter and _latin1(t) else t
             if any(s in t or s in low for s in self.special) or (self.spaces_matter and (not t or irregular(t))):
-                heads.append(self._whole(" " + t if spaced else t))
+                heads.append(self.whole(" " + t if spaced else t))
                 lines.append(None)
                 continue
             heads.append(None)
@@ -210,23 +225,21 @@ class ChunkEncoder:
                 lines.append(t.replace("\n", " \n"))
             else:                          # a line feed before the first word, taken off again below
                 lines.append("\n" + t.replace("\n", " \n"))
-        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
-        words = parts.values.dictionary_encode()
-        keys = words.dictionary.to_pylist()
+        found = self.words(*cut_words(lines))
+        cut = 0 if spaced or not self.spaces_matter else len(self.line)
+        return [d[cut:] if h is None else h for h, d in zip(heads, found)]
+
+    def words(self, ends: np.ndarray, places: pa.Array, keys: list[str]) -> list[bytes]:
+        """ids of each line of words that :func:`cut_words` found; a space
+        stands before each word, also before the first."""
         known = self.chunks.known
         missing = [k for k in keys if k not in known]
         if missing:
             self._learn(missing)
-        ids = pa.array(map(known.__getitem__, keys), pa.large_binary(), size=len(keys))
+        out = put_together(known, ends, places, keys)
         if missing:
             self.chunks.settle(missing)
-        _, at, data = ids.take(words.indices).buffers()
-        if not data:                       # no words, or none with ids
-            return [h or b"" for h in heads]
-        data = memoryview(data)
-        ends = np.frombuffer(at, np.int64)[parts.offsets.to_numpy()].tolist()
-        cut = 0 if spaced or not self.spaces_matter else len(self.line)
-        return [bytes(data[lo + cut:hi]) if h is None else h for h, lo, hi in zip(heads, ends, ends[1:])]
+        return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """ids of each text in turn."""

@@ -130,6 +130,20 @@ def test_parts_of_a_long_text(paths, sides):
     assert np.array_equal(whole[5], got[5]) and np.array_equal(whole[6], got[6])
 
 
+def test_both_sides_share_one_cut(paths, monkeypatch):
+    texts = ["the cat\nsat on", "", "two  spaces", "naïve end.", "the cat", "two▁words", " the", "日本語 1234"] * 4
+    al = alignment.Aligner(paths["byte"], paths["piece"])
+    want = [alignment.align(al, [t])[0] for t in texts]
+    cuts, cut = [], alignment.cut_words
+    monkeypatch.setattr(alignment, "cut_words", lambda lines: cuts.append(lines) or cut(lines))
+    monkeypatch.setattr(alignment, "GROUP_CHARS", 20)          # encoded together, aligned in small groups
+    got = alignment.align(al, texts)
+    assert len(cuts) == 1 and len(got) == len(texts)
+    for g, w in zip(got, want):
+        assert (g is None) == (w is None)
+        assert g is None or g[:5] == w[:5] and all(np.array_equal(a, b) for a, b in zip(g[5:], w[5:]))
+
+
 def test_a_text_of_many_megabytes(spark, paths):
     line = "A longer text, with some words of several lengths; and numbers 1024.\n"
     df = spark.createDataFrame([(1, line * 120_000), (2, line)], "doc_id long, text string")
