@@ -18,7 +18,7 @@ from llm_data import SF_SMALL, paths  # noqa: F401
 from sparkscout.llm import bpe, packing, queries, simhash, tokenstore
 from sparkscout.llm.base import scratch_path, table
 from sparkscout.llm.components import components
-from sparkscout.llm.tokenizing import ChunkEncoder
+from sparkscout.llm.tokenizing import ChunkEncoder, SeenTwice
 
 TEXT = st.lists(st.one_of(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'\tabé1.!#")),
                                    max_size=40),
@@ -68,6 +68,22 @@ def test_a_group_asks_once_for_each_word():
         assert len(learned) == len(set(learned)) and not set(learned) & {"<|endoftext|>"}
 
 
+def test_cache_keeps_what_came_up_twice():
+    cache = SeenTwice(10)
+    for group in (["a", "b"], ["b", "c"], ["d"]):
+        new = cache.missing(set(group))
+        cache.known.update(dict.fromkeys(new, b"x"))
+        cache.settle(new)
+    assert list(cache.known) == ["b"]
+
+
+def test_a_few_million_characters_are_one_group(paths, monkeypatch):
+    enc, groups = ChunkEncoder(paths["word"], False), []
+    monkeypatch.setattr(enc, "encode_group", lambda g: groups.append(len(g)) or [b""] * len(g))
+    assert len(list(enc.encode_many(["some words " * 1000] * 600))) == 600
+    assert groups == [600]
+
+
 def test_special_tokens_in_texts():
     """As the library has them, or as plain text where that is asked for."""
     text = "hello <|endoftext|> world <|startoftext|>"
