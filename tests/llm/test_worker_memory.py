@@ -92,3 +92,31 @@ def test_words_go_to_the_library_in_parts(monkeypatch):
     monkeypatch.setattr(enc, "_word_ids", lambda tok, part: calls.append(len(part)) or real(tok, part))
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
     assert max(calls) <= 50 and sum(calls) >= len(words) - 1
+
+
+def test_batches_of_texts_are_bounded(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    def largest():
+        return max(r["n"] for r in base.arrow_map(spark.range(0, 9000, 1, 1), sizes, "n long").collect())
+
+    try:
+        spark.conf.set(setting, "10000")
+        assert largest() <= base.BATCH_ROWS
+        spark.conf.set(setting, "100")
+        assert largest() == 100
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_tasks_give_free_memory_back_at_their_end(monkeypatch):
+    given = []
+    monkeypatch.setattr(base, "_give_back", lambda: given.append(True))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", None])], ["text"])
+    assert sum(b.num_rows for b in base.slices(iter([batch, batch]), 0)) == 4
+    assert given == [True]
