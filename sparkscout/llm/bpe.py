@@ -2,7 +2,7 @@
 
 Merging a pre-token works on a linked list of its byte spans.  A
 :class:`RankQueue` holds, for every merge rank, the positions whose span and
-next span form that merge; a three-level bitmap over the ranks gives the
+next span form that merge; a two-level bitmap over the ranks gives the
 lowest non-empty rank by find-first-set, so each step costs the same however
 long the pre-token is.  Entries whose span has changed meanwhile are skipped
 when they come up.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -25,19 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import arrow_map, take_over
-from .tokenizing import SeenTwice, grouped, irregular
+from .tokenizing import ARROW_CHARS, ARROW_TEXTS, SeenTwice, cut_words, grouped, irregular, put_together
+
+
+#: single bits of a word of the bitmap
+_BIT = [1 << k for k in range(256)]
 
 
 class RankQueue:
-    """Positions in buckets by merge rank, below a bitmap of three levels
-    (64 ranks a word, 64 words a block, blocks in one top word)."""
+    """Positions in buckets by merge rank, below a bitmap of two levels (256
+    ranks a word, words in one top word)."""
 
-    __slots__ = ("buckets", "words", "blocks", "top")
+    __slots__ = ("buckets", "words", "top")
 
     def __init__(self):
         self.buckets: dict[int, list[int]] = {}
         self.words: dict[int, int] = {}
-        self.blocks: dict[int, int] = {}
         self.top = 0
 
     def push(self, rank: int, pos: int) -> None:
@@ -46,64 +50,89 @@ class RankQueue:
             heappush(bucket, pos)
             return
         self.buckets[rank] = [pos]
-        w, b = rank >> 6, rank >> 12
-        self.words[w] = self.words.get(w, 0) | 1 << (rank & 63)
-        self.blocks[b] = self.blocks.get(b, 0) | 1 << (w & 63)
-        self.top |= 1 << b
+        w = rank >> 8
+        self.words[w] = self.words.get(w, 0) | _BIT[rank & 255]
+        self.top |= 1 << w
 
     def pop(self) -> tuple[int, int] | None:
         """Lowest rank and its leftmost position, or None."""
         top = self.top
         if not top:
             return None
-        b = (top & -top).bit_length() - 1
-        block = self.blocks[b]
-        w = (b << 6) + (block & -block).bit_length() - 1
+        w = (top & -top).bit_length() - 1
         word = self.words[w]
-        rank = (w << 6) + (word & -word).bit_length() - 1
+        rank = (w << 8) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
         pos = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            word &= word - 1
-            self.words[w] = word
+            self.words[w] = word = word & (word - 1)
             if not word:
-                block &= block - 1
-                self.blocks[b] = block
-                if not block:
-                    self.top = top & (top - 1)
+                self.top = top & (top - 1)
         return rank, pos
 
 
-def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """ids of one pre-token."""
-    whole = ranks.get(piece)
+def short_ranks(ranks: dict[bytes, int]) -> tuple[list[int], list[int | None]]:
+    """Ranks of all single bytes, and of all pairs of bytes (None: no merge)."""
+    ones = [bytes([b]) for b in range(256)]
+    return [ranks.get(a) for a in ones], [ranks.get(a + b) for a in ones for b in ones]
+
+
+def merge_piece(piece: bytes, ranks: dict[bytes, int], singles: list[int], pairs: list[int | None]) -> list[int]:
+    """ids of one pre-token, with the ranks of :func:`short_ranks` at hand.
+    (The queue's steps are written out here: a call for each costs more than
+    the step.)"""
+    find = ranks.get
+    whole = find(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    find = ranks.get
+    ids = [singles[b] for b in piece]
     end = list(range(1, n + 1))            # span of node i is piece[i:end[i]]; node end[i] follows
     before = list(range(-1, n))            # node that precedes i
     current: list[int | None] = [None] * n  # rank of node i with its successor
     queue = RankQueue()
-    push = queue.push
+    buckets, words, top, bit = queue.buckets, queue.words, 0, _BIT
     for i in range(n - 1):
-        r = find(piece[i:i + 2])
+        r = pairs[piece[i] << 8 | piece[i + 1]]
         if r is not None:
             current[i] = r
-            push(r, i)
-    while (least := queue.pop()) is not None:
-        r, i = least
+            if r in buckets:
+                buckets[r].append(i)       # positions grow, so the list is a heap
+            else:
+                buckets[r] = [i]
+                w = r >> 8
+                words[w] = words.get(w, 0) | bit[r & 255]
+                top |= 1 << w
+    while top:
+        w = (top & -top).bit_length() - 1
+        word = words[w]
+        r = (w << 8) + (word & -word).bit_length() - 1
+        bucket = buckets[r]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[r]
+            words[w] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
         if current[i] != r:                # stale: absorbed, or its span has grown
             continue
         j = end[i]
         stop = end[i] = end[j]
-        current[j] = None
+        ids[i], current[j] = r, None
         if stop < n:
             before[stop] = i
             new = current[i] = find(piece[i:end[stop]])
             if new is not None:
-                push(new, i)
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    w = new >> 8
+                    words[w] = words.get(w, 0) | bit[new & 255]
+                    top |= 1 << w
         else:
             current[i] = None
         if i:
@@ -112,14 +141,24 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             if new != current[h]:
                 current[h] = new
                 if new is not None:
-                    push(new, h)
+                    if new in buckets:
+                        heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        w = new >> 8
+                        words[w] = words.get(w, 0) | bit[new & 255]
+                        top |= 1 << w
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:end[i]]])
+        out.append(ids[i])
         i = end[i]
     return out
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encoder and decoder of one rank file and split pattern."""
 
@@ -132,6 +171,7 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.short = short_ranks(self.ranks)
         self.split = regex.compile(pattern).findall
         self.pieces = SeenTwice(900_000, twice=False)
         self.chunks = SeenTwice()
@@ -139,33 +179,34 @@ class Codec:
     def _learn_pieces(self, pieces: set[str]) -> list[str]:
         new = self.pieces.missing(pieces)
         for p in new:
-            self.pieces.known[p] = np.asarray(merge_piece(p.encode(), self.ranks), "<u4").tobytes()
+            self.pieces.known[p] = _pack(merge_piece(p.encode(), self.ranks, *self.short))
         return new
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
         """ids of each text as little-endian unsigned 32-bit integers.  A text
         of single spaces and line feeds only is cut at them, which the pattern
         never crosses; any other text is cut by the pattern as a whole."""
-        heads, parts = [], []
+        heads, lines = [], []
         for t in texts:
-            first, *rest = (t,) if not t or irregular(t) else t.replace("\n", " \n").split(" ")
+            first, _, rest = (t, "", "") if not t or irregular(t) else t.replace("\n", " \n").partition(" ")
             heads.append(self.split(first))
-            parts.append(rest)
-        missing = self.chunks.missing(set().union(*parts))
+            lines.append(rest or None)
+        ends, places, keys = cut_words(lines)
+        known = self.chunks.known
+        missing = [k for k in keys if k not in known]
         cut = [self.split(p if p[:1] == "\n" else " " + p) for p in missing]
         new = self._learn_pieces(set().union(*cut, *heads))
-        piece, known = self.pieces.known.__getitem__, self.chunks.known
+        piece = self.pieces.known.__getitem__
         for p, own in zip(missing, cut):
             known[p] = piece(own[0]) if len(own) == 1 else b"".join(map(piece, own))
-        get = known.__getitem__
-        out = [b"".join(map(piece, h)) + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        out = [b"".join(map(piece, h)) + d for h, d in zip(heads, put_together(known, ends, places, keys))]
         self.pieces.settle(new)
         self.chunks.settle(missing)
         return out
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """ids of each text in turn."""
-        for group in grouped(texts):
+        for group in grouped(texts, ARROW_TEXTS, ARROW_CHARS):
             yield from self.encode_group(group)
 
     def encode(self, text: str | None) -> bytes:

@@ -108,6 +108,37 @@ def test_bpe_long_pre_tokens():
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == _tiktoken().encode_ordinary(text)
 
 
+class _Counting(dict):
+    """Counts the look-ups by ``get``."""
+
+    asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+def test_merging_looks_up_grown_spans_only():
+    codec = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    ranks, short = _Counting(codec.ranks), bpe.short_ranks(codec.ranks)
+    for piece in (" unforeseeableness", "ein Wort", "zxqj", "aaaaaaaaaa", "日本語", "\x00\xff"):
+        data, ranks.asked = piece.encode(), 0
+        ids = bpe.merge_piece(data, ranks, *short)
+        assert b"".join(codec.tokens[i] for i in ids) == data
+        assert ranks.asked <= 1 + 2 * (len(data) - len(ids))   # itself, and two pairs a merge
+
+
+def test_bpe_groups_cut_by_arrow():
+    codec = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts = ["one two\nthree", "", None, " two  one", "two", "one\ttwo three", "'s one\n\nx", "日本 two\none."] * 3
+    asked = []
+    split, codec.split = codec.split, lambda t: asked.append(t) or split(t)
+    got = list(codec.encode_many(texts))
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == _tiktoken().encode_ordinary(t or "")
+    assert asked.count(" two") == 1 and asked.count("\nthree") == 1
+
+
 def test_rank_queue_pops_in_order():
     rng, queue = random.Random(1), bpe.RankQueue()
     pairs = [(rng.randrange(50_000), rng.randrange(100)) for _ in range(2000)]
